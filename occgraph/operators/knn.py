@@ -150,6 +150,11 @@ def knn_join(
             pairs = q_boxes.join(p_boxes, group)  # at most TOP x TOP per group
         else:
             pairs = pairs.join(p_boxes, [*group, "p"]).join(q_boxes, [*group, "q"])
+        if level == 0:
+            # few bytes but much work behind each pair: keep all partitions,
+            # in the layout the remaining steps need
+            tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            pairs = pairs.repartition(tasks, *group, "q")
         near, far = _box_bounds()
         enough = F.min(F.when(F.col("p_n_ids") >= need, F.col("far"))).over(W.partitionBy(*group, "q"))
         pairs = (

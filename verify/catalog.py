@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["spatial", "text"]
+MODULES = ["spatial", "text", "splits"]
 
 
 def load() -> None:
