@@ -41,7 +41,7 @@ def score_counts(preds: DataFrame, keys: list[str], weight: str | None = None) -
     )
 
 
-def rank_metrics_from_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
+def rank_metrics_from_counts(counts: DataFrame, keys: list[str], edges_from: DataFrame | None = None) -> DataFrame:
     """ROC-AUC with ties and average precision, NULL when one class is absent.
 
     AUC is the rank statistic; average precision is the step sum over distinct
@@ -49,7 +49,7 @@ def rank_metrics_from_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
     """
     if not keys:
         return rank_metrics_from_counts(counts.withColumn("all_rows", F.lit(0)), ["all_rows"]).drop("all_rows")
-    r = running_totals(counts, keys, "y_prob", ["pos", "neg"])
+    r = running_totals(counts, keys, "y_prob", ["pos", "neg"], edges_from)
     pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
     pos_above = F.col("pos_total") - F.col("pos_below")  # at or above this score
     all_above = pos_above + F.col("neg_total") - F.col("neg_below")

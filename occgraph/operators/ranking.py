@@ -23,10 +23,14 @@ def _range_number(value: Column, edges: Column, coarse: Column) -> Column:
     return block * _STEP + fine
 
 
-def with_range(df: DataFrame, value: str, name: str = "value_range") -> DataFrame:
-    """Add the range number of ``value``; equal values share a range."""
+def with_range(df: DataFrame, value: str, name: str = "value_range", edges_from: DataFrame | None = None) -> DataFrame:
+    """Add the range number of ``value``; equal values share a range.
+
+    ``edges_from`` is a smaller table with the same spread of values, for use
+    when ``df`` holds many weighted copies of it.
+    """
     probs = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
-    edges = df.agg(F.percentile_approx(F.col(value).cast("double"), probs, F.lit(10000)).alias("edges")).select(
+    edges = (df if edges_from is None else edges_from).agg(F.percentile_approx(F.col(value).cast("double"), probs, F.lit(10000)).alias("edges")).select(
         "edges", F.transform(F.sequence(F.lit(_STEP), F.lit(RANGES - 1), F.lit(_STEP)), lambda i: F.element_at("edges", i)).alias("coarse")
     )
     numbered = df.join(F.broadcast(edges))  # one row of fixed size
@@ -35,12 +39,14 @@ def with_range(df: DataFrame, value: str, name: str = "value_range") -> DataFram
     ).drop("edges", "coarse")
 
 
-def running_totals(df: DataFrame, keys: list[str], order_by: str, sums: list[str]) -> DataFrame:
+def running_totals(
+    df: DataFrame, keys: list[str], order_by: str, sums: list[str], edges_from: DataFrame | None = None
+) -> DataFrame:
     """Per key, add ``<c>_below`` (sum over smaller values) and ``<c>_total``.
 
     ``df`` must hold one row per (key, order_by); aggregate first.
     """
-    ranged = with_range(df, order_by)
+    ranged = with_range(df, order_by, edges_from=edges_from)
     inside = W.partitionBy(*keys, "value_range").orderBy(order_by).rowsBetween(W.unboundedPreceding, -1)
     across = W.partitionBy(*keys).orderBy("value_range").rowsBetween(W.unboundedPreceding, -1)
     everything = W.partitionBy(*keys)

@@ -14,14 +14,12 @@ RAW_SCHEMA = T.StructType(
     [T.StructField("ID_No", T.DoubleType()), T.StructField("Latitude", T.DoubleType()), T.StructField("Longitude", T.DoubleType())]
     + [T.StructField(c, T.StringType()) for c in _TEXT]
 )
-PREDICTION_SCHEMA = T.StructType.fromDDL(
-    "exp string, model string, seed int, region string, row_id bigint, y_true int, y_prob double, y_pred int"
-)
-METRIC_SCHEMA = T.StructType.fromDDL("exp string, model string, seed int, region string, metric string, value double")
+PREDICTION_SCHEMA = "exp string, model string, seed int, region string, row_id bigint, y_true int, y_prob double, y_pred int"
+METRIC_SCHEMA = "exp string, model string, seed int, region string, metric string, value double"
 FORMATS = {".parquet": "parquet", ".csv": "csv", ".json": "json", ".orc": "orc"}
 
 
-def scan(spark: SparkSession, path: str, *, schema: T.StructType | None = None, columns: list[str] | None = None, fmt: str | None = None, **options) -> DataFrame:
+def scan(spark: SparkSession, path: str, *, schema: T.StructType | str | None = None, columns: list[str] | None = None, fmt: str | None = None, **options) -> DataFrame:
     """Read a file or folder by its suffix; ``columns`` prunes the scan."""
     if fmt is None:
         fmt = next((f for suffix, f in FORMATS.items() if path.rstrip("/").endswith(suffix)), "parquet")

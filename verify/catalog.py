@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["spatial", "text", "splits"]
+MODULES = ["spatial", "text", "splits", "eval"]
 
 
 def load() -> None:
