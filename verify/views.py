@@ -71,7 +71,7 @@ FLAGS = ["is_f1", "is_f2", "is_f3", "is_f4", "is_f5"]
 
 def site_attrs(spark: SparkSession, sf: str) -> DataFrame:
     orders = table(spark, sf, "orders").groupBy("o_custkey").agg(
-        F.count("*").alias("n_orders"), F.round(F.avg("o_totalprice"), 2).alias("avg_total"),
+        F.count("*").alias("n_orders"), F.avg("o_totalprice").alias("avg_total"),
         *[F.max(((F.col("o_orderpriority") == p) & (F.col("o_totalprice") > 350000)).cast("int")).alias(f) for p, f in zip(PRIORITIES, FLAGS)],
     )
     return table(spark, sf, "customer").join(orders, F.col("c_custkey") == F.col("o_custkey"), "left").select(
@@ -87,7 +87,7 @@ SITE_ATTRS = f"""site_attrs AS (
   SELECT c_custkey AS row_id, c_mktsegment AS segment, coalesce(n_orders,0) AS n_orders, avg_total,
          CASE WHEN c_custkey%7<>0 THEN c_acctbal END AS balance, CASE WHEN c_custkey%3=0 THEN c_acctbal END AS sparse_value,
          {', '.join(f'coalesce({f},0) AS {f}' for f in FLAGS)}
-  FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n_orders, round(avg(o_totalprice),2) AS avg_total,
+  FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n_orders, avg(o_totalprice) AS avg_total,
          {', '.join(f"max((o_orderpriority='{p}' AND o_totalprice>350000)::INT) AS {f}" for p, f in zip(PRIORITIES, FLAGS))}
        FROM orders GROUP BY o_custkey) ON c_custkey = o_custkey)"""
 
