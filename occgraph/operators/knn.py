@@ -7,23 +7,32 @@ into wider boxes. A join then starts from the few widest boxes of both sides
 and keeps, level by level, only box pairs that can still hold a neighbour.
 Blocks have equal sizes however the points cluster, so no task ever receives a
 dense area whole, and the answer equals the full pairwise comparison.
+
+A pool of at most ``SMALL_POOL`` rows needs none of this: it is sent to every
+task once and compared with Arrow batches of queries. The row count is checked
+first, so the broadcast has a fixed upper size. Both ways give the same rows.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from occgraph.functions.geo import chord_of_km, haversine_km, morton_code, unit_xyz
+from occgraph.functions.geo import EARTH_RADIUS_KM, chord_of_km, haversine_km, morton_code, unit_xyz
 from occgraph.session import materialize
 
 FAN = 8          # boxes grouped into the next wider box
 TOP = 64         # at most this many widest boxes per group and side
 SLACK = 1e-9     # chord length, about 6 mm: keeps every tie at the 1 mm rounding
+SMALL_POOL = 20_000  # rows of four numbers: below one megabyte
 TIE_DECIMALS = 6  # neighbours are ordered by distance to 1 mm, then by id
 _AXES = ("x", "y", "z")
 
@@ -109,6 +118,84 @@ def _prefixed(df: DataFrame, side: str, group: list[str]) -> DataFrame:
     return df.select(*group, F.col("node").alias(side), *renamed)
 
 
+def _xyz(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
+    p, q = np.radians(lat), np.radians(lon)
+    return np.stack([np.cos(p) * np.cos(q), np.cos(p) * np.sin(q), np.sin(p)])
+
+
+def _nearest(queries: tuple, pool: tuple, k: int, exclude_self: bool, within_km: float | None) -> tuple:
+    """Neighbours of a few queries in a small pool: (query position, id, km, rank)."""
+    (q_id, q_lat, q_lon), (p_id, p_lat, p_lon) = queries, pool
+    squared = np.zeros((len(q_id), len(p_id)))
+    for a, b in zip(_xyz(q_lat, q_lon), _xyz(p_lat, p_lon)):
+        squared += (a[:, None] - b) ** 2
+    need = k + (1 if exclude_self else 0)
+    if need < len(p_id):
+        worst = np.sqrt(np.partition(squared, need - 1, axis=1)[:, need - 1]) + SLACK
+        rows, cols = np.nonzero(squared <= (worst**2)[:, None])
+    else:
+        rows, cols = np.nonzero(np.ones_like(squared, dtype=bool))
+    p1, p2 = np.radians(q_lat)[rows], np.radians(p_lat)[cols]
+    dl = np.radians(p_lon)[cols] - np.radians(q_lon)[rows]
+    a = np.sin((p2 - p1) / 2) ** 2 + np.cos(p1) * np.cos(p2) * np.sin(dl / 2) ** 2
+    km, ids = 2 * EARTH_RADIUS_KM * np.arcsin(np.sqrt(np.clip(a, 0, 1))), p_id[cols]
+    keep = np.ones(len(rows), dtype=bool)
+    if exclude_self:
+        keep &= ids != q_id[rows]
+    if within_km is not None:
+        keep &= km <= within_km
+    rows, ids, km = rows[keep], ids[keep], km[keep]
+    order = np.lexsort((ids, np.floor(km * 10**TIE_DECIMALS + 0.5), rows))
+    rows, ids, km = rows[order], ids[order], km[order]
+    rank = np.arange(len(rows)) - np.searchsorted(rows, rows) + 1
+    top = rank <= k
+    return rows[top], ids[top], km[top], rank[top]
+
+
+def _small_pool_join(q_rows: DataFrame, pool: dict, group: list[str], k: int, exclude_self: bool, within_km: float | None) -> DataFrame:
+    spark = q_rows.sparkSession
+    shared = spark.sparkContext.broadcast(pool)
+    fields = [f for f in q_rows.schema.fields if f.name in group]
+    types = dict(q_rows.dtypes)
+    schema = T.StructType([*fields, *[
+        T.StructField(n, t) for n, t in (("src", q_rows.schema["id"].dataType), ("dst", T.LongType()), ("dist_km", T.DoubleType()), ("rn", T.IntegerType()))
+    ]])
+    chunk = max(16, 4_000_000 // max(1, max((len(v[0]) for v in pool.values()), default=1)))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            keys = list(zip(*[table[c].to_pylist() for c in group]))
+            codes = {key: i for i, key in enumerate(dict.fromkeys(keys))}
+            number = np.fromiter((codes[key] for key in keys), dtype=np.int64, count=len(keys))
+            q_id, q_lat, q_lon = (table[c].to_numpy() for c in ("id", "lat", "lon"))
+            for key, code in codes.items():
+                mine = np.flatnonzero(number == code)
+                for start in range(0, len(mine) if key in shared.value else 0, chunk):
+                    part = mine[start : start + chunk]
+                    rows, ids, km, rank = _nearest((q_id[part], q_lat[part], q_lon[part]), shared.value[key], k, exclude_self, within_km)
+                    groups = table.select(group).take(pa.array(part[rows]))
+                    columns = [groups[c].combine_chunks() for c in group] + [pa.array(q_id[part][rows]), pa.array(ids), pa.array(km), pa.array(rank.astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(columns, names=[*group, "src", "dst", "dist_km", "rn"])
+
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert types["id"] in ("bigint", "int"), "record ids must be whole numbers"
+    return q_rows.repartition(tasks).mapInArrow(search, schema)
+
+
+def _collect_small(p_rows: DataFrame, group: list[str], limit: int) -> dict | None:
+    """The pool by group when it has at most ``limit`` rows, else None."""
+    found = p_rows.limit(limit + 1).toArrow()
+    if found.num_rows > limit:
+        return None
+    keys = list(zip(*[found[c].to_pylist() for c in group]))
+    rows: dict = {}
+    for i, key in enumerate(keys):
+        rows.setdefault(key, []).append(i)
+    columns = [found[c].to_numpy() for c in ("id", "lat", "lon")]
+    return {key: tuple(c[np.array(at)] for c in columns) for key, at in rows.items()}
+
+
 def knn_join(
     queries: DataFrame,
     pool: DataFrame,
@@ -121,12 +208,14 @@ def knn_join(
     by: tuple[str, ...] = (),
     exclude_self: bool = False,
     within_km: float | None = None,
+    small_pool: int = SMALL_POOL,
 ) -> DataFrame:
     """``k`` nearest pool records of every query: ``(*by, src, dst, dist_km, rn)``.
 
     ``by`` restricts neighbours to the same group. ``within_km`` drops pairs
     farther than the radius and lets the search stop there. Coordinates must
-    not be null (see ``require_coordinates``).
+    not be null (see ``require_coordinates``). ``small_pool=0`` always takes
+    the block join.
     """
     group = list(by) or ["all_rows"]
 
@@ -135,9 +224,15 @@ def knn_join(
         return df.select(*keys, F.col(lat).alias("lat"), F.col(lon).alias("lon"), F.col(id_col).alias("id"))
 
     q_rows = side(queries, query_id)
+    p_rows = q_rows if queries is pool else side(pool, pool_id)
+    few = _collect_small(p_rows, group, small_pool) if small_pool else None
+    if few is not None:
+        found = _small_pool_join(q_rows, few, group, k, exclude_self, within_km)
+        return found.select(*by, "src", "dst", "dist_km", "rn")
+
     need = k + (1 if exclude_self else 0)
     leaf = max(16, need)
-    p_side = _places(side(pool, pool_id), "id", need, leaf, group)
+    p_side = _places(p_rows, "id", need, leaf, group)
     q_side = p_side if queries is pool else _places(q_rows, "id", 0, leaf, group)
 
     levels = max(_levels(p_side.largest, leaf), _levels(q_side.largest, leaf))
@@ -183,9 +278,11 @@ def knn_join(
     candidates = candidates.withColumn("dist_km", dist)
     if within_km is not None:
         candidates = candidates.filter(F.col("dist_km") <= F.lit(float(within_km)))
-    order = W.partitionBy(*group, "q", "q_rank").orderBy(F.round("dist_km", TIE_DECIMALS), "id")
+    # whole millimetres as a long: cheaper to make and to sort than a rounded double
+    millimetres = F.floor(F.col("dist_km") * 10**TIE_DECIMALS + 0.5)
+    order = W.partitionBy("q_rank", "q", *group).orderBy("mm", "id")
     best = (
-        candidates.select(*group, "q", "q_rank", "q_lat", "q_lon", F.explode("p_ids").alias("id"), "dist_km")
+        candidates.select(*group, "q", "q_rank", "q_lat", "q_lon", millimetres.alias("mm"), F.explode("p_ids").alias("id"), "dist_km")
         .withColumn("rn", F.row_number().over(order))
         .filter(F.col("rn") <= need)
         .groupBy(*group, "q", "q_rank", F.col("q_lat").alias("lat"), F.col("q_lon").alias("lon"))
