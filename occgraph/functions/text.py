@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from occgraph.functions import rules as R
 
+_BLANKS = " \t\n\r\x0b\x0c"
 _SYMBOLS = "|".join(R.RARE_EARTH_SYMBOLS)
 _SUFFIX = "|".join(R.RARE_EARTH_SUFFIXES)
 _GENERIC = r"\b(" + "|".join(R.GENERIC_RARE_EARTH) + r")\b"
@@ -40,12 +41,13 @@ def rare_earths_listed(c: Column) -> Column:
     found = [
         F.when(text.rlike(rf"(?<![a-z]){s}(?![a-z])|{s}-({_SUFFIX})"), F.lit(s.upper())) for s in R.RARE_EARTH_SYMBOLS
     ] + [F.when(text.rlike(_GENERIC), F.lit("REE_GENERIC"))]
-    return F.array_sort(F.array_compact(F.array(*found)))
+    none = F.array().cast("array<string>")
+    return F.when(mentions_rare_earth(c), F.array_sort(F.array_compact(F.array(*found)))).otherwise(none)
 
 
 def items(c: Column, separators: str = ",") -> Column:
     """Trimmed items of a delimited text."""
-    return F.transform(F.split(c, f"[{separators}]"), lambda item: F.trim(item))
+    return F.transform(F.split(c, f"[{separators}]"), lambda item: F.trim(item, F.lit(_BLANKS)))
 
 
 def scrub_rare_earths(c: Column) -> Column:
@@ -61,7 +63,7 @@ def has_dash(c: Column) -> Column:
 def token_counts(df: DataFrame, column: str, separators: str = ",", keys: tuple[str, ...] = (), lower: bool = False) -> DataFrame:
     """Mentions per token; blanks are dropped when a separator class is given."""
     text = F.lower(F.col(column)) if lower else F.col(column)
-    tokens = df.filter(F.col(column).isNotNull()).select(*keys, F.explode(items(text, separators)).alias("token"))
+    tokens = df.select(*keys, F.explode(items(text, separators)).alias("token"))  # a null list has no tokens
     if separators != ",":
         tokens = tokens.filter(F.col("token") != "")
     return tokens.groupBy(*keys, "token").agg(F.count("*").alias("n"))
@@ -92,14 +94,14 @@ def normalise_deposit(c: Column) -> Column:
     return F.translate(F.lower(F.coalesce(c, F.lit(""))), "?()", "")
 
 
-def primary_deposits(c: Column) -> Column:
-    """Deposit terms without secondary phrases, split at commas and semicolons."""
-    text = reduce(lambda t, phrase: F.replace(t, F.lit(phrase), F.lit("")), R.SECONDARY_DEPOSIT_PHRASES, normalise_deposit(c))
-    return F.filter(items(text, ";,"), lambda d: d != "")
+def _deposit_text(c: Column) -> Column:
+    """Normalised deposit text without secondary phrases."""
+    return reduce(lambda t, phrase: F.replace(t, F.lit(phrase), F.lit("")), R.SECONDARY_DEPOSIT_PHRASES, normalise_deposit(c))
 
 
-def _term_has(terms: Column, words: list[str]) -> Column:
-    return F.exists(terms, lambda term: _any([_has(term, w) for w in words]))
+def primary_deposits(c: Column) -> Column:
+    """Deposit terms without secondary phrases, split at commas and semicolons."""
+    return F.filter(items(_deposit_text(c), ";,"), lambda d: d != "")
 
 
 def _from_minerals(minerals: Column) -> list[tuple[Column, Column]]:
@@ -112,19 +114,22 @@ def _from_minerals(minerals: Column) -> list[tuple[Column, Column]]:
     return out
 
 
-def host_rock(given: Column, deposit: Column, minerals: Column) -> Column:
-    """The given host rock, else the first matching rule of the cascade."""
-    terms = primary_deposits(deposit)
-    minerals = F.lower(F.coalesce(minerals, F.lit("")))
+def _host_rock_rules(given: Column, deposit: Column, minerals: Column) -> Column:
+    """The cascade over prepared deposit and mineral text.
+
+    No keyword holds a separator, so it occurs in some term exactly when it
+    occurs in the text: terms need not be split row by row.
+    """
     by_mineral = _from_minerals(minerals)
+    no_terms = ~deposit.rlike(r"[^;,\s]")
     branches = [(given.isNotNull(), given)]
-    branches += [((F.size(terms) == 0) & test, outcome) for test, outcome in by_mineral]
+    branches += [(no_terms & test, outcome) for test, outcome in by_mineral]
     for words, with_minerals, special, outcome in R.DEPOSIT_RULES:
-        named = _term_has(terms, words)
+        named = _any([_has(deposit, w) for w in words])
         if with_minerals:
             branches.append((named & _any([_has(minerals, w) for w in with_minerals]), F.lit(special)))
         branches.append((named, F.lit(outcome)))
-    unclassified = F.array_contains(terms, R.UNCLASSIFIED)
+    unclassified = deposit.rlike(rf"(^|[;,])\s*{R.UNCLASSIFIED}\s*([;,]|$)")
     branches += [(unclassified & test, outcome) for test, outcome in by_mineral]
     chain = F.when(*branches[0])
     for test, outcome in branches[1:]:
@@ -132,8 +137,20 @@ def host_rock(given: Column, deposit: Column, minerals: Column) -> Column:
     return chain.otherwise(F.lit(R.UNCLASSIFIED))
 
 
+def with_host_rock(df: DataFrame, name: str = "filled") -> DataFrame:
+    """Add the given host rock, else the first matching rule of the cascade.
+
+    The prepared texts are columns of their own so that they are made once per
+    row, not once per rule.
+    """
+    prepared = df.withColumns({
+        "deposit_text": _deposit_text(F.col("dep_type")), "mineral_text": F.lower(F.coalesce("sig_mins", F.lit("")))})
+    rules = _host_rock_rules(F.col("host_lith"), F.col("deposit_text"), F.col("mineral_text"))
+    return prepared.withColumn(name, rules).drop("deposit_text", "mineral_text")
+
+
 def host_rock_confidence(given: Column, filled: Column) -> Column:
-    """How the host rock was found; ``filled`` is the output of ``host_rock``."""
+    """How the host rock was found; ``filled`` comes from ``with_host_rock``."""
     return (
         F.when(given.isNotNull(), "Direct").when(filled == R.UNCLASSIFIED, "Unclassified")
         .when(_has(filled, R.LOW_CONFIDENCE_MARK), "Tier2").otherwise("Tier1")
@@ -142,9 +159,8 @@ def host_rock_confidence(given: Column, filled: Column) -> Column:
 
 def fill_host_rock(df: DataFrame) -> DataFrame:
     """Replace ``host_lith`` and mark the inferred rows."""
-    filled = host_rock(F.col("host_lith"), F.col("dep_type"), F.col("sig_mins"))
     return (
-        df.withColumn("filled", filled)
+        with_host_rock(df)
         .withColumn("host_lith_inferred", F.col("host_lith").isNull())
         .withColumn("host_lith_tier", host_rock_confidence(F.col("host_lith"), F.col("filled")))
         .withColumn("host_lith", F.col("filled")).drop("filled")

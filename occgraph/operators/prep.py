@@ -108,7 +108,7 @@ class FeaturePrep:
         return df.select(self.id_col, *keep, array_to_vector(F.array(*self._columns())).alias(output))
 
     def to_json(self) -> str:
-        return json.dumps(asdict(self), sort_keys=True)
+        return json.dumps(asdict(self))  # key order is column order
 
     @classmethod
     def from_json(cls, text: str) -> FeaturePrep:

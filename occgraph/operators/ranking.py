@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from occgraph.session import materialize
+
 _STEP = 32
 RANGES = _STEP * _STEP
 
@@ -46,6 +48,10 @@ def running_totals(
 
     ``df`` must hold one row per (key, order_by); aggregate first.
     """
+    if edges_from is None:
+        # the collapsed table is read for its edges and again for the sums:
+        # write it once instead of aggregating the raw rows twice
+        df = materialize(df)
     ranged = with_range(df, order_by, edges_from=edges_from)
     inside = W.partitionBy(*keys, "value_range").orderBy(order_by).rowsBetween(W.unboundedPreceding, -1)
     across = W.partitionBy(*keys).orderBy("value_range").rowsBetween(W.unboundedPreceding, -1)

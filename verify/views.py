@@ -187,17 +187,14 @@ _NULLS = {"dep_type": 0.12, "host_lith": 0.55, "commods": 0.2, "dep_note": 0.5,
 
 def occ(spark: SparkSession, sf: str) -> DataFrame:
     place = sites(spark, sf).select(F.col("row_id").alias("o_custkey"), "region", "country", "lat", "lon")
-    mins = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))),
-            lambda s: _pick("mineral", F.col("l_orderkey"), s["l_linenumber"], s["l_partkey"]),
-        ).alias("mins")
-    )
+    mineral = _pick("mineral", F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey")).alias("mineral")
+    mins = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", mineral).groupBy("l_orderkey").agg(
+        F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "mineral")))["mineral"].alias("mins"))
     key = F.col("row_id")
     null = lambda name, c: F.when(hash_uniform(F.lit("null " + name), key) >= _NULLS[name], c).alias(name)
     dep = F.concat_ws("; ", _pick("deposit", key), F.when(key % 3 == 0, _pick("deposit", F.lit("2"), key)))
     return (
-        table(spark, sf, "orders").join(place, "o_custkey").join(mins, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+        table(spark, sf, "orders").repartition("o_orderkey").join(place, "o_custkey").join(mins, F.col("o_orderkey") == F.col("l_orderkey"), "left")
         .withColumn("row_id", F.col("o_orderkey"))
         .select(
             "row_id", (F.col("row_id") - F.when(F.col("row_id") % 50 == 49, 1).otherwise(0)).alias("id_no"),
