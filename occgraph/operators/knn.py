@@ -156,9 +156,8 @@ def _small_pool_join(q_rows: DataFrame, pool: dict, group: list[str], k: int, ex
     spark = q_rows.sparkSession
     shared = spark.sparkContext.broadcast(pool)
     fields = [f for f in q_rows.schema.fields if f.name in group]
-    types = dict(q_rows.dtypes)
     schema = T.StructType([*fields, *[
-        T.StructField(n, t) for n, t in (("src", q_rows.schema["id"].dataType), ("dst", T.LongType()), ("dist_km", T.DoubleType()), ("rn", T.IntegerType()))
+        T.StructField(n, t) for n, t in (("src", T.LongType()), ("dst", T.LongType()), ("dist_km", T.DoubleType()), ("rn", T.IntegerType()))
     ]])
     chunk = max(16, 4_000_000 // max(1, max((len(v[0]) for v in pool.values()), default=1)))
 
@@ -179,7 +178,6 @@ def _small_pool_join(q_rows: DataFrame, pool: dict, group: list[str], k: int, ex
                     yield pa.RecordBatch.from_arrays(columns, names=[*group, "src", "dst", "dist_km", "rn"])
 
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    assert types["id"] in ("bigint", "int"), "record ids must be whole numbers"
     return q_rows.repartition(tasks).mapInArrow(search, schema)
 
 
@@ -214,14 +212,15 @@ def knn_join(
 
     ``by`` restricts neighbours to the same group. ``within_km`` drops pairs
     farther than the radius and lets the search stop there. Coordinates must
-    not be null (see ``require_coordinates``). ``small_pool=0`` always takes
-    the block join.
+    not be null (see ``require_coordinates``) and ids must be whole numbers.
+    ``small_pool=0`` takes the block join without counting the pool first.
     """
     group = list(by) or ["all_rows"]
 
     def side(df: DataFrame, id_col: str) -> DataFrame:
         keys = [F.col(c) for c in by] or [F.lit(0).alias("all_rows")]
-        return df.select(*keys, F.col(lat).alias("lat"), F.col(lon).alias("lon"), F.col(id_col).alias("id"))
+        rows = df.select(*keys, F.col(lat).alias("lat"), F.col(lon).alias("lon"), F.col(id_col).cast("bigint").alias("id"))
+        return rows.dropna(subset=group)  # a null group has no neighbours
 
     q_rows = side(queries, query_id)
     p_rows = q_rows if queries is pool else side(pool, pool_id)

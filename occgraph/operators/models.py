@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from occgraph.functions.hashing import hash_order
 from occgraph.operators.metrics import all_metrics, classification_metrics
 from occgraph.operators.splits import hash_rank, stratified_folds
-from occgraph.session import materialize
+from occgraph.session import materialize, small_values
 
 Factory = Callable[[int], list[Estimator]]
 SCORING = ("oof", "in_sample", "none")
@@ -256,8 +256,7 @@ def leave_out_probe(data: DataFrame, fold: str, build: Callable[[int], Estimator
 
     One fit per fold value, however many runs reuse the fold.
     """
-    values = [r[0] for r in data.select(fold).dropna().distinct().orderBy(fold).collect()]  # one per fold
-    parts = [predict(build(seed).fit(data.filter(~F.col(fold).eqNullSafe(v))), data.filter(F.col(fold) == v), "y_prob") for v in values]
+    parts = [predict(build(seed).fit(data.filter(~F.col(fold).eqNullSafe(v))), data.filter(F.col(fold) == v), "y_prob") for v in small_values(data, fold)]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
@@ -265,6 +264,7 @@ def pooled_or_by_group(data: DataFrame, group: str, build: Callable[[int], Estim
     """Test predictions of one pooled model and of one model per eligible group,
     and the groups skipped with their reason."""
     data = materialize(data)
+    small_values(data, group)  # raises on too many groups
     status = eligible_folds(data, [group], min_train).collect()  # one row per group
     skipped = data.sparkSession.createDataFrame([(r[group], r["reason"]) for r in status if r["reason"]], f"`{group}` string, reason string")
     train, test = data.filter("role <> 'test'"), data.filter("role = 'test'")

@@ -8,6 +8,7 @@ no fold, however large, is sorted in one task.
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
@@ -19,11 +20,11 @@ from occgraph.functions.geo import unit_xyz
 from occgraph.functions.hashing import hash_order
 from occgraph.operators.knn import knn_graph_pairs, knn_join
 from occgraph.operators.ranking import grouped_quantiles
-from occgraph.session import materialize
+from occgraph.session import materialize, small_values
 
 STRATEGIES = ("block", "buffer")
 OVERSHOOT = 1.6
-_SLICES = 4096
+MAX_CASES = 1000
 
 
 def hash_rank(df: DataFrame, keys: list[str], shuffle: Column, tie: str = "row_id", name: str = "place") -> DataFrame:
@@ -37,7 +38,7 @@ def hash_rank(df: DataFrame, keys: list[str], shuffle: Column, tie: str = "row_i
     )
     sizes = keyed.groupBy(*keys, "slice").agg(F.count("*").alias("n"))
     before = W.partitionBy(*keys).orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
-    shifts = sizes.select(  # at most _SLICES rows per key
+    shifts = sizes.select(  # at most 4096 rows per key
         *keys, "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"),
         F.sum("n").over(W.partitionBy(*keys)).alias(f"{name}_n"),
     )
@@ -55,11 +56,8 @@ def leave_one_region_out(df: DataFrame, seeds: list[int], val_ratio: float = 0.2
     Rows without a region are never tested. Val is the first
     ``int(n * val_ratio)`` of the other rows in hash order.
     """
-    folds = df.select(F.col(region).alias("fold")).filter("fold IS NOT NULL").distinct()
-    folds = folds.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
-    rows = df.select("row_id", F.col(region).alias("home"), F.lit(1).alias("k")).join(
-        F.broadcast(folds.withColumn("k", F.lit(1))), "k"  # one row per region and seed
-    ).drop("k")
+    cases = F.array(*[F.struct(F.lit(r).alias("fold"), F.lit(s).alias("seed")) for r in small_values(df, region) for s in seeds])
+    rows = df.select("row_id", F.col(region).alias("home"), F.explode(cases).alias("c")).select("row_id", "home", "c.*")
     return _fold_roles(rows, F.col("home").eqNullSafe(F.col("fold")), val_ratio)
 
 
@@ -127,6 +125,22 @@ def spatial_blocks(df: DataFrame, n_blocks: int, seed: int, starts: int = 10) ->
     return best.transform(vectors).select("row_id", "block")
 
 
+def regional_blocks(df: DataFrame, n_blocks: int, seed: int, region: str = "region", starts: int = 10) -> DataFrame:
+    """``(seed, region, row_id, block)`` with blocks cut inside every region."""
+    parts = [
+        spatial_blocks(df.filter(F.col(region) == r), n_blocks, seed, starts).select(
+            F.lit(seed).alias("seed"), F.lit(r).alias("region"), "row_id", "block")
+        for r in small_values(df, region)
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def hold_out_blocks(blocks: DataFrame, test_ratio: float = 0.15) -> DataFrame:
+    """Rows of the held-out blocks of every (seed, region)."""
+    sizes = blocks.groupBy("seed", "region", "block").agg(F.count("*").alias("n"))
+    return blocks.join(select_blocks(sizes, ["seed", "region"], test_ratio), ["seed", "region", "block"])
+
+
 def select_blocks(sizes: DataFrame, keys: list[str], test_ratio: float, overshoot: float = OVERSHOOT) -> DataFrame:
     """Held-out blocks per key from ``(*keys, block, n)``.
 
@@ -190,7 +204,11 @@ def buffered_splits(
     if pool == "region":
         rows = sites.join(cases, F.col("home") == F.col("region"))
     elif pool == "global":
-        rows = sites.join(F.broadcast(cases.withColumn("one", F.lit(1))), F.col("one") == 1).drop("one")  # one row per case
+        pairs = [(r["seed"], r["region"]) for r in cases.limit(MAX_CASES + 1).collect()]
+        if len(pairs) > MAX_CASES:
+            raise ValueError(f"more than {MAX_CASES} seeds and regions in one call")
+        every = F.array(*[F.struct(F.lit(s).alias("seed"), F.lit(r).alias("region")) for s, r in sorted(pairs)])
+        rows = sites.withColumn("case", F.explode(every)).select("row_id", "home", "lat", "lon", "case.*")
     else:
         raise ValueError(f"pool must be 'region' or 'global', got {pool!r}")
     marked = rows.drop("home").join(held.select(*keys, "row_id", F.lit(True).alias("is_test")), [*keys, "row_id"], "left")
@@ -198,7 +216,7 @@ def buffered_splits(
     test, rest = marked.filter("is_test"), marked.filter("NOT is_test")
     widest = radius.agg(F.max("buffer_km")).first()[0] or 0.0
     close = knn_join(rest, test, 1, by=("seed", "region"), within_km=widest).select(*keys, F.col("src").alias("row_id"), "dist_km")
-    distances = rest.join(close, [*keys, "row_id"], "left").join(F.broadcast(radius), "region")  # one row per region
+    distances = rest.join(close, [*keys, "row_id"], "left").join(radius, "region")
     judged = materialize(distances.select(
         *keys, "row_id", "buffer_km", (F.col("dist_km").isNull() | (F.col("dist_km") > F.col("buffer_km"))).alias("far")))
     n_test = test.groupBy(*keys).agg(F.count("*").alias("n_test"))

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from occgraph.operators.infer import adoption
 from occgraph.operators.knn import knn_graph_pairs
+from occgraph.operators.metrics import all_metrics, metric_rows
+from occgraph.operators.resultsets import condition_differences
+from occgraph.plans.region_sweep import SweepConfig, run_sweep
 
 
 def k_sweep(nodes: DataFrame, ks: list[int], max_km: float | None = 2000.0) -> DataFrame:
@@ -22,3 +28,20 @@ def max_distance_sweep(nodes: DataFrame, limits_km: list[float], k: int = 15) ->
     pairs = knn_graph_pairs(nodes, k).withColumn("max_km", F.explode(F.array(*[F.lit(x) for x in limits_km])))
     kept = pairs.filter((F.col("dist_km") <= F.col("max_km")) | (F.col("rn") == 1))
     return kept.groupBy("max_km").agg((2 * F.count("*")).alias("n_edges"), F.avg("dist_km").alias("mean_km"))
+
+
+def condition_sweep(records: DataFrame, splits: DataFrame, cases: list[tuple[int, str]], conditions: dict[str, SweepConfig]) -> DataFrame:
+    """The same folds under several configurations, with a ``condition`` column."""
+    parts = [run_sweep(records, splits, cases, cfg).withColumn("condition", F.lit(name)) for name, cfg in conditions.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def condition_metrics(preds: DataFrame) -> DataFrame:
+    """``(condition, seed, region, metric, value)`` of a condition sweep."""
+    keys = ["condition", "seed", "region"]
+    return metric_rows(all_metrics(preds, keys), keys)
+
+
+def compare_conditions(metrics: DataFrame, a: str, b: str) -> DataFrame:
+    """Paired per fold and metric, with the adoption rule."""
+    return adoption(condition_differences(metrics, a, b, ["seed", "region"]))

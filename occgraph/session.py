@@ -41,6 +41,17 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/occgraph/{spark.sparkContext.applicationId}"
+
+
+def clear_materialized(spark: SparkSession) -> None:
+    """Delete this application's copies, once no result built on them is needed."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -49,6 +60,17 @@ def materialize(df: DataFrame) -> DataFrame:
     planner real sizes, so it never has to guess whether a side is small.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/occgraph/{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small_values(df: DataFrame, column: str, limit: int = 1000) -> list:
+    """Distinct non-null values, sorted; raises beyond ``limit``.
+
+    For driver loops and literal lists over folds, regions or seeds.
+    """
+    found = [r[0] for r in df.select(column).dropna().distinct().limit(limit + 1).collect()]
+    if len(found) > limit:
+        raise ValueError(f"{column} has more than {limit} values")
+    return sorted(found)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from occgraph.functions import text as X
@@ -11,6 +13,7 @@ from occgraph.operators import metrics as M
 from occgraph.operators import resultsets as RS
 from occgraph.operators.ranking import grouped_quantiles
 from occgraph.operators.table import label_not_null
+from occgraph.session import shared_dir
 from occgraph.sources import io, runs
 from verify.registry import query
 from verify.views import DOCS, FLAGS, OCC, PREDS, SEEDS, SITE_ATTRS, SITES, docs, knn_sql, occ, preds, site_attrs, sites, u_sql, with_sql
@@ -467,3 +470,19 @@ def skipped_inputs(spark, sf):
     m = metric_rows(spark, sf).filter("metric = 'f1'").withColumn("value", F.when(~((F.col("region") == "ASIA") & (F.col("seed") == 4)), F.col("value")))
     expected = m.select(*K3).unionByName(m.filter("model = 'm1'").select(F.lit("m9").alias("model"), "seed", "region"))
     return RS.with_skipped(expected, m, K3, {"no value": F.col("value").isNull()})[1]
+
+
+@query(with_sql(_MET, """SELECT model AS condition, metric, round(avg(v),6) AS mean, round(stddev_pop(v),6) AS std, count(*) AS n FROM (SELECT model, metric, seed, avg(value) AS v
+  FROM ml WHERE value IS NOT NULL GROUP BY 1,2,3) GROUP BY 1,2"""))
+def shard_files_merge(spark, sf):
+    """Shard files, one per region, read back as documents and merged."""
+    m = metric_rows(spark, sf).filter("value IS NOT NULL")
+    entries = lambda k, v: F.map_from_entries(F.collect_list(F.struct(k, v)))
+    folds = m.groupBy("region", "model", "seed").agg(entries("metric", F.col("value").cast("string")).alias("metrics"))
+    cells = folds.withColumn("per_region", F.create_map("region", F.struct(F.lit(1).alias("n_test"), "metrics")))
+    runs_ = cells.groupBy("region", "model").agg(entries(F.col("seed").cast("string"), F.struct("per_region")).alias("runs"))
+    shards = runs_.groupBy("region").agg(entries("model", F.struct("runs")).alias("results")).select("region", F.to_json(F.struct("results")).alias("value"))
+    path = f"{shared_dir(spark)}/shards/{uuid.uuid4().hex}"
+    shards.write.partitionBy("region").text(path)
+    rows = runs.flatten_shards(runs.read_documents(spark, path))
+    return rd(RS.merge_summary(RS.require_unique_cells(rows, ["condition", "seed", "region", "metric"]), ["condition", "metric"]))

@@ -8,17 +8,20 @@ from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.sql import functions as F
 
 from occgraph.functions import rules as R
+from occgraph.functions import text as X
 from occgraph.operators import graph as G
 from occgraph.operators import interpolation as N
 from occgraph.operators import models as M
 from occgraph.operators import prep as P
 from occgraph.operators import rewire as RW
 from occgraph.operators import splits as S
+from occgraph.operators import table as B
 from occgraph.operators.knn import knn_graph_pairs
 from occgraph.operators.metrics import all_metrics
 from occgraph.operators.ranking import medians
 from occgraph.plans import processed as PL
 from occgraph.plans.region_sweep import SweepConfig, fit_fold, run_sweep, score_held_out
+from occgraph.plans.sweeps import compare_conditions, condition_metrics, condition_sweep
 from occgraph.session import materialize, shared_dir
 from occgraph.sources import io
 from occgraph.streaming.attach import score_stream
@@ -278,6 +281,30 @@ def no_message_passing_run(spark, sf):
     return run_sweep(r, splits, [(42, "ASIA")], _config(propagation="none"), model="no_graph")
 
 
+@query()
+def weighted_vs_unweighted_run(spark, sf):
+    """Two propagation modes on the same fold, tuned apart and compared."""
+    r = records(spark, sf).drop("role")
+    splits = S.leave_one_region_out(r, [42])
+    swept = condition_sweep(r, splits, [(42, "ASIA")], {"mean": _config(use_score=False), "weighted": _config(use_score=False, propagation="weighted_mean")})
+    return compare_conditions(condition_metrics(materialize(swept)), "weighted", "mean")
+
+
+@query()
+def model_inputs(spark, sf):
+    """All fixed-width model inputs of the processed records."""
+    o = occ(spark, sf)
+    done, _, _ = PL.processed_table(o, n_tokens=20, drop_region=None)
+    done = materialize(B.attach_by_row(done, B.hierarchy_features(o)).drop("ree_mins"))
+    tokens, groups = B.columns_with_prefix(done, "has_"), B.columns_with_prefix(done, "is_", ("is_composite_system", "is_part_of_complex"))
+    scaled = P.zscore(done, P.zscore_state(done, ["lat", "lon"]))
+    wide = scaled.select(
+        "*", *X.commodity_flags(F.col("commods")), *P.fixed_one_hot("region", R.REGIONS, "region"),
+        *P.fixed_one_hot("rec_type_raw", R.RECORD_TYPES, "rec_type"), *P.fixed_one_hot("system_class", R.SYSTEMS, "system"))
+    frame = B.model_frame(wide, tokens, groups)
+    return frame.select("row_id", "lat_z", "lon_z", "commodity_count", "system_other", "label")
+
+
 @query(with_sql([SITES, FEATS, *graph_sql("distance", k=5, max_km=2000), "u AS (SELECT DISTINCT src, dst FROM e)"], "SELECT dst AS row_id, count(*) AS degree FROM u GROUP BY dst"))
 def rewired_degrees(spark, sf):
     g = G.build_weighted_graph(sites(spark, sf), 5, strategy="distance")

@@ -8,6 +8,7 @@ from occgraph.functions.hashing import hash_order
 from occgraph.operators import splits as S
 from occgraph.operators.analytics import sample_per_group
 from occgraph.operators.knn import nearest_pool_distance
+from occgraph.session import materialize
 from verify.registry import query
 from verify.views import FLAGS, SITE_ATTRS, SITES, hav_sql, site_attrs, sites, with_sql
 
@@ -163,6 +164,22 @@ def spatial_blocks_kmeans(spark, sf):
     return blocks.groupBy("block").agg(F.count("*").alias("n"))
 
 
+@query()
+def regional_block_split(spark, sf):
+    """K-means blocks cut per region, whole blocks held out, buffer applied."""
+    s = materialize(sites(spark, sf))
+    blocks = S.regional_blocks(s, S.default_block_count(0.15), 42, starts=1)
+    return S.buffered_splits(s, S.hold_out_blocks(materialize(blocks)))[1]
+
+
+@query(with_sql(_buffer_sql("region"), "SELECT seed, region, 'n_test' AS fields FROM inf WHERE seed = 2"))
+def split_info_audit(spark, sf):
+    stored = materialize(S.buffered_splits(sites(spark, sf), _held(spark, sf))[1])
+    rebuilt = stored.withColumn("n_test", F.when(F.col("seed") == 2, F.col("n_test") + 1).otherwise(F.col("n_test"))).withColumn(
+        "buffer_km", F.col("buffer_km") + 1e-12)
+    return S.info_differences(stored, rebuilt).withColumn("fields", F.array_join("fields", ","))
+
+
 @query()
 def split_strategy_comparison(spark, sf):
     """Whole blocks against random rows, same buffer rule."""

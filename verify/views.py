@@ -28,10 +28,10 @@ def u_sql(*parts: str) -> str:
 
 def sites(spark: SparkSession, sf: str) -> DataFrame:
     nation = table(spark, sf, "nation").join(
-        F.broadcast(table(spark, sf, "region")), F.col("n_regionkey") == F.col("r_regionkey")
+        table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")
     )
     raw_lon = F.lit(-170.0) + F.lit(14.2) * F.col("c_nationkey") + (F.col("c_custkey") * 104729 % 1200) / F.lit(100.0)
-    return table(spark, sf, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).select(
+    return table(spark, sf, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
         F.col("c_custkey").alias("row_id"), F.col("n_name").alias("country"), F.col("r_name").alias("region"),
         (F.col("c_acctbal") > 4500).cast("int").alias("label"),
         (F.lit(-60.0) + 24 * F.col("r_regionkey") + (F.col("c_custkey") * 7919 % 2000) / F.lit(100.0)).alias("lat"),
