@@ -52,8 +52,13 @@ def items(c: Column, separators: str = ",") -> Column:
 
 def scrub_rare_earths(c: Column) -> Column:
     """Drop list items that mention rare earths; null when none is left."""
-    kept = F.filter(items(c), lambda i: ~F.lower(i).rlike(RARE_EARTH_PATTERN))
-    return F.when(F.size(kept) > 0, F.array_join(kept, ", "))
+    nothing = F.lit(None).cast("string")
+
+    def keep(text: Column, item: Column) -> Column:
+        longer = F.concat(F.coalesce(F.concat(text, F.lit(", ")), F.lit("")), item)
+        return F.when(F.lower(item).rlike(RARE_EARTH_PATTERN), text).otherwise(longer)
+
+    return F.aggregate(items(c), nothing, keep)
 
 
 def has_dash(c: Column) -> Column:
@@ -63,7 +68,9 @@ def has_dash(c: Column) -> Column:
 def token_counts(df: DataFrame, column: str, separators: str = ",", keys: tuple[str, ...] = (), lower: bool = False) -> DataFrame:
     """Mentions per token; blanks are dropped when a separator class is given."""
     text = F.lower(F.col(column)) if lower else F.col(column)
-    tokens = df.select(*keys, F.explode(items(text, separators)).alias("token"))  # a null list has no tokens
+    # the outer form keeps the planner from testing the list in a filter of its
+    # own, which would build it twice; a null list has no tokens
+    tokens = df.select(*keys, F.explode_outer(items(text, separators)).alias("token")).filter(F.col("token").isNotNull())
     if separators != ",":
         tokens = tokens.filter(F.col("token") != "")
     return tokens.groupBy(*keys, "token").agg(F.count("*").alias("n"))
