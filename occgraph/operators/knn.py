@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 from occgraph.functions.geo import EARTH_RADIUS_KM, chord_of_km, haversine_km, morton_code, unit_xyz
 from occgraph.session import materialize
 
+BLOCK = 128      # places per block, or more if more neighbours are wanted
 FAN = 8          # boxes grouped into the next wider box
 TOP = 64         # at most this many widest boxes per group and side
 SLACK = 1e-9     # chord length, about 6 mm: keeps every tie at the 1 mm rounding
@@ -123,18 +124,20 @@ def _xyz(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
     return np.stack([np.cos(p) * np.cos(q), np.cos(p) * np.sin(q), np.sin(p)])
 
 
-def _nearest(queries: tuple, pool: tuple, k: int, exclude_self: bool, within_km: float | None) -> tuple:
-    """Neighbours of a few queries in a small pool: (query position, id, km, rank)."""
+def _nearest(queries: tuple, pool: tuple, k: int, exclude_self: bool, within_km: float | None, limit: np.ndarray | float = np.inf) -> tuple:
+    """Neighbours of a few queries in a small pool: (query position, id, km, rank).
+
+    ``limit`` is a chord length per query beyond which nothing is wanted.
+    """
     (q_id, q_lat, q_lon), (p_id, p_lat, p_lon) = queries, pool
     squared = np.zeros((len(q_id), len(p_id)))
     for a, b in zip(_xyz(q_lat, q_lon), _xyz(p_lat, p_lon)):
         squared += (a[:, None] - b) ** 2
     need = k + (1 if exclude_self else 0)
+    worst = np.broadcast_to(limit, len(q_id))
     if need < len(p_id):
-        worst = np.sqrt(np.partition(squared, need - 1, axis=1)[:, need - 1]) + SLACK
-        rows, cols = np.nonzero(squared <= (worst**2)[:, None])
-    else:
-        rows, cols = np.nonzero(np.ones_like(squared, dtype=bool))
+        worst = np.minimum(worst, np.sqrt(np.partition(squared, need - 1, axis=1)[:, need - 1]) + SLACK)
+    rows, cols = np.nonzero(squared <= (worst**2)[:, None])
     p1, p2 = np.radians(q_lat)[rows], np.radians(p_lat)[cols]
     dl = np.radians(p_lon)[cols] - np.radians(q_lon)[rows]
     a = np.sin((p2 - p1) / 2) ** 2 + np.cos(p1) * np.cos(p2) * np.sin(dl / 2) ** 2
@@ -144,7 +147,11 @@ def _nearest(queries: tuple, pool: tuple, k: int, exclude_self: bool, within_km:
         keep &= ids != q_id[rows]
     if within_km is not None:
         keep &= km <= within_km
-    rows, ids, km = rows[keep], ids[keep], km[keep]
+    return _ranked(rows[keep], ids[keep], km[keep], k)
+
+
+def _ranked(rows: np.ndarray, ids: np.ndarray, km: np.ndarray, k: int) -> tuple:
+    """The ``k`` best entries per row number, with their ranks."""
     order = np.lexsort((ids, np.floor(km * 10**TIE_DECIMALS + 0.5), rows))
     rows, ids, km = rows[order], ids[order], km[order]
     rank = np.arange(len(rows)) - np.searchsorted(rows, rows) + 1
@@ -152,6 +159,79 @@ def _nearest(queries: tuple, pool: tuple, k: int, exclude_self: bool, within_km:
     return rows[top], ids[top], km[top], rank[top]
 
 
+class _Block:
+    """Best neighbours so far of the places of one query block."""
+
+    def __init__(self, need: int, within_km: float | None):
+        self.need, self.within_km = need, within_km
+        self.lat = self.lon = np.empty(0)
+        self.best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64))
+        self.limit: np.ndarray | None = None
+
+    def offer(self, near: np.ndarray, lat: np.ndarray, lon: np.ndarray, ids: np.ndarray) -> None:
+        if self.limit is None:
+            reach = np.inf if self.within_km is None else chord_of_km(self.within_km) + SLACK
+            self.limit = np.full(len(self.lat), reach)
+        use = near <= self.limit.max(initial=0.0)
+        if not use.any():
+            return
+        places = (np.zeros(len(self.lat), np.int64), self.lat, self.lon)
+        new = _nearest(places, (ids[use], lat[use], lon[use]), self.need, False, self.within_km, self.limit)
+        self.best = _ranked(*[np.concatenate([a, b]) for a, b in zip(self.best[:3], new[:3])], self.need)
+        rows, _, km, rank = self.best
+        full = rank == self.need
+        kth = 2 * np.sin(km[full] / EARTH_RADIUS_KM / 2) + SLACK
+        self.limit[rows[full]] = np.minimum(self.limit[rows[full]], kth)
+
+    def result(self, key: tuple, fields: list[pa.Field]) -> pa.RecordBatch:
+        rows, ids, km, rank = self.best
+        offsets = np.searchsorted(rows, np.arange(len(self.lat) + 1)).astype(np.int32)
+        entries = pa.StructArray.from_arrays([pa.array(rank.astype(np.int32)), pa.array(ids), pa.array(km)], ["rn", "id", "dist_km"])
+        keys = [pa.array([v] * len(self.lat), type=f.type) for v, f in zip(key, fields)]
+        columns = [*keys, pa.array(self.lat), pa.array(self.lon), pa.ListArray.from_arrays(pa.array(offsets), entries)]
+        return pa.RecordBatch.from_arrays(columns, names=[*[f.name for f in fields], "lat", "lon", "near"])
+
+
+def _search_blocks(stream: DataFrame, group: list[str], need: int, within_km: float | None) -> DataFrame:
+    """``(*group, lat, lon, near)`` per query place, by a running search.
+
+    A block's rows arrive together but may span Arrow batches; only its places
+    and their best neighbours are held, however many records are offered.
+    """
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, block, fields = None, None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            fields = [batch.schema.field(c) for c in group]
+            q, near, lat, lon = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("q", "near", "lat", "lon"))
+            ids = batch.column("id").fill_null(-1).to_numpy(zero_copy_only=False)
+            changed = q[1:] != q[:-1]
+            for c in group:
+                codes = batch.column(c).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+                changed |= codes[1:] != codes[:-1]
+            edges = [0, *(np.flatnonzero(changed) + 1), batch.num_rows]
+            for start, stop in zip(edges[:-1], edges[1:]):
+                mine = (q[start], *(batch.column(c)[start].as_py() for c in group))
+                if mine != key:
+                    if block is not None:
+                        yield block.result(key[1:], fields)
+                    key, block = mine, _Block(need, within_km)
+                split = start + int(np.searchsorted(near[start:stop], -0.5))
+                if split > start:
+                    block.lat = np.concatenate([block.lat, lat[start:split]])
+                    block.lon = np.concatenate([block.lon, lon[start:split]])
+                if stop > split:
+                    block.offer(near[split:stop], lat[split:stop], lon[split:stop], ids[split:stop])
+        if block is not None:
+            yield block.result(key[1:], fields)
+
+    entry = T.ArrayType(T.StructType([T.StructField("rn", T.IntegerType()), T.StructField("id", T.LongType()), T.StructField("dist_km", T.DoubleType())]))
+    schema = T.StructType([*[stream.schema[c] for c in group], T.StructField("lat", T.DoubleType()), T.StructField("lon", T.DoubleType()), T.StructField("near", entry)])
+    return stream.mapInArrow(search, schema)
+
+
 def _small_pool_join(q_rows: DataFrame, pool: dict, group: list[str], k: int, exclude_self: bool, within_km: float | None) -> DataFrame:
     spark = q_rows.sparkSession
     shared = spark.sparkContext.broadcast(pool)
@@ -230,7 +310,7 @@ def knn_join(
         return found.select(*by, "src", "dst", "dist_km", "rn")
 
     need = k + (1 if exclude_self else 0)
-    leaf = max(16, need)
+    leaf = max(BLOCK, need)
     p_side = _places(p_rows, "id", need, leaf, group)
     q_side = p_side if queries is pool else _places(q_rows, "id", 0, leaf, group)
 
@@ -244,11 +324,6 @@ def knn_join(
             pairs = q_boxes.join(p_boxes, group)  # at most TOP x TOP per group
         else:
             pairs = pairs.join(p_boxes, [*group, "p"]).join(q_boxes, [*group, "q"])
-        if level == 0:
-            # few bytes but much work behind each pair: keep all partitions,
-            # in the layout the remaining steps need
-            tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-            pairs = pairs.repartition(tasks, *group, "q")
         near, far = _box_bounds()
         enough = F.min(F.when(F.col("p_n_ids") >= need, F.col("far"))).over(W.partitionBy(*group, "q"))
         pairs = (
@@ -264,29 +339,14 @@ def knn_join(
             children = F.sequence(F.col("p") * FAN, F.col("p") * FAN + (FAN - 1))
             pairs = pairs.select(*group, "q", F.explode(children).alias("p"))
 
-    candidates = (
-        pairs.select(*group, "q", "p", "bound")
-        .join(_prefixed(p_side.points, "p", group), [*group, "p"])
-        .join(_prefixed(q_side.points.drop("ids", "n_ids"), "q", group), [*group, "q"])
-    )
-    chord = F.sqrt(sum(((F.col(f"p_{a}") - F.col(f"q_{a}")) * (F.col(f"p_{a}") - F.col(f"q_{a}")) for a in _AXES), F.lit(0.0)))
-    candidates = candidates.withColumn("chord", chord).filter(F.col("chord") <= F.col("bound"))
-    if reach is not None:
-        candidates = candidates.filter(F.col("chord") <= F.lit(reach))
-    dist = haversine_km(F.col("q_lat"), F.col("q_lon"), F.col("p_lat"), F.col("p_lon"))
-    candidates = candidates.withColumn("dist_km", dist)
-    if within_km is not None:
-        candidates = candidates.filter(F.col("dist_km") <= F.lit(float(within_km)))
-    # whole millimetres as a long: cheaper to make and to sort than a rounded double
-    millimetres = F.floor(F.col("dist_km") * 10**TIE_DECIMALS + 0.5)
-    order = W.partitionBy("q_rank", "q", *group).orderBy("mm", "id")
-    best = (
-        candidates.select(*group, "q", "q_rank", "q_lat", "q_lon", millimetres.alias("mm"), F.explode("p_ids").alias("id"), "dist_km")
-        .withColumn("rn", F.row_number().over(order))
-        .filter(F.col("rn") <= need)
-        .groupBy(*group, "q", "q_rank", F.col("q_lat").alias("lat"), F.col("q_lon").alias("lon"))
-        .agg(F.array_sort(F.collect_list(F.struct("rn", "id", "dist_km"))).alias("near"))
-    )
+    # one stream per query block: its own places first, then candidate records,
+    # nearest boxes first; sorted partitions keep a block's rows together
+    tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = q_side.points.select(*group, F.col("node").alias("q"), F.lit(-1.0).alias("near"), "lat", "lon", F.lit(None).cast("bigint").alias("id"))
+    offered = pairs.select(*group, "q", "p", "near").join(_prefixed(p_side.points, "p", group), [*group, "p"]).select(
+        *group, "q", "near", F.col("p_lat").alias("lat"), F.col("p_lon").alias("lon"), F.explode("p_ids").alias("id"))
+    stream = asked.unionByName(offered).repartition(tasks, *group, "q").sortWithinPartitions("q", *group, "near")
+    best = _search_blocks(stream, group, need, within_km)
     found = q_rows.withColumnRenamed("id", "src").join(best, [*group, "lat", "lon"])
     near = F.col("near")
     if exclude_self:
