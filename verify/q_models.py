@@ -257,8 +257,8 @@ def documentation_probe(spark, sf):
 
 @query()
 def documentation_probe_matched(spark, sf):
-    v = vectors(spark, sf)[1]
-    return M.leave_out_probe(v, "region", lambda s: LogisticRegression(labelCol="label")).select("row_id", "region", "y_prob")
+    """Documentation features only, each source predicted from all others."""
+    return M.leave_out_probe(_doc_vectors(spark, sf), "source", lambda s: LogisticRegression(labelCol="label")).select("row_id", "source", "y_prob")
 
 
 # --- sweeps, control graphs, stream ----------------------------------------

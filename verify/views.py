@@ -102,7 +102,7 @@ def preds(spark: SparkSession, sf: str) -> DataFrame:
     u1 = hash_uniform(F.col("model"), F.col("seed"), F.col("row_id"))
     u2 = hash_uniform(F.lit("b"), F.col("model"), F.col("seed"), F.col("row_id"))
     p = F.round(F.col("w") * u1 + (1 - F.col("w")) * F.col("y_true") * u2, 3)
-    return rows.filter(hash_uniform(F.lit("h"), F.col("seed"), F.col("row_id")) < 0.2).select(
+    return rows.select(
         "model", "seed", "region", "row_id", "y_true", p.alias("y_prob")
     ).withColumn("y_pred", (F.col("y_prob") >= 0.5).cast("int"))
 
@@ -112,8 +112,7 @@ PREDS = SITES + f""", preds AS (
   SELECT model, seed, region, row_id, label AS y_true,
          round(w*{u_sql('model','seed','row_id')} + (1-w)*label*{u_sql("'b'",'model','seed','row_id')}, 3) AS y_prob
   FROM sites, (VALUES {', '.join(f"('{m}',{w}::DOUBLE)" for m, w in MODELS.items())}) mm(model,w),
-       (VALUES {', '.join(f'({s})' for s in SEEDS)}) ss(seed)
-  WHERE {u_sql("'h'",'seed','row_id')} < 0.2))"""
+       (VALUES {', '.join(f'({s})' for s in SEEDS)}) ss(seed)))"""
 
 
 # --- roles: a fixed train/val/test partition of the sites -------------------
