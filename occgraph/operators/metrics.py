@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from occgraph.operators.ranking import running_totals
+from occgraph.operators.ranking import join_on_keys, running_totals
 
 METRICS = ("accuracy", "precision", "recall", "f1", "roc_auc", "pr_auc")
 
@@ -73,7 +73,7 @@ def rank_metrics(preds: DataFrame, keys: list[str], weight: str | None = None) -
 def all_metrics(preds: DataFrame, keys: list[str]) -> DataFrame:
     """One row per key with every metric."""
     ranks = rank_metrics(preds, keys).select(*keys, "n_pos", "n_neg", "roc_auc", "pr_auc")
-    return classification_metrics(preds, keys).join(ranks, keys)
+    return join_on_keys(classification_metrics(preds, keys), ranks, keys)
 
 
 def metric_rows(metrics: DataFrame, keys: list[str], names: tuple[str, ...] = METRICS) -> DataFrame:

@@ -8,6 +8,8 @@ they affect only the balance of the work, never the result.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,6 +20,15 @@ _STEP = 32
 RANGES = _STEP * _STEP
 
 
+def join_on_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which a null key equals a null key, as in a grouping."""
+    if not keys:
+        return left.join(right, how=how)
+    renamed = right.withColumnsRenamed({k: f"right_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"right_{k}")) for k in keys])
+    return left.join(renamed, same, how).drop(*[f"right_{k}" for k in keys])
+
+
 def _range_number(value: Column, edges: Column, coarse: Column) -> Column:
     """Number of edges below ``value``: a coarse then a fine search."""
     block = F.size(F.filter(coarse, lambda e: e < value))
@@ -63,7 +74,7 @@ def running_totals(
         *[F.sum(f"{c}_range").over(everything).alias(f"{c}_total") for c in sums],
     )
     local = ranged.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"{c}_local") for c in sums])
-    joined = local.join(shifts, [*keys, "value_range"])
+    joined = join_on_keys(local, shifts, [*keys, "value_range"])
     return joined.select(
         *df.columns,
         *[(F.col(f"{c}_local") + F.col(f"{c}_shift")).alias(f"{c}_below") for c in sums],
@@ -119,4 +130,4 @@ def average_ranks(df: DataFrame, keys: list[str], value: str, name: str) -> Data
     ranked = running_totals(counts, by, value, ["n"]).select(
         *by, value, (F.col("n_below") + (F.col("n") + 1) / 2).alias(name), F.col("n_total").alias(f"{name}_n")
     )
-    return work.join(ranked, [*by, value]).select(*df.columns, name, f"{name}_n")
+    return join_on_keys(work, ranked, [*by, value]).select(*df.columns, name, f"{name}_n")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from occgraph.functions.geo import unit_xyz
 from occgraph.functions.hashing import hash_order
 from occgraph.operators.knn import knn_graph_pairs, knn_join
-from occgraph.operators.ranking import grouped_quantiles
+from occgraph.operators.ranking import grouped_quantiles, join_on_keys
 from occgraph.session import materialize, small_values
 
 STRATEGIES = ("block", "buffer")
@@ -43,7 +43,7 @@ def hash_rank(df: DataFrame, keys: list[str], shuffle: Column, tie: str = "row_i
         F.sum("n").over(W.partitionBy(*keys)).alias(f"{name}_n"),
     )
     local = keyed.withColumn("local", F.row_number().over(W.partitionBy(*keys, "slice").orderBy("shuffle_key", tie)))
-    return local.join(shifts, [*keys, "slice"]).withColumn(name, F.col("local") + F.col("shift")).select(
+    return join_on_keys(local, shifts, [*keys, "slice"]).withColumn(name, F.col("local") + F.col("shift")).select(
         *df.columns, name, f"{name}_n"
     )
 
@@ -99,7 +99,7 @@ def stratified_folds(df: DataFrame, keys: list[str], label: str, k: int, seed: i
     sizes = work.groupBy(*by, label).agg(F.count("*").alias("n")).groupBy(*by).agg(F.min("n").alias("n"), F.count("*").alias("classes"))
     minority = F.when(F.col("classes") > 1, F.col("n")).otherwise(0)
     folds = sizes.select(*by, F.when(minority >= 2, F.least(F.lit(k), minority)).alias("n_folds"))
-    return ranked.join(folds, by).select(
+    return join_on_keys(ranked, folds, by).select(
         *df.columns, ((F.col("place") - 1) % F.col("n_folds")).cast("int").alias("fold_no")
     )
 

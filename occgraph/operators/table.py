@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from occgraph.functions import rules as R
 from occgraph.functions import text as X
+from occgraph.operators.ranking import join_on_keys
 
 
 def exclude_value(df: DataFrame, column: str, value: str) -> DataFrame:
@@ -112,7 +113,7 @@ def groups_of_size(df: DataFrame, keys: list[str], at_least: int, count_where: C
     """
     matching = F.count_if(count_where) if count_where is not None else F.count("*")
     big = df.groupBy(*keys).agg(matching.alias("group_size")).filter(F.col("group_size") >= at_least)
-    return df.join(big.drop("group_size"), keys, "left_semi")
+    return join_on_keys(df, big.drop("group_size"), keys, "left_semi")
 
 
 def model_frame(df: DataFrame, token_columns: list[str], group_columns: list[str], label: str = "label") -> DataFrame:

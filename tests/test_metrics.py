@@ -129,3 +129,15 @@ def test_seed_guard(spark):
     rows = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], "model string, seed int")
     with pytest.raises(ValueError):
         I.require_same_seeds(rows)
+
+
+def test_null_keys_form_a_group(scored):
+    from occgraph.operators.splits import hash_rank
+    from occgraph.operators.table import groups_of_size
+
+    pdf, df = scored
+    nulls = df.withColumn("k", F.when(F.col("k") != "a", F.col("k")))
+    want = M.rank_metrics(df, ["k"]).filter("k = 'a'").first()["roc_auc"]
+    assert M.all_metrics(nulls, ["k"]).filter("k IS NULL").first()["roc_auc"] == pytest.approx(want)
+    assert hash_rank(nulls, ["k"], F.md5(F.col("row_id").cast("string"))).count() == len(pdf)
+    assert groups_of_size(nulls, ["k"], 1).count() == len(pdf)
