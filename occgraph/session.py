@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,37 +29,47 @@ def get_session(app: str = "occgraph", master: str | None = None, **conf: str) -
     return builder.getOrCreate()
 
 
+LOCAL_COPIES = "/tmp/checkpoints/occgraph"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only on local masters."""
+    """The cluster's checkpoint folder.
+
+    It must be named on a cluster. Only a local master, whose driver and
+    executors are one process, gets a folder of this library when it is unset.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="occgraph-"))
+    spark.sparkContext.setCheckpointDir(LOCAL_COPIES)
     return spark.sparkContext.getCheckpointDir()
 
 
-def _own_folder(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/occgraph/{spark.sparkContext.applicationId}"
+def _own_folder(spark: SparkSession, owner: str | None = None) -> str:
+    folder = f"{shared_dir(spark)}/occgraph/{spark.sparkContext.applicationId}"
+    return f"{folder}/{owner}" if owner else folder
 
 
-def clear_materialized(spark: SparkSession) -> None:
-    """Delete this application's copies, once no result built on them is needed."""
+def clear_materialized(spark: SparkSession, owner: str | None = None) -> None:
+    """Delete this application's copies, or those of one owner, once no result built on them is needed."""
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path = jvm.org.apache.hadoop.fs.Path(_own_folder(spark, owner))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, owner: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Used where a plan is read several times or a loop would grow its lineage.
     The copy outlives lost executors, keeps column pruning, and gives the
     planner real sizes, so it never has to guess whether a side is small.
+    ``owner`` names the copies that ``clear_materialized`` deletes together.
     """
     spark = df.sparkSession
-    path = f"{_own_folder(spark)}/{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark, owner)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
