@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from occgraph.llm import blocks, chat, divergence, mixing, packing, simhash
+from occgraph.llm import blocks, chat, divergence, forest, hmm, mixing, packing, simhash, suffixes, toxicity
 from occgraph.llm.common import table, uniform_sql
 from occgraph.session import clear_materialized
 
@@ -116,6 +116,14 @@ def op3_curve_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), vocabulary_path(), owner="op3").drop("ids")
 
 
+# --- 4: language model ---------------------------------------------------------
+
+@query()
+def op4_hidden_markov(spark: SparkSession, sf: str) -> DataFrame:
+    clear_materialized(spark, "op4")
+    return hmm.score_texts(table(spark, sf, "documents"), owner="op4")
+
+
 # --- 5: main text of pages ----------------------------------------------------
 
 @query()
@@ -124,6 +132,23 @@ def op5_block_rules(spark: SparkSession, sf: str) -> DataFrame:
         "n_chars", F.length("text").cast("long"))
 
 
+# --- 6: repeated passages -------------------------------------------------------
+
+@query()
+def op6_suffix_merge(spark: SparkSession, sf: str) -> DataFrame:
+    clear_materialized(spark, "op6")
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return suffixes.removal_digest(suffixes.without_repeats(docs, owner="op6"))
+
+
+# --- 7: nearest neighbours --------------------------------------------------------
+
+@query()
+def op7_prefix_forest(spark: SparkSession, sf: str) -> DataFrame:
+    clear_materialized(spark, "op7")
+    return forest.nearest_neighbours(table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0, owner="op7")
+
+
 # --- 8: near duplicates by fingerprint ------------------------------------------
 
 @query()
@@ -133,6 +158,19 @@ def op8_gray_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+# --- 9: toxicity ------------------------------------------------------------------
+
+TOXIC_FROM = 0.5
+
+
+@query()
+def op9_ordinal_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    clear_materialized(spark, "op9")
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = toxicity.fit_severity(docs, table(spark, sf, "labels"), owner="op9")
+    return toxicity.severity(docs, model).select("doc_id", "severity.*", (F.col("severity.p_toxic") >= TOXIC_FROM).alias("toxic"))
+
+
 # --- 10: quality rules ----------------------------------------------------------
 
 @query()
