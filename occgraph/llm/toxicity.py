@@ -7,9 +7,10 @@ serves all grades, with a threshold between each grade and the next:
 
 The result is the expected grade and the grades' probabilities.
 
-Words are chosen by their document counts over all labelled texts. Labels say
-toxic or not; a toxic text is severe if words that mark toxic texts are at
-least as dense in it as in the median toxic text of the sample. The regression
+Features are words and the beginnings of words, chosen by their document counts
+over all labelled texts. Labels say
+toxic or not; a toxic text is severe if it has at least as many words that mark
+toxic texts as the median toxic text of the sample. The regression
 is fitted to at most ``SAMPLE`` labelled texts, those with the least hash.
 
 Defined cases: null and empty texts have no features and get the grade that
@@ -35,10 +36,13 @@ from occgraph.llm.common import texts
 from occgraph.session import materialize
 
 FEATURES = 4096
+LONGEST = 12
+BEGINNINGS = (4, 5, 6, 7)
 LEAST_TEXTS = 5
 SAMPLE = 20_000
 GRADES = 3
-MARK_ODDS = 3.0  # log odds from which a word marks toxic texts
+LEAST_STRENGTH = 4.0  # log odds over their standard error, either way, that make a word a feature
+MARK_ODDS = 3.0  # log odds from which a feature marks toxic texts
 FLUSH = 300_000
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 
@@ -47,6 +51,19 @@ def words_of(text: bytes) -> Counter[str]:
     return Counter(_WORD.findall(text.decode("utf-8", "replace").lower()))
 
 
+def forms_of(word: str) -> list[str]:
+    """A word's features: itself, if it isn't long, and its beginnings, which inflected and compound words share."""
+    return [word[:LONGEST], *[f"{word[:n]}-" for n in BEGINNINGS if len(word) > n]]
+
+
+def features_of(words: Counter[str]) -> Counter[str]:
+    found: Counter[str] = Counter()
+    for word, times in words.items():
+        for form in forms_of(word):
+            found[form] += times
+    return found
+
+
 @dataclass
 class Severity:
     """The fitted model; ``index`` numbers the words."""
@@ -55,12 +72,17 @@ class Severity:
     weights: np.ndarray
     thresholds: np.ndarray
 
+    def known(self, word: str) -> list[int]:
+        return [i for i in map(self.index.get, forms_of(word)) if i is not None]
+
     def probabilities(self, text: bytes) -> np.ndarray:
         score = 0.0
+        seen: Counter[int] = Counter()
         for word, times in words_of(text).items():
-            i = self.index.get(word)
-            if i is not None:
-                score += self.weights[i] * np.log1p(times)
+            for i in self.known(word):
+                seen[i] += times
+        for i, times in seen.items():
+            score += self.weights[i] * float(np.log1p(times))
         upto = 1 / (1 + np.exp(-np.clip(self.thresholds - score, -500, 500)))
         return np.diff(np.concatenate([[0.0], upto, [1.0]]))
 
@@ -74,7 +96,7 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
     for batch in batches:
         for text, toxic in zip(texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-            seen[toxic].update(words_of(text).keys())
+            seen[toxic].update({form for word in words_of(text) for form in forms_of(word)})
         if len(seen[0]) + len(seen[1]) > FLUSH:
             yield written()
             for s in seen:
@@ -82,7 +104,7 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     yield written()
 
 
-def fit_thresholds(rows: list[tuple[list[int], list[float]]], grades: np.ndarray, features: int, rounds: int = 400, penalty: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+def fit_thresholds(rows: list[tuple[list[int], list[float]]], grades: np.ndarray, features: int, rounds: int = 800, penalty: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """Weights and increasing thresholds that maximise the penalised likelihood, by accelerated gradient steps."""
     count = len(rows)
     at = np.repeat(np.arange(count), [len(r[0]) for r in rows])
@@ -92,9 +114,10 @@ def fit_thresholds(rows: list[tuple[list[int], list[float]]], grades: np.ndarray
     shares = np.array([(grades <= j).mean() for j in range(levels - 1)])
     thresholds = np.log(shares / (1 - shares))
     weights, speed_w, speed_t = np.zeros(features), np.zeros(features), np.zeros(levels - 1)
-    lipschitz = 1.0 + 2 * float(np.bincount(at, weights=value**2, minlength=count).max() if len(at) else 0)
-    step = 2.0 / lipschitz
-    balance = np.array([count / (levels * max(1, (grades == g).sum())) for g in range(levels)])[grades]
+    # steps by a separable bound of the curvature: a feature's own values times all values beside them
+    beside = 1 + np.bincount(at, weights=value, minlength=count)
+    step_w = 1 / (0.25 * np.bincount(column, weights=value * beside[at], minlength=features) / max(1, count) + penalty)
+    step_t = 1 / (0.25 * beside.mean() if count else 1.0)
     for r in range(rounds):
         momentum = r / (r + 3)
         w, t = weights + momentum * speed_w, thresholds + momentum * speed_t
@@ -102,13 +125,13 @@ def fit_thresholds(rows: list[tuple[list[int], list[float]]], grades: np.ndarray
         edge = np.concatenate([[-np.inf], t, [np.inf]])
         with np.errstate(over="ignore"):
             above, below = 1 / (1 + np.exp(score - edge[grades + 1])), 1 / (1 + np.exp(score - edge[grades]))
-        # d log P / d score = -(1 - above - below); d / d threshold from the densities at both edges
-        slope = balance * (above + below - 1)
+        # of the log likelihood: by the score, and by the thresholds from the densities at both edges
+        slope = above + below - 1
         mass = np.maximum(above - below, 1e-12)
-        up, down = balance * above * (1 - above) / mass, balance * below * (1 - below) / mass
+        up, down = above * (1 - above) / mass, below * (1 - below) / mass
         grad_t = np.array([up[grades == j].sum() - down[grades == j + 1].sum() for j in range(levels - 1)]) / count
-        grad_w = np.bincount(column, weights=value * slope[at], minlength=features) / count + penalty * w
-        new_w, new_t = w - step * 4 * grad_w, np.sort(t + step * grad_t)
+        grad_w = np.bincount(column, weights=value * slope[at], minlength=features) / count - penalty * w
+        new_w, new_t = w + step_w * grad_w, np.sort(t + step_t * grad_t)
         speed_w, speed_t = new_w - weights, new_t - thresholds
         weights, thresholds = new_w, new_t
     return weights, thresholds
@@ -126,27 +149,28 @@ def fit_severity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", tex
         F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).filter(F.col("clean") + F.col("toxic") >= LEAST_TEXTS)
     odds = F.log((F.col("toxic") + 0.5) / (bad - F.col("toxic") + 0.5)) - F.log((F.col("clean") + 0.5) / (clean - F.col("clean") + 0.5))
     spread = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
-    chosen = counts.select("word", odds.alias("odds"), F.abs(odds / spread).alias("strength")).orderBy(F.desc("strength"), "word").limit(FEATURES).collect()
+    chosen = counts.select("word", odds.alias("odds"), F.abs(odds / spread).alias("strength")).filter(F.col("strength") >= LEAST_STRENGTH).orderBy(
+        F.desc("strength"), "word").limit(FEATURES).collect()
     index = {r["word"]: i for i, r in enumerate(chosen)}
-    marks = {r["word"] for r in chosen if r["odds"] >= MARK_ODDS and r["strength"] >= 5}
+    marks = {r["word"] for r in chosen if r["odds"] >= MARK_ODDS}
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, values, density = [], [], []
+            ids, values, hits = [], [], []
             for t in texts(batch.column(0)):
                 words = words_of(t)
-                own = [(index[w], float(np.log1p(c))) for w, c in words.items() if w in index]
+                own = [(index[f], float(np.log1p(c))) for f, c in features_of(words).items() if f in index]
                 ids.append([i for i, _ in own])
                 values.append([v for _, v in own])
-                density.append(sum(c for w, c in words.items() if w in marks) / max(1, sum(words.values())))
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(ids, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64())), pa.array(density)],
-                                             ["is_toxic", "ids", "strengths", "density"])
+                hits.append(sum(c for w, c in words.items() if not marks.isdisjoint(forms_of(w))))
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(ids, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64())), pa.array(hits, pa.int32())],
+                                             ["is_toxic", "ids", "strengths", "hits"])
 
     sample = labelled.withColumn("h", F.xxhash64("label_id", "text")).orderBy("h").limit(SAMPLE).select("text", "is_toxic").mapInArrow(
-        featured, "is_toxic int, ids array<int>, strengths array<double>, density double").collect()
-    dense = [r["density"] for r in sample if r["is_toxic"]]
-    middle = float(np.median(dense)) if dense else 0.0
-    grades = np.array([0 if not r["is_toxic"] else 2 if r["density"] >= middle and r["density"] > 0 else 1 for r in sample])
+        featured, "is_toxic int, ids array<int>, strengths array<double>, hits int").collect()
+    toxic_hits = [r["hits"] for r in sample if r["is_toxic"]]
+    severe = max(1.0, float(np.median(toxic_hits))) if toxic_hits else 1.0
+    grades = np.array([0 if not r["is_toxic"] else 2 if r["hits"] >= severe else 1 for r in sample])
     for g in range(GRADES - 1):  # every grade needs a row for its threshold
         if not (grades == g).any() or not (grades > g).any():
             grades = np.where(grades > 0, 1, 0)
