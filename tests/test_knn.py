@@ -6,7 +6,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from occgraph.operators.knn import buffer_filter, knn_graph_pairs, knn_join, neighbours_with_fallback
+from occgraph.operators import knn
+from occgraph.operators.knn import buffer_filter, candidate_counts, knn_graph_pairs, knn_join, neighbours_with_fallback
 
 
 def awkward_points(n: int, seed: int = 0) -> pd.DataFrame:
@@ -40,39 +41,31 @@ def rows(df) -> set:
     return {(r.src, r.dst, r.rn) for r in df.select("src", "dst", "rn").toPandas().itertuples()}
 
 
-WAYS = [pytest.param(0, id="blocks"), pytest.param(20_000, id="small_pool")]
-
-
-@pytest.mark.parametrize("small_pool", WAYS)
 @pytest.mark.parametrize("k", [1, 15])
-def test_self_join_equals_brute_force(spark, k, small_pool):
+def test_self_join_equals_brute_force(spark, k):
     pdf = awkward_points(700)
-    assert rows(knn_graph_pairs(spark.createDataFrame(pdf), k, small_pool=small_pool)) == brute(pdf, pdf, k, True)
+    assert rows(knn_graph_pairs(spark.createDataFrame(pdf), k)) == brute(pdf, pdf, k, True)
 
 
-@pytest.mark.parametrize("small_pool", WAYS)
-def test_two_sets_equal_brute_force(spark, small_pool):
+def test_two_sets_equal_brute_force(spark):
     pdf = awkward_points(600, 1)
     q, p = pdf.iloc[:200], pdf.iloc[200:]
-    found = knn_join(spark.createDataFrame(q), spark.createDataFrame(p), 10, small_pool=small_pool)
+    found = knn_join(spark.createDataFrame(q), spark.createDataFrame(p), 10)
     assert rows(found) == brute(q, p, 10, False)
 
 
-@pytest.mark.parametrize("small_pool", WAYS)
-def test_groups_stay_apart(spark, small_pool):
+def test_groups_stay_apart(spark):
     pdf = awkward_points(400, 2)
-    found = knn_graph_pairs(spark.createDataFrame(pdf), 4, by=("g",), small_pool=small_pool)
+    found = knn_graph_pairs(spark.createDataFrame(pdf), 4, by=("g",))
     assert rows(found) == set().union(*[brute(g, g, 4, True) for _, g in pdf.groupby("g")])
 
 
-@pytest.mark.parametrize("small_pool", WAYS)
-def test_pool_smaller_than_k(spark, small_pool):
+def test_pool_smaller_than_k(spark):
     pdf = awkward_points(5, 3)
-    assert rows(knn_graph_pairs(spark.createDataFrame(pdf), 15, small_pool=small_pool)) == brute(pdf, pdf, 15, True)
+    assert rows(knn_graph_pairs(spark.createDataFrame(pdf), 15)) == brute(pdf, pdf, 15, True)
 
 
-@pytest.mark.parametrize("small_pool", WAYS)
-def test_buffer_keeps_only_strictly_farther_rows(spark, small_pool):
+def test_buffer_keeps_only_strictly_farther_rows(spark):
     pdf = awkward_points(500, 4)
     test, rest = pdf.iloc[:40], pdf.iloc[40:]
     near = {(a, b) for a, b, _ in brute(rest, test, 1, False)}
@@ -83,7 +76,7 @@ def test_buffer_keeps_only_strictly_farther_rows(spark, small_pool):
         x = np.sin((p2 - p1) / 2) ** 2 + np.cos(p1) * np.cos(p2) * np.sin((q2 - q1) / 2) ** 2
         return 2 * 6371.0 * np.arcsin(np.sqrt(x))
 
-    inside = knn_join(spark.createDataFrame(rest), spark.createDataFrame(test), 1, within_km=300.0, small_pool=small_pool)
+    inside = knn_join(spark.createDataFrame(rest), spark.createDataFrame(test), 1, within_km=300.0)
     want = {a for a, b in near if km(a, b) <= 300.0}
     assert {r.src for r in inside.toPandas().itertuples()} == want
     kept = buffer_filter(spark.createDataFrame(rest), spark.createDataFrame(test), 300.0)
@@ -101,3 +94,38 @@ def test_ranks_are_dense_and_self_is_absent(spark):
     found = knn_graph_pairs(spark.createDataFrame(pdf), 6).toPandas()
     assert (found.src != found.dst).all()
     assert found.groupby("src").rn.apply(lambda s: sorted(s) == list(range(1, 7))).all()
+
+
+def spread(kind: str, n: int) -> pd.DataFrame:
+    rng = np.random.default_rng(n)
+    z, lon = rng.uniform(-1, 1, n), rng.uniform(-180, 180, n)
+    lat = np.degrees(np.arcsin(z))
+    if kind == "cities":  # two dense spots far apart and nothing between
+        lat = np.where(rng.random(n) < 0.5, 10, -40) + rng.normal(0, 0.1, n)
+        lon = np.where(lat > 0, 20, 120) + rng.normal(0, 0.1, n)
+    if kind == "date_line":
+        lat, lon = rng.normal(45, 0.5, n), (180 + rng.normal(0, 0.5, n) + 180) % 360 - 180
+    if kind == "one_spot":
+        here = rng.random(n) < 1 / 3
+        lat, lon = np.where(here, 5.0, lat), np.where(here, 6.0, lon)
+    return pd.DataFrame({"row_id": np.arange(n), "lat": lat, "lon": lon})
+
+
+@pytest.mark.parametrize("kind", ["uniform", "cities", "date_line", "one_spot"])
+def test_blocks_meet_few_candidates_at_every_size(spark, kind):
+    worst = []
+    for n in (10_000, 40_000):
+        counts = candidate_counts(*[spark.createDataFrame(spread(kind, n))] * 2, 15, exclude_self=True).toPandas()
+        assert counts.places.max() <= knn.LEAF and counts.places.sum() <= n
+        assert counts.candidates.max() <= 2 * knn.HEAVY
+        worst.append(counts.candidates.max())
+    assert worst[1] <= 2 * worst[0]
+
+
+def test_cut_blocks_stay_in_their_cells():
+    rng = np.random.default_rng(0)
+    codes = np.sort(np.concatenate([rng.integers(0, 1 << 60, 500), rng.integers(0, 1 << 20, 500), np.full(300, 77)]))
+    ends, depths = knn._cut(codes, 64, True, 0)
+    assert ends[-1] == len(codes) and sorted(set(ends)) == ends
+    for a, b, d in zip([0, *ends[:-1]], ends, depths):
+        assert b - a <= 64 and len(set((codes[a:b] >> (3 * (knn.DEPTH - d))).tolist())) == 1

@@ -40,7 +40,7 @@ def knn_join_k5(spark, sf):
 @query(with_sql([SITES, knn_sql("n", 15)], "SELECT src, dst, round(dist_km,5) AS dist_km, rn FROM n"))
 def knn_block_join_k15(spark, sf):
     """The block join used beyond small pools."""
-    return K.knn_graph_pairs(sites(spark, sf), 15, small_pool=0).withColumn("dist_km", F.round("dist_km", 5))
+    return K.knn_graph_pairs(sites(spark, sf), 15).withColumn("dist_km", F.round("dist_km", 5))
 
 
 @query(with_sql([ROLES, knn_sql("n", 3, "(SELECT * FROM roles WHERE role='test')", "(SELECT * FROM roles WHERE role<>'test')", False, on="a.region = b.region")],
@@ -48,7 +48,7 @@ def knn_block_join_k15(spark, sf):
 def knn_block_join_two_sets(spark, sf):
     """Two sets, inside regions, with a radius, by the block join."""
     r = roles(spark, sf)
-    pairs = K.knn_join(r.filter("role = 'test'"), r.filter("role <> 'test'"), 3, by=("region",), within_km=60.0, small_pool=0)
+    pairs = K.knn_join(r.filter("role = 'test'"), r.filter("role <> 'test'"), 3, by=("region",), within_km=60.0)
     return pairs.select("src", "dst", F.round("dist_km", 5).alias("dist_km"), "rn")
 
 
