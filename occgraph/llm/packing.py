@@ -8,8 +8,7 @@ holds documents that resemble each other. Documents are cut where a sequence
 ends; the last tokens of a range go to sequences whose lengths are powers of
 two. No token is padding and none is left out.
 
-Tokens come from a public byte-level vocabulary file. A run between single
-spaces has the same tokens wherever it stands, so runs are remembered.
+Tokens come from a public byte-level vocabulary file.
 
 Defined cases: a null text is empty and still has its end token; equal texts
 are neighbours; repeated rows are documents of their own; an empty table gives
@@ -19,7 +18,6 @@ no sequences.
 from __future__ import annotations
 
 import functools
-import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -36,75 +34,47 @@ LENGTH = 1024
 END = 0
 DIMENSIONS = 4
 BITS = 12
-CACHE = 500_000
-_PAIRS = ("  ", " \n", "\n ", " \t", "\t ")
-_CONTROL = "\r\x0b\x0c\x1c\x1d\x1e\x1f"
-_UNUSUAL = re.compile(r" \s|\s |[^ -~\n\t¡-¬®-ɏ‐-‧€]")
+#: Fixed value: the pattern by which byte-level vocabularies of this kind cut a text before merging.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Letters, digits and punctuation on which all regular expression engines agree.
+_UNUSUAL = re.compile(r"[^ -~\n\t¡-¬®-ɏ‐-‧€]")
 
 
-def runs_stand_alone(text: str) -> bool:
-    """Can the text be tokenized run by run? Not with a space beside other white space, nor with rare characters."""
-    if text.isascii():
-        return text[-1] != " " and not any(x in text for x in _PAIRS) and not any(x in text for x in _CONTROL)
-    return text[-1] != " " and not _UNUSUAL.search(text)
+def merge_ranks(names: dict[str, int]) -> dict[bytes, int]:
+    """Ranks of byte strings from the printable names of a byte-level vocabulary file."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(printable)]
+    byte_of = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
+    return {bytes(byte_of[c] for c in name): i for name, i in names.items() if all(c in byte_of for c in name)}
 
 
 class Tokens:
     """Token ids of texts, as little-endian 16-bit arrays.
 
-    A run is what stands between two single spaces; with the space before it,
-    it has the same tokens wherever it stands. ``known`` remembers runs; when
-    it is full, the runs that came last, the rarer ones, are forgotten.
+    The vocabulary file's merges are in the order of its ids, so a faster
+    encoder with the same ranks gives the same ids. Texts with characters
+    whose class may differ between engines go through the file's own tokenizer.
     """
 
     def __init__(self, vocabulary: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True
-        names = self.tokenizer.get_vocab()
+        special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        names = {n: i for n, i in self.tokenizer.get_vocab().items() if n not in special}
         if max(names.values()) >= 1 << 16:
             raise ValueError("ids must fit into 16 bits")
-        self.starts = np.zeros(1 << 16, bool)  # tokens that begin with a space
-        self.starts[[i for n, i in names.items() if n.startswith("\u0120")]] = True
-        self.known: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes() if text else b""
-
-    def learn(self, runs: list[str]) -> dict[str, bytes]:
-        """Tokens of runs that aren't known: encoded together, cut where a token begins with a space."""
-        fresh: dict[str, bytes] = {}
-        texts = [" " + " ".join(runs[i : i + 256]) for i in range(0, len(runs), 256)]
-        for i, found in enumerate(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            ids = np.array(found.ids, "<u2")
-            edges = [*np.flatnonzero(self.starts[ids]).tolist(), len(ids)]
-            packed = ids.tobytes()
-            some = runs[256 * i : 256 * (i + 1)]
-            if len(edges) != len(some) + 1:
-                raise AssertionError("a run doesn't begin with a space token")
-            fresh.update((run, packed[2 * x : 2 * y]) for run, x, y in zip(some, edges[:-1], edges[1:], strict=True))
-        if len(self.known) + len(fresh) > CACHE:
-            self.known = dict(itertools.islice(self.known.items(), CACHE // 2))
-        self.known.update(itertools.islice(fresh.items(), CACHE // 2))
-        return fresh
-
-    def many(self, texts: list[str]) -> list[bytes]:
-        get = self.known.get
-        cut: list[tuple[list[str], list[bytes | None]] | bytes] = []
-        missing: dict[str, None] = {}
-        for text in texts:
-            if not text or not runs_stand_alone(text):
-                cut.append(self.whole(text))
-                continue
-            runs = text.split(" ")
-            found = [self.whole(runs[0]), *map(get, runs[1:])]
-            if None in found:
-                missing.update(dict.fromkeys(r for r, f in zip(runs, found, strict=True) if f is None))
-            cut.append((runs, found))
-        fresh = self.learn(list(missing)) if missing else {}
-        return [c if isinstance(c, bytes) else b"".join([f if f is not None else fresh[r] for r, f in zip(*c, strict=True)]) if fresh and None in c[1]
-                else b"".join(c[1]) for c in cut]
+        self.fast = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=merge_ranks(names), special_tokens={})
+
+    def ids(self, text: str) -> bytes:
+        if not text.isascii() and _UNUSUAL.search(text) or any(c in text for c in _CONTROL):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u2").tobytes()
+
+
+_CONTROL = "".join(map(chr, [*range(9), *range(11, 32), 127]))
 
 
 @functools.cache
@@ -120,44 +90,38 @@ def projection(dimensions: int, size: int = 1 << 16) -> np.ndarray:
     return signs * np.clip(np.arange(size, dtype=np.float32) / 5000, 0.02, 1)[:, None]
 
 
-def hilbert_key(point: np.ndarray, bits: int = BITS) -> int:
-    """Place on the Hilbert curve of a point with ``bits`` bits a coordinate (Skilling's transposed form)."""
-    x = [int(v) for v in point]
+def hilbert_keys(points: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Places on the Hilbert curve of points with ``bits`` bits a coordinate (Skilling's transposed form), a row each."""
+    x = points.T.astype(np.int64).copy()
     n = len(x)
-    q = 1 << (bits - 1)
-    while q > 1:
-        p = q - 1
+    for b in range(bits - 1, 0, -1):
+        q, p = 1 << b, (1 << b) - 1
         for i in range(n):
-            if x[i] & q:
-                x[0] ^= p
-            else:
-                t = (x[0] ^ x[i]) & p
-                x[0] ^= t
-                x[i] ^= t
-        q >>= 1
+            high = (x[i] & q) != 0
+            t = np.where(high, 0, (x[0] ^ x[i]) & p)
+            x[0] ^= np.where(high, p, t)
+            x[i] ^= t
     for i in range(1, n):
         x[i] ^= x[i - 1]
-    t, q = 0, 1 << (bits - 1)
-    while q > 1:
-        if x[n - 1] & q:
-            t ^= q - 1
-        q >>= 1
-    key = 0
+    t = np.zeros_like(x[0])
+    for b in range(bits - 1, 0, -1):
+        t ^= np.where(x[n - 1] & (1 << b), (1 << b) - 1, 0)
+    key = np.zeros_like(t)
     for b in range(bits - 1, -1, -1):
         for v in x:
             key = key << 1 | ((v ^ t) >> b & 1)
     return key
 
 
-def curve_key(ids: np.ndarray, signs: np.ndarray, bits: int = BITS) -> int:
-    """Hilbert key of a document's projected token counts, taken by the square root of its length."""
-    if not len(ids):
-        return 0
-    vector = np.zeros(signs.shape[1])
-    for i in range(0, len(ids), 1 << 16):
-        vector += signs[ids[i : i + (1 << 16)]].sum(axis=0)
-    cell = np.clip((np.tanh(vector / np.sqrt(len(ids))) + 1) / 2 * (1 << bits), 0, (1 << bits) - 1)
-    return hilbert_key(cell.astype(np.int64), bits)
+def curve_keys(documents: list[np.ndarray], signs: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Hilbert keys of documents' projected token counts, taken by the square root of their lengths."""
+    vectors = np.zeros((len(documents), signs.shape[1]))
+    for i, ids in enumerate(documents):
+        for a in range(0, len(ids), 1 << 16):
+            vectors[i] += signs[ids[a : a + (1 << 16)]].sum(axis=0)
+        vectors[i] /= max(1.0, len(ids) ** 0.5)
+    cells = np.clip((np.tanh(vectors) + 1) / 2 * (1 << bits), 0, (1 << bits) - 1)
+    return hilbert_keys(cells.astype(np.int64), bits)
 
 
 def tokenized(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", dimensions: int = DIMENSIONS) -> DataFrame:
@@ -168,8 +132,8 @@ def tokenized(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: st
         end = np.array([END], "<u2").tobytes()
         for batch in batches:
             for start, run in pieces(batch.column(1)):
-                packed = tokens.many([t.decode("utf-8", "replace") for t in run])
-                keys = [curve_key(np.frombuffer(p, "<u2"), signs) for p in packed]
+                packed = [tokens.ids(t.decode("utf-8", "replace")) for t in run]
+                keys = curve_keys([np.frombuffer(p, "<u2") for p in packed], signs)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(run)), pa.array(keys, pa.int64()), pa.array([p + end for p in packed], pa.binary())],
                                                  ["doc_id", "curve", "ids"])
 
@@ -178,45 +142,49 @@ def tokenized(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: st
     return kept.mapInArrow(mapped, schema)
 
 
-def _cut(batches: Iterator[pa.RecordBatch], length: int, task: int) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], length: int, task: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
     """Pieces of one range. The tokens of the unfinished sequence are held back until it is full or the range ends."""
     sequence, open_rows, used = 0, [], 0  # open_rows: (doc_id, start, ids, doc_tokens) of the unfinished sequence
+    kind = None
 
     def rows_of(parts: list, sequence: int) -> list[tuple]:
         out, offset = [], 0
         for doc, start, ids, total in parts:
-            out.append((doc, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), total, (task << 40) + sequence, offset, ids.tobytes()))
+            out.append((doc, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), total, (task << 40) + sequence, offset, ids.tobytes() if with_ids else None))
             offset += len(ids)
         return out
 
     for batch in batches:
-        rows: list[tuple] = []
-        for doc, packed in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            ids = np.frombuffer(packed, "<u2")
-            at = 0
-            while at < len(ids):
-                part = ids[at : at + length - used]
-                open_rows.append((doc, at, part, len(ids)))
-                at, used = at + len(part), used + len(part)
-                if used == length:
-                    rows += rows_of(open_rows, sequence)
-                    sequence, open_rows, used = sequence + 1, [], 0
-        yield rows_batch(rows, batch.schema.field(0).type)
-    if open_rows:  # what is left, in powers of two
-        rows = []
-        while used:
-            room = 1 << (used.bit_length() - 1)
-            taken, used = [], used - room
-            while room:
-                doc, start, ids, total = open_rows.pop(0)
-                if len(ids) > room:
-                    open_rows.insert(0, (doc, start + room, ids[room:], total))
-                    ids = ids[:room]
-                taken.append((doc, start, ids, total))
-                room -= len(ids)
-            rows += rows_of(taken, sequence)
-            sequence += 1
-        yield rows_batch(rows, batch.schema.field(0).type)
+        kind = batch.schema.field(0).type
+        for first in range(0, batch.num_rows, 512):
+            some = batch.slice(first, 512)
+            rows: list[tuple] = []
+            for doc, packed in zip(some.column(0).to_pylist(), some.column(2).to_pylist(), strict=True):
+                ids = np.frombuffer(packed, "<u2")
+                at = 0
+                while at < len(ids):
+                    part = ids[at : at + length - used]
+                    open_rows.append((doc, at, part, len(ids)))
+                    at, used = at + len(part), used + len(part)
+                    if used == length:
+                        rows += rows_of(open_rows, sequence)
+                        sequence, open_rows, used = sequence + 1, [], 0
+            yield rows_batch(rows, kind)
+    rows = []
+    while used:  # what is left, in powers of two
+        room = 1 << (used.bit_length() - 1)
+        taken, used = [], used - room
+        while room:
+            doc, start, ids, total = open_rows.pop(0)
+            if len(ids) > room:
+                open_rows.insert(0, (doc, start + room, ids[room:], total))
+                ids = ids[:room]
+            taken.append((doc, start, ids, total))
+            room -= len(ids)
+        rows += rows_of(taken, sequence)
+        sequence += 1
+    if rows:
+        yield rows_batch(rows, kind)
 
 
 PIECE = [("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()),
@@ -229,8 +197,8 @@ def rows_batch(rows: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", *[n for n, _ in PIECE]])
 
 
-def pack(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, owner: str = "packing") -> DataFrame:
-    """One row a piece: ``doc_id``, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset``, ``ids``."""
+def pack(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, with_ids: bool = True, owner: str = "packing") -> DataFrame:
+    """One row a piece: ``doc_id``, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset``, ``ids`` (null if not asked for)."""
     if length & (length - 1):
         raise ValueError("the sequence length must be a power of two")
     # written once: drawing the ranges reads it a first time
@@ -240,7 +208,7 @@ def pack(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        yield from _cut(batches, length, TaskContext.get().partitionId())
+        yield from _cut(batches, length, TaskContext.get().partitionId(), with_ids)
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return ordered.mapInArrow(mapped, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")

@@ -113,7 +113,7 @@ def vocabulary_path() -> str:
 @query()
 def op3_curve_packing(spark: SparkSession, sf: str) -> DataFrame:
     clear_materialized(spark, "op3")
-    return packing.pack(table(spark, sf, "documents"), vocabulary_path(), owner="op3").drop("ids")
+    return packing.pack(table(spark, sf, "documents"), vocabulary_path(), with_ids=False, owner="op3").drop("ids")
 
 
 # --- 4: language model ---------------------------------------------------------
