@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from occgraph.llm.common import pieces
+from occgraph.llm.common import free_name, pieces
 from occgraph.session import clear_materialized, materialize
 
 SHINGLE = 3
@@ -159,6 +159,7 @@ def _leaves(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def close_pairs(left: np.ndarray, right: np.ndarray, max_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Runs of pairs (one of each array) that differ in at most ``max_bits`` bits."""
+    left, right = left.view(np.uint64), right.view(np.uint64)  # bits are counted of unsigned numbers only
     fa, ma, pa_ = _leaves(left)
     fb, mb, pb = _leaves(right)
     for i in range(0, len(fa), 64):
@@ -169,7 +170,7 @@ def close_pairs(left: np.ndarray, right: np.ndarray, max_bits: int) -> Iterator[
             near = np.bitwise_count(some[:, :, None] ^ other[:, None, :]) <= max_bits
             g, p, q = np.nonzero(near)
             if len(g):
-                yield some[g, p], other[g, q]
+                yield some[g, p].view(np.int64), other[g, q].view(np.int64)
 
 
 def _links(max_bits: int):
@@ -258,10 +259,12 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bi
     the rows with that id). Every column is kept as it was.
     """
     clear_materialized(docs.sparkSession, owner)
-    marked = materialize(with_fingerprint(docs, text, "simhash_of_row").withColumn("row_of_copy", F.monotonically_increasing_id()), owner)
-    prints = marked.select(F.col(doc_id).alias("doc_id"), F.col("simhash_of_row").alias("fingerprint"), "row_of_copy")
+    mark, row = free_name(docs, "simhash_of_row"), free_name(docs, "row_of_copy")
+    marked = materialize(with_fingerprint(docs, text, mark).withColumn(row, F.monotonically_increasing_id()), owner)
+    prints = marked.select(F.col(doc_id).alias("doc_id"), F.col(mark).alias("fingerprint"), F.col(row).alias("row_of_copy"))
     groups = near_groups(prints, max_bits, owner)
     rooted = prints.join(groups, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
     first = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_of_copy")).alias("first"), F.count("*").alias("n"))
-    losers = rooted.join(first.filter("n > 1"), "root").filter(F.col("row_of_copy") != F.col("first.row_of_copy")).select("row_of_copy")
-    return marked.join(losers, "row_of_copy", "left_anti").select(*docs.columns)
+    losers = rooted.join(first.filter("n > 1"), "root").filter(F.col("row_of_copy") != F.col("first.row_of_copy")).select(
+        F.col("row_of_copy").alias(row))
+    return marked.join(losers, row, "left_anti").select(*docs.columns)
