@@ -210,13 +210,13 @@ def second_labels(blocks: list[Block], labels: list[str]) -> list[bool]:
         for i in order:
             region = blocks[i].region
             out[i] = known.get(region, "good" if region else "bad")
-            if labels[i] in ("good", "bad"):
+            if labels[i] in ("good", "bad") and not blocks[i].aside:  # what stands aside says nothing about the text around it
                 known[region] = labels[i]
     kept = []
     for i, label in enumerate(labels):
         if label in ("good", "bad"):
             kept.append(label == "good")
-        elif blocks[i].heading:
+        elif blocks[i].heading and not blocks[i].region:
             kept.append(after[i] == "good")
         else:
             sides = (before[i] == "good") + (after[i] == "good")

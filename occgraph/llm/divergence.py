@@ -193,12 +193,12 @@ VERDICT = [("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa
 SQL_TYPES = {pa.int64(): "long", pa.bool_(): "boolean", pa.float64(): "double"}
 
 
-def quality_verdicts(docs: DataFrame, rules: Rules = Rules(), text: str = "text", lang: str = "lang") -> DataFrame:
-    """All columns of ``docs`` and a struct ``verdict``: the measures, both distances and ``kept``.
+def quality_verdicts(docs: DataFrame, rules: Rules = Rules(), text: str = "text", lang: str = "lang", into: str = "verdict") -> DataFrame:
+    """All columns of ``docs`` and a struct ``into``: the measures, both distances and ``kept``.
 
     One pass sums the references, a second judges each row by itself, so no
     row is moved and repeated rows get equal verdicts. A column of ``docs``
-    that is called ``verdict`` is replaced.
+    that is called ``into`` is replaced.
     """
     references = language_references(docs, text, lang)
     names, types = zip(*VERDICT, strict=True)
@@ -211,4 +211,4 @@ def quality_verdicts(docs: DataFrame, rules: Rules = Rules(), text: str = "text"
                 names, zip(*rows, strict=True) if rows else itertools.repeat([], len(names)),
                 [t.to_pandas_dtype() for t in types], strict=False)})
 
-    return docs.withColumn("verdict", judged(F.col(text), F.col(lang).cast("string")))
+    return docs.withColumn(into, judged(F.col(text), F.col(lang).cast("string")))

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from occgraph.llm.common import WORD, uniform
+from occgraph.llm.common import WORD, free_name, uniform
 from occgraph.session import clear_materialized, materialize
 
 WEIGHTS = (5, 2, 1)
@@ -112,7 +112,8 @@ def mix_copies(docs: DataFrame, doc_id: str = "doc_id", source: str = "source",
 def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", owner: str = "mixing", **options) -> DataFrame:
     """The mix itself: rows of ``docs`` as often as they are taken, every column as it was."""
     clear_materialized(docs.sparkSession, owner)
-    marked = materialize(docs.withColumn("row_of_copy", F.monotonically_increasing_id()), owner)
-    copies = mix_copies(marked, doc_id, source, text, row_key="row_of_copy", owner=owner, **options).filter("copies > 0").select(
-        F.col("row_key").alias("row_of_copy"), "copies")
-    return marked.join(copies, "row_of_copy").withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    row, times = free_name(docs, "row_of_copy"), free_name(docs, "copies")
+    marked = materialize(docs.withColumn(row, F.monotonically_increasing_id()), owner)
+    copies = mix_copies(marked, doc_id, source, text, row_key=row, owner=owner, **options).filter("copies > 0").select(
+        F.col("row_key").alias(row), F.col("copies").alias(times))
+    return marked.join(copies, row).withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))).select(*docs.columns)

@@ -42,7 +42,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from occgraph.llm.common import pieces
+from occgraph.llm.common import free_name, pieces
 from occgraph.session import materialize
 
 MIN_BYTES = 400
@@ -400,11 +400,13 @@ def repeated_spans(docs: DataFrame, size: int = MIN_BYTES, owner: str = "suffixe
     return materialize(_span_lists(places, ["t1", "t2"]), owner)
 
 
-def without_repeats(docs: DataFrame, text: str = "text", size: int = MIN_BYTES, owner: str = "suffixes") -> DataFrame:
-    """All columns of ``docs`` and ``repeats``: the spans of bytes that go (start times 2^32 plus end, in order; null for none)."""
-    spans = repeated_spans(docs.select(F.col(text).alias("text")), size, owner).withColumnsRenamed({"t1": "repeats_t1", "t2": "repeats_t2", "spans": "repeats"})
-    keyed = docs.withColumns({"repeats_h1": F.xxhash64(F.col(text)), "repeats_h2": F.xxhash64(F.lit(1), F.col(text))})
-    return keyed.join(spans, (F.col("repeats_h1") == F.col("repeats_t1")) & (F.col("repeats_h2") == F.col("repeats_t2")), "left").select(*docs.columns, "repeats")
+def without_repeats(docs: DataFrame, text: str = "text", size: int = MIN_BYTES, into: str = "repeats", owner: str = "suffixes") -> DataFrame:
+    """All columns of ``docs`` (but one called ``into``) and ``into``: the spans of bytes that go (start times 2^32 plus end, in order; null for none)."""
+    docs = docs.drop(into)
+    h1, h2 = free_name(docs, "text_hash_1"), free_name(docs, "text_hash_2")
+    spans = repeated_spans(docs.select(F.col(text).alias("text")), size, owner).select(F.col("t1").alias(h1), F.col("t2").alias(h2), F.col("spans").alias(into))
+    keyed = docs.withColumns({h1: F.xxhash64(F.col(text)), h2: F.xxhash64(F.lit(1), F.col(text))})
+    return keyed.join(spans, [h1, h2], "left").select(*docs.columns, into)
 
 
 def kept_bytes(text: bytes, spans: list[int] | None) -> bytes:
