@@ -16,8 +16,8 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 @pytest.fixture(scope="session")
 def spark():
-    s = get_session("tests", "local[8]", **{
-        "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g", "spark.ui.enabled": "false",
+    s = get_session("tests", f"local[{os.environ.get('TEST_CPUS', 8)}]", **{
+        "spark.sql.shuffle.partitions": "8", "spark.checkpoint.dir": "file:/tmp/checkpoints/tests", "spark.driver.memory": "8g", "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false"})
     s.sparkContext.setLogLevel("ERROR")
     yield s
