@@ -232,7 +232,14 @@ def group_top_tokens(df: DataFrame, flags: list[str], column: str, top: int = 3,
     )
 
 
-def completeness(df: DataFrame, fields: list[str], length_fields: list[str]) -> DataFrame:
+def require_text(df: DataFrame, fields: list[str]) -> DataFrame:
+    """Raise when not one of the fields holds text in any row: the text columns were dropped too early."""
+    if not df.isEmpty() and df.filter(reduce(lambda a, b: a | b, [F.col(f).isNotNull() for f in fields])).isEmpty():
+        raise ValueError(f"all of {fields} are null in every row")
+    return df
+
+
+def completeness(df: DataFrame, fields: list[str] = R.TEXT_FIELDS, length_fields: list[str] = R.LENGTH_FIELDS) -> DataFrame:
     """Count of non-null fields and text lengths; null fields have length 0."""
     return df.withColumns({
         "n_nonempty_fields": reduce(lambda a, b: a + b, [F.col(f).isNotNull().cast("int") for f in fields]),

@@ -29,15 +29,10 @@ def unweighted_edges(pairs: DataFrame, dedup: bool = False) -> DataFrame:
 
 
 def bandwidth(pairs: DataFrame, fit_nodes: DataFrame | None = None) -> float:
-    """Mean neighbour distance in km over fit rows, before any distance cut."""
+    """Mean neighbour distance in km over fit rows, before any distance cut; 0 without neighbours."""
     if fit_nodes is not None:
         pairs = pairs.join(fit_nodes.select(F.col("row_id").alias("src")), "src", "left_semi")
-    return pairs.agg(F.avg("dist_km")).first()[0]
-
-
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda u, v: F.aggregate(F.zip_with(u, v, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+    return pairs.agg(F.avg("dist_km")).first()[0] or 0.0
 
 
 def norm(a: Column) -> Column:
@@ -62,7 +57,8 @@ def weigh_edges(
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy must be one of {STRATEGIES}, got {strategy!r}")
-    spatial = F.exp(-F.col("dist_km") / F.lit(float(sigma)))
+    # all neighbours at one spot: distance 0 weighs 1, anything farther nothing
+    spatial = F.exp(-F.col("dist_km") / F.lit(float(sigma))) if sigma else (F.col("dist_km") == 0).cast("double")
     if strategy == "distance":
         return pairs.withColumn("weight", spatial)
     if src_geo is None:
@@ -239,25 +235,90 @@ def _propagate_gcn(base: DataFrame, arcs: DataFrame, features: list[str], prefix
 
 
 def propagate_held_out(
-    arrivals: DataFrame, stored: DataFrame, edges: DataFrame, attached: DataFrame, features: list[str]
+    arrivals: DataFrame, stored: DataFrame, edges: DataFrame, attached: DataFrame, features: list[str], mode: str = "mean"
 ) -> DataFrame:
-    """Hop-1 and hop-2 means of held-out records, as if each were alone.
+    """Hop-1 and hop-2 features of held-out records in ``mode``, each as if it were alone.
 
-    A stored neighbour would count the new record twice among its in-edges, so
-    its own mean is corrected by arithmetic instead of copying the graph.
+    Linking a record adds two edges each way to every neighbour it is attached
+    to. What that changes for the neighbours (their sums, and for ``gcn`` their
+    degrees, also seen by one another) is added by arithmetic instead of
+    copying the graph, so it is the same as propagating over a graph that was
+    built with this one record.
     """
-    sums = edges.join(stored.select(F.col("row_id").alias("src"), *features), "src").groupBy(
-        F.col("dst").alias("row_id")
-    ).agg(F.count("*").alias("cnt"), *[F.sum(f).alias(f"sum_{f}") for f in features])
-    neighbours = stored.select("row_id", *features).join(sums, "row_id", "left").fillna(0)
-    joined = attached.select("src", "dst").join(
-        neighbours.withColumnRenamed("row_id", "dst"), "dst"
-    ).join(arrivals.select(F.col("row_id").alias("src"), *[F.col(f).alias(f"own_{f}") for f in features]), "src")
-    corrected = lambda f: (F.col(f"sum_{f}") + 2 * F.col(f"own_{f}")) / (F.col("cnt") + 2)
-    return joined.groupBy(F.col("src").alias("row_id")).agg(
-        *[F.avg(f).alias(f"h1_{f}") for f in features],
-        *[F.avg(corrected(f)).alias(f"h2_{f}") for f in features],
-    )
+    if mode not in PROPAGATIONS or mode == "none":
+        raise ValueError(f"mode must be one of {PROPAGATIONS[:-1]}, got {mode!r}")
+    links = attached.select(F.col("src").alias("a"), F.col("dst").alias("j"), F.col("weight").alias("w"))
+    vector = lambda d, key, name: d.select(F.col("row_id").alias(key), F.array(*[F.col(f).cast("double") for f in features]).alias(name))
+    arcs = edges.select(F.col("src").alias("i"), F.col("dst").alias("j"), F.col("weight").alias("v"))
+    arcs = arcs.join(links.select("j").distinct(), "j", "left_semi").join(vector(stored, "i", "xi"), "i")
+    links = links.join(vector(arrivals, "a", "xa"), "a").join(vector(stored, "j", "xj"), "j")
+    if mode == "gcn":
+        return _held_out_gcn(links, arcs, edges, stored, features)
+    pull = lambda x, y: F.exp(F.coalesce(F.try_divide(_dot(x, y), norm(x) * norm(y)), F.lit(0.0)))
+    if mode == "attention":
+        arcs = arcs.join(vector(stored, "j", "xj"), "j").withColumn("u", pull(F.col("xj"), F.col("xi")))
+        links = links.withColumn("u", pull(F.col("xj"), F.col("xa")))
+        share, own, total = F.col("u"), F.col("u"), F.col("u")
+    else:
+        one = F.lit(1.0)
+        share, own, total = (one, one, one) if mode == "mean" else (F.col("v"), F.col("w"), one)
+    sums = arcs.groupBy("j").agg(F.sum(total).alias("total"), _sum_vectors("xi", share, features).alias("sum"))
+    zero = F.array(*[F.lit(0.0) for _ in features])
+    # every neighbour's first hop, with this record among its neighbours
+    near = links.join(sums, "j", "left").withColumn("total", F.coalesce("total", F.lit(0.0))).withColumn("sum", F.coalesce("sum", zero)).withColumn(
+        "hj", F.transform(F.zip_with("sum", "xa", lambda t, x: t + 2 * own * x), lambda t: t / (F.col("total") + 2 * (own if mode == "attention" else F.lit(1.0)))))
+    weight = F.col("w") if mode == "weighted_mean" else F.col("u") if mode == "attention" else F.lit(1.0)
+    by = F.sum("u") if mode == "attention" else F.count("*")
+    first = near.groupBy("a").agg(by.alias("by"), _sum_vectors("xj", weight, features).alias("sum")).select(
+        "a", F.transform("sum", lambda t: t / F.col("by")).alias("ha"))
+    near = near.join(first, "a")
+    if mode == "attention":
+        near = near.withColumn("u", pull(F.col("ha"), F.col("hj")))
+    second = near.groupBy("a").agg(by.alias("by"), F.first("ha").alias("ha"), _sum_vectors("hj", weight, features).alias("sum")).select(
+        "a", "ha", F.transform("sum", lambda t: t / F.col("by")).alias("hh"))
+    return _hops(second, features)
+
+
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def _sum_vectors(column: str, weight: Column, features: list[str]) -> Column:
+    return F.array(*[F.sum(weight * F.col(column)[i]) for i in range(len(features))])
+
+
+def _hops(rows: DataFrame, features: list[str]) -> DataFrame:
+    return rows.select(
+        F.col("a").alias("row_id"), *[F.col("ha")[i].alias(f"h1_{f}") for i, f in enumerate(features)], *[F.col("hh")[i].alias(f"h2_{f}") for i, f in enumerate(features)])
+
+
+def _held_out_gcn(links: DataFrame, arcs: DataFrame, edges: DataFrame, stored: DataFrame, features: list[str]) -> DataFrame:
+    """Symmetric normalisation: a new record also changes its neighbours' degrees, which their common edges see."""
+    degrees = stored.select("row_id").join(edges.groupBy(F.col("dst").alias("row_id")).agg(F.sum("weight").alias("s")), "row_id", "left").select(
+        "row_id", (1 + F.coalesce("s", F.lit(0.0))).alias("d"))
+    degree = lambda key, name: degrees.select(F.col("row_id").alias(key), F.col("d").alias(name))
+    links = links.join(degree("j", "dj"), "j").withColumn("dj2", F.col("dj") + 2 * F.col("w"))
+    links = links.join(links.groupBy("a").agg((1 + 2 * F.sum("w")).alias("da")), "a")
+    arcs = arcs.join(degree("i", "di"), "i")
+    sums = arcs.groupBy("j").agg(_sum_vectors("xi", F.col("v") / F.sqrt("di"), features).alias("sum"))
+    # edges between two neighbours of the same record: their source's degree has grown too
+    both = links.select("a", F.col("j").alias("i"), F.col("dj2").alias("di2")).join(arcs, "i").join(links.select("a", "j"), ["a", "j"])
+    change = F.col("v") * (1 / F.sqrt("di2") - 1 / F.sqrt("di"))
+    changes = both.groupBy("a", "j").agg(_sum_vectors("xi", change, features).alias("more"))
+    zero = F.array(*[F.lit(0.0) for _ in features])
+    near = links.join(sums, "j", "left").join(changes, ["a", "j"], "left").withColumn("sum", F.zip_with(
+        F.coalesce("sum", zero), F.coalesce("more", zero), lambda x, y: x + y))
+    own = F.transform("xa", lambda x: 2 * F.col("w") * x / F.sqrt("da"))
+    self_loop = F.transform("xj", lambda x: x / F.sqrt("dj2"))
+    near = near.withColumn("hj", F.transform(F.zip_with(F.zip_with("sum", own, lambda x, y: x + y), self_loop, lambda x, y: x + y), lambda t: t / F.sqrt("dj2")))
+    weight = 2 * F.col("w") / F.sqrt("dj2")
+
+    def hop(rows: DataFrame, neighbour: str, mine: str, name: str, *keep: str) -> DataFrame:
+        summed = rows.groupBy("a").agg(F.first("da").alias("da"), F.first(mine).alias("mine"), _sum_vectors(neighbour, weight, features).alias("sum"), *[F.first(k).alias(k) for k in keep])
+        return summed.select("a", *keep, F.transform(F.zip_with("sum", "mine", lambda t, x: t + x / F.sqrt("da")), lambda t: t / F.sqrt("da")).alias(name))
+
+    first = hop(near, "xj", "xa", "ha")
+    return _hops(hop(near.join(first, "a"), "hj", "ha", "hh", "ha"), features)
 
 
 # --- diagnostics ------------------------------------------------------------

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from occgraph.functions.hashing import hash_order
-from occgraph.operators.metrics import all_metrics, classification_metrics
+from occgraph.operators.metrics import all_metrics
 from occgraph.operators.splits import hash_rank, stratified_folds
 from occgraph.session import materialize, small_values
 
@@ -154,7 +154,8 @@ def leakage_free_scores(data: DataFrame, *, factory: Factory = ensemble, n_folds
 def grid_search(data: DataFrame, grid: list[dict], build: Callable[[dict], Estimator]) -> tuple[dict, object, DataFrame]:
     """Best setting by F1 on the fixed val rows, the first one on ties.
 
-    Returns the setting, its model and the trial table.
+    Returns the setting, its model and the trial table: one typed column a
+    parameter and every metric on the val rows.
     """
     train, val = data.filter("role = 'train'"), data.filter("role = 'val'")
     rows, best = [], None
@@ -162,12 +163,15 @@ def grid_search(data: DataFrame, grid: list[dict], build: Callable[[dict], Estim
         model = build(setting).fit(train)
         scored = predict(model, val, "y_prob").select(
             F.col("label").cast("int").alias("y_true"), "y_prob", (F.col("y_prob") >= 0.5).cast("int").alias("y_pred"))
-        f1 = classification_metrics(scored, []).first()["f1"]
-        rows.append((i, str(setting), f1))
-        if best is None or f1 > best[0]:
-            best = (f1, setting, model)
-    trials = data.sparkSession.createDataFrame(rows, "trial int, setting string, val_f1 double")
-    return best[1], best[2], trials
+        table = all_metrics(scored.withColumn("trial", F.lit(i)), ["trial"]).withColumns({c: F.lit(v) for c, v in setting.items()})
+        measured = table.first()
+        rows.append(measured)
+        schema = table.schema
+        if best is None or measured["f1"] > best[0]:
+            best = (measured["f1"], setting, model)
+    trials = data.sparkSession.createDataFrame([tuple(r) for r in rows], schema)
+    names = [c for c in trials.columns if c != "trial" and c not in grid[0]]
+    return best[1], best[2], trials.withColumnsRenamed({c: f"val_{c}" for c in names})
 
 
 # --- feature ranking --------------------------------------------------------
@@ -260,6 +264,20 @@ def leave_out_probe(data: DataFrame, fold: str, build: Callable[[int], Estimator
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+def probe_targets(flags: DataFrame, names: list[str], label_like: list[str], top: int = 5, at_least: int = 20) -> list[str]:
+    """The ``top`` most frequent flags that aren't close to the label, as far as ``at_least`` rows have them."""
+    others = [c for c in names if c not in label_like]
+    counts = flags.agg(*[F.sum(F.col(c).cast("long")).alias(c) for c in others]).first()
+    ranked = sorted(others, key=lambda c: (-(counts[c] or 0), others.index(c)))[:top]
+    return [c for c in ranked if (counts[c] or 0) >= at_least]
+
+
+def specificity_probe(data: DataFrame, targets: list[str], build: Callable[[int], Estimator], n_folds: int = 5, seed: int = 42) -> DataFrame:
+    """The cross-validated probe of ``features`` for other targets: is what it finds particular to the label?"""
+    parts = [cross_validated_probe(data.select("row_id", F.col(t).cast("double").alias("label"), "features"), build, n_folds, seed).withColumn("target", F.lit(t)) for t in targets]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def pooled_or_by_group(data: DataFrame, group: str, build: Callable[[int], Estimator], seed: int = 42, min_train: int = 30) -> tuple[DataFrame, DataFrame]:
     """Test predictions of one pooled model and of one model per eligible group,
     and the groups skipped with their reason."""

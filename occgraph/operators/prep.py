@@ -22,7 +22,14 @@ MAX_CATEGORIES = 5000
 # fixed values: columns left out before model preparation
 PREP_DROP = ["host_lith", "dep_type", "state_prov", "status", "commods", "ree_mins"]
 COORDINATES = ["lat", "lon"]
-# fixed values: minerals whose mention is close to the label
+# fixed values: mineral flags that the sweep without minerals leaves out
+MINERAL_FLAGS = ["has_ilmenite", "has_magnetite", "has_barite", "has_zircon", "has_pyrochlore", "has_fluorite"]
+# fixed values: deposit groups, which that sweep puts back and the sweep without lithology leaves out
+GROUP_FLAGS = [
+    "is_carbonatite_system", "is_alkaline_intrusive", "is_mafic_ultramafic", "is_felsic_pegmatite", "is_metamorphic_metasomatic",
+    "is_sedimentary", "is_placer", "is_supergene_lateritic", "is_unclassified",
+]
+# fixed values: mineral flags close to the label, no targets of a probe for other minerals
 LABEL_LIKE_MINERALS = ["has_zircon", "has_ilmenite", "has_pyrochlore", "has_fluorite", "has_magnetite"]
 
 
@@ -63,6 +70,7 @@ class FeaturePrep:
     missing_threshold: float = 0.5
     drop_coordinates: bool = False
     always_keep: tuple[str, ...] = ("region",)
+    without: tuple[str, ...] = ()  # families of features left out: minerals, lithology, places
     scale: dict = field(default_factory=dict)
     numeric: dict = field(default_factory=dict)
     categories: dict = field(default_factory=dict)
@@ -82,9 +90,12 @@ class FeaturePrep:
         self.categories = {c: fit_categories(rows, c) for c in kept if kinds[c] == "string"}
         return self
 
+    def _all_names(self) -> list[str]:
+        return list(self.numeric) + [f"{c}_{v}" for c, vs in self.categories.items() for v in vs]
+
     def names(self) -> list[str]:
         """Feature names in column order."""
-        return list(self.numeric) + [f"{c}_{v}" for c, vs in self.categories.items() for v in vs]
+        return candidate_columns(self._all_names(), **{family: False for family in self.without})
 
     def _columns(self) -> list[Column]:
         out = []
@@ -97,7 +108,8 @@ class FeaturePrep:
         for c, values in self.categories.items():
             known = known_category(c, values)
             out += [(known == v).cast("double") for v in values]
-        return out
+        kept = set(self.names())
+        return [c for c, name in zip(out, self._all_names(), strict=True) if name in kept]
 
     def encode(self, df: DataFrame, keep: list[str] = ()) -> DataFrame:
         """Wide form, one column per feature, in a single projection."""
@@ -113,7 +125,7 @@ class FeaturePrep:
     @classmethod
     def from_json(cls, text: str) -> FeaturePrep:
         state = json.loads(text)
-        state["always_keep"] = tuple(state["always_keep"])
+        state["always_keep"], state["without"] = tuple(state["always_keep"]), tuple(state["without"])
         state["scale"] = {k: tuple(v) for k, v in state["scale"].items()}
         return cls(**state)
 
@@ -124,9 +136,9 @@ def candidate_columns(columns: list[str], *, coordinates: bool = True, minerals:
     if not coordinates:
         out = [c for c in out if c not in COORDINATES]
     if not minerals:
-        out = [c for c in out if c not in LABEL_LIKE_MINERALS]
+        out = [c for c in out if c not in MINERAL_FLAGS]
     if not lithology:
-        out = [c for c in out if not c.startswith("is_")]
+        out = [c for c in out if c not in GROUP_FLAGS]
     if not places:
         out = [c for c in out if not c.startswith(("region_", "country_"))]
     return out

@@ -15,18 +15,19 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.filter("src < dst").groupBy(F.col("src").alias("a"), F.col("dst").alias("b")).agg(F.max("weight").alias("weight"))
 
 
-def rewire(edges: DataFrame, seed: int = 42, swaps_per_edge: int = 2, max_rounds: int = 20) -> DataFrame:
-    """Swap edge ends in parallel rounds, then shuffle the weights.
+def rewire(edges: DataFrame, seed: int = 42, swaps_per_edge: int = 2, idle_rounds: int = 3) -> DataFrame:
+    """Swap edge ends in parallel rounds until enough are swapped, then shuffle the weights.
 
     Each round pairs all edges by hash and proposes (a,b),(c,d) -> (a,d),(c,b).
     A pair keeps its edges when a new edge would be a loop, exists already, or
-    is proposed twice. Every node keeps its degree.
+    is proposed twice. Every node keeps its degree. Raises when
+    ``idle_rounds`` rounds in a row find nothing to swap before the swaps asked
+    for are done: the graph can't be rewired that far.
     """
     start = materialize(undirected(edges))
-    current, n_edges, done = start.select("a", "b"), start.count(), 0
-    for r in range(max_rounds):
-        if done >= swaps_per_edge * n_edges:
-            break
+    current, n_edges, done, idle, r = start.select("a", "b"), start.count(), 0, 0, -1
+    while done < swaps_per_edge * n_edges:
+        r += 1
         turn = hash_uniform(F.lit("turn"), F.lit(seed), F.lit(r), F.col("a"), F.col("b")) < 0.5
         ranked = hash_rank(current, [], hash_order(F.lit(seed), F.lit(r), F.col("a"), F.col("b")), tie="a")
         ends = ranked.select(
@@ -48,13 +49,24 @@ def rewire(edges: DataFrame, seed: int = 42, swaps_per_edge: int = 2, max_rounds
             F.struct(low("u0", "v0").alias("a"), high("u0", "v0").alias("b")), F.struct(low("u1", "v1").alias("a"), high("u1", "v1").alias("b")))).alias("e")).select("e.*").filter("a IS NOT NULL")
         swapped = new.join(good, "pair", "left_semi").select("a", "b", F.lit(True).alias("moved"))
         result = materialize(swapped.unionByName(kept.withColumn("moved", F.lit(False))))
-        done += result.filter("moved").count() // 2
+        swapped_now = result.filter("moved").count() // 2
+        done, idle = done + swapped_now, 0 if swapped_now else idle + 1
+        if idle == idle_rounds:
+            raise ValueError(f"only {done} of {swaps_per_edge * n_edges} swaps are possible")
         current = result.select("a", "b")
     slots = hash_rank(current, [], hash_order(F.lit("slot"), F.lit(seed), F.col("a"), F.col("b")), tie="a").select("a", "b", "place")
     weights = hash_rank(start, [], hash_order(F.lit("weight"), F.lit(seed), F.col("a"), F.col("b")), tie="a").select("weight", "place")
     return slots.join(weights, "place").select("a", "b", "weight")
 
 
+def rewiring_report(before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row: links, links that changed, and whether the weights are the same ones. Both sides hold ``(a, b, weight)``."""
+    kept = before.select("a", "b").join(after.select("a", "b"), ["a", "b"], "left_semi").agg(F.count("*").alias("kept"))
+    side = lambda d, name: d.agg(F.count("*").alias(f"n_{name}"), F.sum(F.xxhash64("weight").cast("decimal(38,0)")).alias(f"w_{name}"))
+    return side(before, "before").join(side(after, "after")).join(kept).select(  # one row each
+        "n_before", "n_after", (F.col("n_before") - F.col("kept")).alias("n_changed"), F.col("w_before").eqNullSafe(F.col("w_after")).alias("same_weights"))
+
+
 def as_edges(pairs: DataFrame) -> DataFrame:
     """Both directions of ``(a, b, weight)``, without distances."""
     one = pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(None).cast("double").alias("dist_km"), "weight")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -129,6 +130,9 @@ def model_frame(df: DataFrame, token_columns: list[str], group_columns: list[str
         + [f"region_{c}" for c in R.REGIONS] + [f"rec_type_{c}" for c in R.RECORD_TYPES]
         + [f"system_{c}" for c in R.SYSTEMS if c != "unknown"] + sorted(token_columns) + sorted(group_columns)
     )
+    suspects = leakage_suspects([c for c in wanted if c in df.columns])
+    if suspects:
+        warnings.warn(f"these inputs may tell the label: {suspects}", stacklevel=2)
     absent = [c for c in wanted if c not in df.columns]
     if absent:
         raise KeyError(f"model inputs are missing: {absent}")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from occgraph.functions import rules as R
 from occgraph.functions import text as X
 from occgraph.operators import table as B
 from occgraph.operators.graph import Graph, build_weighted_graph
@@ -26,7 +27,7 @@ def processed_table(raw: DataFrame, n_tokens: int = 180, drop_region: str | None
     tokens = [r["token"] for r in X.vocabulary(scrubbed, "sig_mins", n_tokens).collect()]  # at most n_tokens strings
     flags = X.token_flags("sig_mins", tokens)
     processed = scrubbed.select("*", *flags, *X.lithology_flags(F.col("host_lith"))).drop("sig_mins", "host_lith_inferred", "host_lith_tier")
-    return B.drop_columns(processed, ["dep_note", "components", "part_of", "rec_note", "rec_type"]), X.token_counts(scrubbed, "host_lith"), review
+    return B.drop_columns(processed, R.INGEST_DROP), X.token_counts(scrubbed, "host_lith"), review
 
 
 def released_graph(processed: DataFrame, similarity: list[str], k: int = 15, alpha: float = 0.6, max_km: float = 2000.0) -> Graph:

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from occgraph.operators import graph as G
 from occgraph.operators import models as M
 from occgraph.operators.knn import knn_graph_pairs
-from occgraph.operators.prep import FeaturePrep, similarity_columns
-from occgraph.session import materialize
+from occgraph.operators.prep import GROUP_FLAGS, FeaturePrep, similarity_columns
+from occgraph.session import materialize, owned_copies
 
 
 @dataclass
@@ -36,6 +36,8 @@ class SweepConfig:
     use_score: bool = True
     use_edge_stats: bool = True
     drop_coordinates: bool = False
+    without: tuple[str, ...] = ()  # families of features left out: minerals, lithology, places
+    unify_edge_rule: bool = True
     seed: int = 42
     factory: M.Factory = M.ensemble
     selector: object = field(default_factory=lambda: M.boosted)
@@ -73,18 +75,20 @@ def _own_columns(cfg: SweepConfig, selected: list[str]) -> list[str]:
 def fit_fold(data: DataFrame, cfg: SweepConfig) -> FittedFold:
     """``data``: records with ``role`` train or val (test rows are ignored)."""
     data = materialize(data.filter("role <> 'test'"))
-    prep = FeaturePrep(drop_coordinates=cfg.drop_coordinates).fit(data.filter("role = 'train'"))
+    prep = FeaturePrep(drop_coordinates=cfg.drop_coordinates, without=cfg.without).fit(data.filter("role = 'train'"))
     names = prep.names()
     vectors = materialize(prep.transform(data, keep=["role", "label"]))
     ranked = cfg.selector(cfg.seed).fit(vectors.filter("role = 'train'").withColumn("label", F.col("label").cast("double")))
     selected = M.tree_importance(ranked, names, cfg.top_features)
+    if "minerals" in cfg.without:  # the deposit groups make up for them
+        selected += [c for c in GROUP_FLAGS if c in names and c not in selected]
     scores, scorers = M.leakage_free_scores(vectors, factory=cfg.factory, n_folds=cfg.n_folds, seed=cfg.seed) if cfg.use_score else (None, [])
     nodes = _selected(prep, data, selected, names, ["role", "label", "lat", "lon"])
     if scores is not None:
         nodes = nodes.join(scores.select("row_id", "score"), "row_id")
     nodes = materialize(nodes)
     pairs = materialize(knn_graph_pairs(nodes, cfg.k))
-    graph = G.build_weighted_graph(nodes, cfg.k, strategy=cfg.strategy, alpha=cfg.alpha, max_km=cfg.max_km, fit_role="train", pairs=pairs)
+    graph = G.build_weighted_graph(nodes, cfg.k, strategy=cfg.strategy, alpha=cfg.alpha, max_km=cfg.max_km, fit_role="train", unify_edge_rule=cfg.unify_edge_rule, pairs=pairs)
     graph = G.Graph(nodes, materialize(graph.edges), graph.sigma)
     stored = materialize(G.edge_stats(nodes, graph.edges))
     own = _own_columns(cfg, selected)
@@ -122,7 +126,7 @@ def score_held_out(fold: FittedFold, records: DataFrame) -> DataFrame:
     own = _own_columns(cfg, fold.selected)
     table = materialize(G.attached_stats(arrivals, attached))
     if cfg.propagation != "none":
-        table = table.join(G.propagate_held_out(table, fold.stored, fold.graph.edges, attached, own), "row_id")
+        table = table.join(G.propagate_held_out(table, fold.stored, fold.graph.edges, attached, own, cfg.propagation), "row_id")
     assembled = M.assemble(table, fold.inputs, ["row_id"])
     return M.predict(fold.classifier, assembled, "y_prob").select("row_id", "y_prob", (F.col("y_prob") >= 0.5).cast("int").alias("y_pred"))
 
@@ -137,12 +141,14 @@ def run_fold(data: DataFrame, cfg: SweepConfig) -> DataFrame:
 def run_sweep(records: DataFrame, splits: DataFrame, cases: list[tuple[int, str]], cfg: SweepConfig, model: str = "graph", exp: str = "loro") -> DataFrame:
     """Predictions over ``(seed, fold)`` cases in the long prediction layout.
 
-    The list of cases is small; the work of each case is distributed.
+    The list of cases is small; the work of each case is distributed. A case's
+    copies are deleted when its predictions are written.
     """
     parts = []
     for seed, fold in cases:
         roles = splits.filter((F.col("seed") == seed) & (F.col("fold") == fold)).select("row_id", "role")
-        data = materialize(records.join(roles, "row_id"))
-        parts.append(materialize(run_fold(data, cfg)).select(
+        with owned_copies(records.sparkSession, "fold"):
+            predicted = materialize(run_fold(materialize(records.join(roles, "row_id")), cfg), "predictions")
+        parts.append(predicted.select(
             F.lit(exp).alias("exp"), F.lit(model).alias("model"), F.lit(seed).alias("seed"), F.lit(fold).alias("region"), "row_id", "y_true", "y_prob", "y_pred"))
     return reduce(lambda a, b: a.unionByName(b), parts)

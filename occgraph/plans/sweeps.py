@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -30,6 +31,15 @@ def max_distance_sweep(nodes: DataFrame, limits_km: list[float], k: int = 15) ->
     return kept.groupBy("max_km").agg((2 * F.count("*")).alias("n_edges"), F.avg("dist_km").alias("mean_km"))
 
 
+def ablations(cfg: SweepConfig) -> dict[str, SweepConfig]:
+    """``cfg`` and its variants, each without one family of features or with the edge rule of the fit rows."""
+    return {
+        "all": cfg, "no_coordinates": replace(cfg, drop_coordinates=True), "no_minerals": replace(cfg, without=("minerals",)),
+        "no_lithology": replace(cfg, without=("lithology",)), "no_places": replace(cfg, without=("places",)),
+        "asymmetric_edges": replace(cfg, unify_edge_rule=False),
+    }
+
+
 def condition_sweep(records: DataFrame, splits: DataFrame, cases: list[tuple[int, str]], conditions: dict[str, SweepConfig]) -> DataFrame:
     """The same folds under several configurations, with a ``condition`` column."""
     parts = [run_sweep(records, splits, cases, cfg).withColumn("condition", F.lit(name)) for name, cfg in conditions.items()]

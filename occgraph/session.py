@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,6 +62,19 @@ def clear_materialized(spark: SparkSession, owner: str | None = None) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_OWNERS: list[str] = []
+
+
+@contextmanager
+def owned_copies(spark: SparkSession, name: str) -> Iterator[None]:
+    """Copies made inside without an owner of their own are deleted at the end."""
+    _OWNERS.append(f"{name}-{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        clear_materialized(spark, _OWNERS.pop())
+
+
 def materialize(df: DataFrame, owner: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -69,7 +84,7 @@ def materialize(df: DataFrame, owner: str | None = None) -> DataFrame:
     ``owner`` names the copies that ``clear_materialized`` deletes together.
     """
     spark = df.sparkSession
-    path = f"{_own_folder(spark, owner)}/{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark, owner or (_OWNERS[-1] if _OWNERS else None))}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

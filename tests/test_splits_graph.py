@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,7 +122,7 @@ def test_held_out_records_are_independent(spark, sf):
 
 def test_rewiring_keeps_degrees_and_changes_links(site_rows):
     edges = G.both_directions(knn_graph_pairs(site_rows, 4).withColumn("weight", F.exp(-F.col("dist_km") / 100)))
-    before, after = materialize(RW.undirected(edges)), materialize(RW.rewire(edges, max_rounds=3))
+    before, after = materialize(RW.undirected(edges)), materialize(RW.rewire(edges, swaps_per_edge=1))
     degree = lambda e: as_dict(RW.as_edges(e).groupBy("dst").count(), "dst", "count")
     assert degree(before) == degree(after)
     assert after.filter("a >= b").isEmpty() and after.groupBy("a", "b").count().filter("count > 1").isEmpty()
@@ -186,3 +187,88 @@ def test_shard_guards(spark):
     with pytest.raises(ValueError, match="missing"):
         RS.require_coverage(rows, {"condition": ["c"], "seed": [1, 2, 3], "region": ["r"]})
     assert RS.require_coverage(rows, {"condition": ["c"], "seed": [1, 2], "region": ["r"]}).isEmpty()
+
+
+@pytest.mark.parametrize("mode", ["mean", "weighted_mean", "gcn", "attention"])
+def test_held_out_hops_equal_a_graph_with_the_one_record(spark, mode):
+    """Every record propagated alone over the graph it is linked into, two edges each way per link."""
+    r = np.random.default_rng(0)
+    n, names = 14, ["f0", "f1"]
+    stored = spark.createDataFrame([(i, float(r.normal()), float(r.normal())) for i in range(n)], "row_id long, f0 double, f1 double")
+    arrivals = spark.createDataFrame([(100 + i, float(r.normal()), float(r.normal())) for i in range(3)], "row_id long, f0 double, f1 double")
+    one_way = [(int(a), int(b), None, float(r.random())) for a in range(n) for b in r.choice(n, 3, replace=False) if a != b]
+    edges = spark.createDataFrame(one_way + [(b, a, d, w) for a, b, d, w in one_way], "src long, dst long, dist_km double, weight double")
+    attached = [(100 + i, int(j), float(r.random())) for i in range(3) for j in r.choice(n, 4, replace=False)]
+    got = {x["row_id"]: x for x in G.propagate_held_out(
+        arrivals, stored, edges, spark.createDataFrame(attached, "src long, dst long, weight double"), names, mode).collect()}
+    for i in range(3):
+        mine = [(a, j, None, w) for a, j, w in attached if a == 100 + i]
+        more = spark.createDataFrame(2 * mine + 2 * [(j, a, d, w) for a, j, d, w in mine], edges.schema)
+        nodes, whole = stored.unionByName(arrivals.filter(f"row_id = {100 + i}")), edges.unionByName(more)
+        one = G.propagate(nodes, whole, names, mode, "h1_")
+        two = G.propagate(one, whole, [f"h1_{f}" for f in names], mode, "h2_")
+        w1, w2 = one.filter(f"row_id = {100 + i}").first(), two.filter(f"row_id = {100 + i}").first()
+        for f in names:
+            assert got[100 + i][f"h1_{f}"] == pytest.approx(w1[f"h1_{f}"]) and got[100 + i][f"h2_{f}"] == pytest.approx(w2[f"h2_h1_{f}"])
+
+
+def test_too_many_swaps_raise(spark):
+    """A triangle has no two links whose ends can be swapped."""
+    one = [(0, 1), (1, 2), (0, 2)]
+    edges = spark.createDataFrame([(a, b, None, 1.0) for a, b in one] + [(b, a, None, 1.0) for a, b in one], "src long, dst long, dist_km double, weight double")
+    with pytest.raises(ValueError, match="only 0 of 6 swaps"):
+        RW.rewire(edges)
+
+
+def test_feature_families_leave_and_come_back():
+    from occgraph.operators.prep import GROUP_FLAGS, MINERAL_FLAGS, candidate_columns
+
+    names = ["lat", "lon", *MINERAL_FLAGS, *GROUP_FLAGS, "region_ASIA", "country_X", "has_gold", "is_part_of_complex"]
+    left = lambda **k: [c for c in names if c not in candidate_columns(names, **k)]
+    assert left(minerals=False) == MINERAL_FLAGS and "has_barite" in MINERAL_FLAGS and len(MINERAL_FLAGS) == 6
+    assert left(lithology=False) == GROUP_FLAGS and len(GROUP_FLAGS) == 9
+    assert left(places=False) == ["region_ASIA", "country_X"] and left(coordinates=False) == ["lat", "lon"]
+
+
+def test_prep_without_a_family(spark, sf):
+    rows = Q.records(spark, sf).withColumn("has_barite", (F.col("row_id") % 2).cast("int"))
+    whole = FeaturePrep().fit(rows)
+    without = FeaturePrep.from_json(FeaturePrep(without=("minerals", "places")).fit(rows).to_json())
+    assert set(whole.names()) - set(without.names()) == {n for n in whole.names() if n == "has_barite" or n.startswith(("region_", "country_"))}
+    assert len(without.transform(rows).first()["features"]) == len(without.names())
+
+
+def test_ablations_change_one_thing_each():
+    from occgraph.plans.region_sweep import SweepConfig
+    from occgraph.plans.sweeps import ablations
+
+    base = SweepConfig()
+    differing = {n: [f for f in vars(base) if getattr(c, f) != getattr(base, f)] for n, c in ablations(base).items()}
+    assert differing == {"all": [], "no_coordinates": ["drop_coordinates"], "no_minerals": ["without"], "no_lithology": ["without"],
+                         "no_places": ["without"], "asymmetric_edges": ["unify_edge_rule"]}
+
+
+def test_targets_of_the_specificity_probe(spark):
+    flags = spark.createDataFrame([(i, int(i < 60), int(i < 40), int(i < 50), int(i < 10)) for i in range(100)], "row_id long, has_a int, has_zircon int, has_b int, has_c int")
+    assert M.probe_targets(flags, ["has_c", "has_b", "has_zircon", "has_a"], ["has_zircon"], top=3) == ["has_a", "has_b"]
+
+
+def test_text_fields_may_not_all_be_null(spark):
+    from occgraph.functions.text import require_text
+
+    df = spark.createDataFrame([(1, None, None), (2, None, "x")], "row_id long, a string, b string")
+    assert require_text(df, ["a", "b"]).count() == 2
+    with pytest.raises(ValueError, match="null"):
+        require_text(df, ["a"])
+
+
+def test_copies_of_a_fold_are_deleted(spark):
+    from occgraph.session import owned_copies
+
+    with owned_copies(spark, "fold"):
+        inner = materialize(spark.range(3))
+        kept = materialize(spark.range(4), "kept")
+        assert inner.count() == 3
+    assert kept.count() == 4
+    with pytest.raises(Exception, match="(?i)not.?(exist|found)"):
+        spark.read.parquet(inner.inputFiles()[0])

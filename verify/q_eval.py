@@ -186,7 +186,7 @@ _POIS = "+".join(f"(u >= {c!r}::DOUBLE)::INT" for c in __import__("itertools").a
   """SELECT model, round(point.roc_auc,6) AS point, round(quantile_cont(r.roc_auc, 0.025),6) AS ci_lower, round(quantile_cont(r.roc_auc, 0.975),6) AS ci_upper, count(r.roc_auc) AS n_valid
      FROM rep_auc r JOIN point USING (model) GROUP BY model, point.roc_auc"""))
 def row_bootstrap_auc(spark, sf):
-    return rd(I.row_bootstrap(preds(spark, sf), ["model"], "roc_auc", 60, ["model", "seed", "row_id"]))
+    return rd(I.row_bootstrap(preds(spark, sf), ["model"], "roc_auc", 1000, ["model", "seed", "row_id"]))
 
 
 def _draws(reps):
@@ -201,22 +201,22 @@ def _cluster_sql(metric, reps):
       GROUP BY model, point.{metric}, n_pred, n_clusters""")
 
 
-@query(_cluster_sql("roc_auc", 400))
+@query(_cluster_sql("roc_auc", 2000))
 def cluster_bootstrap_auc(spark, sf):
-    return rd(I.cluster_bootstrap(preds(spark, sf), "roc_auc", 400))
+    return rd(I.cluster_bootstrap(preds(spark, sf), "roc_auc", 2000))
 
 
-@query(_cluster_sql("pr_auc", 120))
+@query(_cluster_sql("pr_auc", 2000))
 def cluster_bootstrap_average_precision(spark, sf):
-    return rd(I.cluster_bootstrap(preds(spark, sf), "pr_auc", 120))
+    return rd(I.cluster_bootstrap(preds(spark, sf), "pr_auc", 2000))
 
 
-@query(with_sql([PREDS, *_draws(400), "d AS (SELECT a.roc_auc-b.roc_auc AS diff FROM rep_auc a JOIN rep_auc b ON a.rep=b.rep WHERE a.model='m1' AND b.model='m2')",
+@query(with_sql([PREDS, *_draws(2000), "d AS (SELECT a.roc_auc-b.roc_auc AS diff FROM rep_auc a JOIN rep_auc b ON a.rep=b.rep WHERE a.model='m1' AND b.model='m2')",
    "e AS (SELECT quantile_cont(diff,0.025) AS lo, quantile_cont(diff,0.975) AS hi, count(diff) AS n FROM d)"],
   """SELECT 'm1' AS model_a, 'm2' AS model_b, round(a.roc_auc,6) AS point_a, round(b.roc_auc,6) AS point_b, round(a.roc_auc-b.roc_auc,6) AS diff, round(lo,6) AS ci_lower, round(hi,6) AS ci_upper,
      (lo>0 OR hi<0)::INT AS excludes_zero, n AS n_valid FROM e, point a, point b WHERE a.model='m1' AND b.model='m2'"""))
 def paired_cluster_difference(spark, sf):
-    return rd(I.paired_cluster_difference(preds(spark, sf), "m1", "m2", "roc_auc", 400)).withColumn("excludes_zero", F.col("excludes_zero").cast("int"))
+    return rd(I.paired_cluster_difference(preds(spark, sf), "m1", "m2", "roc_auc", 2000)).withColumn("excludes_zero", F.col("excludes_zero").cast("int"))
 
 
 @query(with_sql(_MET, "SELECT model, string_agg(DISTINCT seed::VARCHAR, ',' ORDER BY seed::VARCHAR) AS seeds, count(DISTINCT seed) AS n_seeds FROM ml GROUP BY model"))

@@ -185,14 +185,22 @@ def vectors(spark, sf):
     return prep, materialize(prep.transform(r, keep=["role", "label", "region"]).withColumn("label", F.col("label").cast("double")))
 
 
-@query()
+def _scored_once(scores):
+    """A fitted score can't be computed in SQL, but every record has one, and it is a probability."""
+    return scores.groupBy("row_id", "role").agg(F.count("*").alias("n_scores"), F.min(F.col("score").between(0, 1).cast("int")).alias("is_probability"))
+
+
+_ONCE = with_sql([ROLES, SITE_ATTRS], "SELECT row_id, role, 1 AS n_scores, 1 AS is_probability FROM roles JOIN site_attrs USING (row_id)")
+
+
+@query(_ONCE)
 def out_of_fold_scores(spark, sf):
-    return M.leakage_free_scores(vectors(spark, sf)[1], factory=_small, n_folds=3)[0]
+    return _scored_once(M.leakage_free_scores(vectors(spark, sf)[1], factory=_small, n_folds=5)[0])
 
 
-@query()
+@query(_ONCE)
 def in_sample_scores(spark, sf):
-    return M.leakage_free_scores(vectors(spark, sf)[1], factory=lambda s: [_forest(s)], scoring="in_sample")[0]
+    return _scored_once(M.leakage_free_scores(vectors(spark, sf)[1], factory=lambda s: [_forest(s)], scoring="in_sample")[0])
 
 
 def _evaluated(scored, name):
@@ -202,7 +210,7 @@ def _evaluated(scored, name):
 @query()
 def score_only_control(spark, sf):
     prep, v = vectors(spark, sf)
-    scores = M.leakage_free_scores(v, factory=lambda s: [_forest(s)], n_folds=3)[0].withColumnRenamed("score", "y_prob")
+    scores = M.leakage_free_scores(v, factory=lambda s: [_forest(s)], n_folds=5)[0].withColumnRenamed("score", "y_prob")
     return _evaluated(v.select("row_id", "label").join(scores, "row_id"), "score_only")
 
 
@@ -252,7 +260,7 @@ def _doc_vectors(spark, sf):
 
 @query()
 def documentation_probe(spark, sf):
-    return M.cross_validated_probe(_doc_vectors(spark, sf), _forest, 3)
+    return M.cross_validated_probe(_doc_vectors(spark, sf), _forest, 5)
 
 
 @query()
@@ -267,26 +275,29 @@ def _config(**more):
     return SweepConfig(factory=lambda s: [_forest(s)], selector=lambda s: _forest(s), n_folds=2, top_features=5, grid=[{"regParam": 0.01}, {"regParam": 0.1}], **more)
 
 
+_REGIONS = [(42, r) for r in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")]
+
+
 @query()
 def leave_region_out_run(spark, sf):
     r = records(spark, sf).drop("role")
     splits = S.leave_one_region_out(r, [42])
-    return run_sweep(r, splits, [(42, "ASIA")], _config())
+    return run_sweep(r, splits, _REGIONS, _config())
 
 
 @query()
 def no_message_passing_run(spark, sf):
     r = records(spark, sf).drop("role")
     splits = S.leave_one_region_out(r, [42])
-    return run_sweep(r, splits, [(42, "ASIA")], _config(propagation="none"), model="no_graph")
+    return run_sweep(r, splits, _REGIONS, _config(propagation="none"), model="no_graph")
 
 
 @query()
 def weighted_vs_unweighted_run(spark, sf):
-    """Two propagation modes on the same fold, tuned apart and compared."""
+    """Two propagation modes on the same folds, tuned apart and compared over all regions."""
     r = records(spark, sf).drop("role")
     splits = S.leave_one_region_out(r, [42])
-    swept = condition_sweep(r, splits, [(42, "ASIA")], {"mean": _config(use_score=False), "weighted": _config(use_score=False, propagation="weighted_mean")})
+    swept = condition_sweep(r, splits, _REGIONS, {"mean": _config(use_score=False), "weighted": _config(use_score=False, propagation="weighted_mean")})
     return compare_conditions(condition_metrics(materialize(swept)), "weighted", "mean")
 
 
@@ -305,10 +316,25 @@ def model_inputs(spark, sf):
     return frame.select("row_id", "lat_z", "lon_z", "commodity_count", "system_other", "label")
 
 
-@query(with_sql([SITES, FEATS, *graph_sql("distance", k=5, max_km=2000), "u AS (SELECT DISTINCT src, dst FROM e)"], "SELECT dst AS row_id, count(*) AS degree FROM u GROUP BY dst"))
+_LINKS = [SITES, FEATS, *graph_sql("distance", k=5, max_km=2000), "u AS (SELECT DISTINCT src, dst FROM e)"]
+
+
+def _rewired(spark, sf):
+    edges = materialize(G.build_weighted_graph(sites(spark, sf), 5, strategy="distance").edges)
+    return edges, RW.rewire(edges)
+
+
+@query(with_sql(_LINKS, "SELECT dst AS row_id, count(*) AS degree FROM u GROUP BY dst"))
 def rewired_degrees(spark, sf):
-    g = G.build_weighted_graph(sites(spark, sf), 5, strategy="distance")
-    return RW.as_edges(RW.rewire(g.edges, swaps_per_edge=1, max_rounds=3)).groupBy(F.col("dst").alias("row_id")).agg(F.count("*").alias("degree"))
+    return RW.as_edges(_rewired(spark, sf)[1]).groupBy(F.col("dst").alias("row_id")).agg(F.count("*").alias("degree"))
+
+
+@query(with_sql(_LINKS, "SELECT count(*) AS n_before, count(*) AS n_after, TRUE AS mostly_changed, TRUE AS same_weights FROM u WHERE src < dst"))
+def rewiring_report(spark, sf):
+    """Two swaps a link: most links are new, and their weights are the old ones dealt anew."""
+    edges, after = _rewired(spark, sf)
+    report = RW.rewiring_report(RW.undirected(edges), after)
+    return report.select("n_before", "n_after", (F.col("n_changed") > F.col("n_before") / 2).alias("mostly_changed"), "same_weights")
 
 
 @query(with_sql(_ATTACH, "SELECT src, dst, round(weight,6) AS weight FROM att"))

@@ -287,6 +287,52 @@ def propagate_heldout(spark, sf):
     return out.select("row_id", *[_r(c) for c in out.columns[1:]])
 
 
+def _held_out(spark, sf, mode):
+    tv, test, g, at = _attached(spark, sf)
+    out = G.propagate_held_out(test, tv, g.edges, at, FEATS_COLS, mode)
+    return out.select("row_id", *[_r(c) for c in out.columns[1:]])
+
+
+@query(with_sql([*_ATTACH, "nb AS (SELECT e.dst AS id, count(*) AS c, sum(weight*f0) AS s0, sum(weight*f1) AS s1, sum(weight*f2) AS s2 FROM e JOIN feats ON e.src = row_id GROUP BY 1)"],
+  """SELECT att.src AS row_id, """ + ", ".join(
+      f"round(avg(weight*j.f{i}),6) AS h1_f{i}, round(avg(weight*(coalesce(s{i},0)+2*weight*o.f{i})/(coalesce(c,0)+2)),6) AS h2_f{i}" for i in range(3)) +
+  """ FROM att JOIN feats j ON att.dst = j.row_id JOIN feats o ON att.src = o.row_id LEFT JOIN nb ON nb.id = att.dst GROUP BY att.src"""))
+def propagate_heldout_weighted(spark, sf):
+    return _held_out(spark, sf, "weighted_mean")
+
+
+def _pull(a, b):
+    long = lambda x: f"sqrt({x}0*{x}0+{x}1*{x}1+{x}2*{x}2)"
+    return f"exp(CASE WHEN {long(a)}*{long(b)} > 0 THEN ({a}0*{b}0+{a}1*{b}1+{a}2*{b}2)/({long(a)}*{long(b)}) ELSE 0 END)"
+
+
+_3 = lambda text: ", ".join(text.replace("#", str(i)) for i in range(3))
+
+
+@query(with_sql([*_ATTACH,
+  f"nb AS (SELECT e.dst AS id, sum({_pull('y.f', 'x.f')}) AS c, {_3(f'sum({_pull("y.f", "x.f")}*x.f#) AS s#')} FROM e JOIN feats x ON e.src = x.row_id JOIN feats y ON e.dst = y.row_id GROUP BY 1)",
+  f"nr AS (SELECT att.src AS a, {_pull('j.f', 'o.f')} AS u, coalesce(c,0) AS c, {_3('j.f# AS f#')}, {_3('o.f# AS o#')}, {_3('coalesce(s#,0) AS s#')} FROM att JOIN feats j ON att.dst = j.row_id JOIN feats o ON att.src = o.row_id LEFT JOIN nb ON nb.id = att.dst)",
+  f"h1 AS (SELECT a, {_3('sum(u*f#)/sum(u) AS h#')} FROM nr GROUP BY a)",
+  f"hj AS (SELECT a, {_3('(s#+2*u*o#)/(c+2*u) AS g#')} FROM nr)",
+  f"h2 AS (SELECT a, {_3(f'sum({_pull("h", "g")}*g#)/sum({_pull("h", "g")}) AS hh#')} FROM hj JOIN h1 USING (a) GROUP BY a)"],
+  f"SELECT a AS row_id, {_3('round(h#,6) AS h1_f#')}, {_3('round(hh#,6) AS h2_f#')} FROM h1 JOIN h2 USING (a)"))
+def propagate_heldout_attention(spark, sf):
+    return _held_out(spark, sf, "attention")
+
+
+@query(with_sql([*_ATTACH,
+  "dg AS (SELECT tv.row_id AS id, 1 + coalesce(sum(weight), 0) AS d FROM tv LEFT JOIN e ON e.dst = tv.row_id GROUP BY 1)",
+  "da AS (SELECT src AS a, 1 + 2*sum(weight) AS da FROM att GROUP BY 1)",
+  "lk AS (SELECT src AS a, dst AS j, weight AS w, d + 2*weight AS dj, da FROM att JOIN dg ON id = dst JOIN da ON da.a = att.src)",
+  f"nb AS (SELECT e.dst AS j, {_3('sum(weight*x.f#/sqrt(d)) AS s#')} FROM e JOIN feats x ON e.src = x.row_id JOIN dg ON id = e.src GROUP BY 1)",
+  f"ch AS (SELECT l.a, m.j, {_3('sum(weight*x.f#*(1/sqrt(l.dj)-1/sqrt(d))) AS m#')} FROM lk l JOIN e ON e.src = l.j JOIN lk m ON m.a = l.a AND m.j = e.dst JOIN feats x ON x.row_id = l.j JOIN dg ON id = l.j GROUP BY 1, 2)",
+  f"hj AS (SELECT lk.*, {_3('y.f# AS y#')}, {_3('o.f# AS o#')}, {_3('(coalesce(s#,0)+coalesce(m#,0)+2*w*o.f#/sqrt(da)+y.f#/sqrt(dj))/sqrt(dj) AS g#')} FROM lk JOIN feats y ON y.row_id = lk.j JOIN feats o ON o.row_id = lk.a LEFT JOIN nb ON nb.j = lk.j LEFT JOIN ch ON ch.a = lk.a AND ch.j = lk.j)",
+  f"h1 AS (SELECT a, max(da) AS da, {_3('(sum(2*w*y#/sqrt(dj)) + max(o#)/sqrt(max(da)))/sqrt(max(da)) AS h#')} FROM hj GROUP BY a)"],
+  f"SELECT a AS row_id, {_3('round(max(h#),6) AS h1_f#')}, {_3('round((sum(2*w*g#/sqrt(dj)) + max(h#)/sqrt(max(h1.da)))/sqrt(max(h1.da)),6) AS h2_f#')} FROM hj JOIN h1 USING (a) GROUP BY a"))
+def propagate_heldout_gcn(spark, sf):
+    return _held_out(spark, sf, "gcn")
+
+
 def _hop(spark, sf, mode):
     n = nodes(spark, sf)
     g = G.build_weighted_graph(n, 15, max_km=200.0)
