@@ -9,8 +9,10 @@ one more copy, and documents are ranked by random odds over inclusion odds,
 lowest first: Pareto order sampling, whose samples of a fixed size have
 inclusion probabilities close to p. The size that is fixed here is the words
 the source still lacks: documents are taken in that order until the next one
-would pass it; the gap it leaves is filled by ``FILLS`` more runs over the
-documents that fit into it.
+would pass it. The gap that leaves is filled by ``FILLS`` more runs in the same
+order, each over documents of at most a quarter of the gap, so that every run
+closes three quarters of it where such documents are left; documents that have
+their extra copy come again after the others, up to the most copies allowed.
 
 No key is sorted whole: running sums are taken over bins of the rank, and only
 the bin in which a source's budget ends is sorted by rows.
@@ -31,7 +33,7 @@ from occgraph.session import clear_materialized, materialize
 
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
-FILLS = 3
+FILLS = 4
 ROWS_PER_BIN = 2048
 
 
@@ -65,18 +67,20 @@ def _source_key() -> Column:
     return F.xxhash64(F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("")))
 
 
-def _one_run(state: DataFrame) -> DataFrame:
-    """Take one more copy of the open rows that fit, in order of rank, until the next would pass the source's budget."""
+def _one_run(state: DataFrame, share: int, bins: int, max_copies: int) -> DataFrame:
+    """Take one more copy of rows in order of rank until the next would pass the source's budget; of rows with ``share`` times their size within it."""
     budgets = state.groupBy("source_key").agg((F.first("target") - F.sum((F.col("whole") + F.col("extra")) * F.col("size"))).alias("budget"))
-    fits = F.col("open") & (F.col("size") <= F.col("budget"))
-    binned = state.join(budgets, "source_key").withColumn("fits", fits).withColumn("counted", F.when(F.col("fits"), F.col("size")).otherwise(F.lit(0)))
+    fits = F.col("odds").isNotNull() & (F.col("whole") + F.col("extra") < max_copies) & (F.col("size") * share <= F.col("budget"))
+    order = F.least(F.floor(F.col("odds") / (1 + F.col("odds")) * bins), F.lit(bins - 1))
+    bin_ = (F.col("extra") * (bins + 1) + F.coalesce(order, F.lit(bins))).cast("long")  # rows taken before come after those that weren't
+    binned = state.join(budgets, "source_key").withColumn("bin", bin_).withColumn("fits", fits).withColumn("counted", F.when(F.col("fits"), F.col("size")).otherwise(F.lit(0)))
     sums = binned.groupBy("source_key", "bin").agg(F.sum("counted").alias("bin_size"))
     earlier = W.partitionBy("source_key").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
     below = sums.select("source_key", "bin", F.coalesce(F.sum("bin_size").over(earlier), F.lit(0)).alias("below"))
     upto = W.partitionBy("source_key", "bin").orderBy("odds", F.col("doc_id").isNull(), "doc_id", "size", "tie").rowsBetween(W.unboundedPreceding, 0)
     placed = binned.join(below, ["source_key", "bin"]).withColumn("upto", F.col("below") + F.sum("counted").over(upto))
     now = F.col("fits") & (F.col("upto") <= F.col("budget"))
-    return placed.withColumn("extra", F.col("extra") + now.cast("long")).withColumn("open", F.col("open") & ~now).select(*state.columns)
+    return placed.withColumn("extra", F.col("extra") + now.cast("long")).select(*state.columns)
 
 
 def mix_copies(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", weight: str | None = None, row_key: str | None = None,
@@ -102,10 +106,9 @@ def mix_copies(docs: DataFrame, doc_id: str = "doc_id", source: str = "source",
         "expected", F.least(F.lit(float(max_copies)), F.coalesce(rate, F.lit(0.0)))).withColumn("whole", F.floor("expected")).withColumn("u", u).withColumn(
         "odds", F.when(p > 0, (F.col("u") / (1 - F.col("u"))) / (p / (1 - p))))
     state = materialize(drawn.select(
-        "doc_id", "row_key", "source", "source_key", "size", "source_size", "target", "tie", "whole", "odds", F.lit(0).cast("long").alias("extra"),
-        F.col("odds").isNotNull().alias("open"), F.coalesce(F.floor(F.col("odds") / (1 + F.col("odds")) * bins), F.lit(bins)).cast("long").alias("bin")), owner)
-    for _ in range(1 + FILLS):
-        state = materialize(_one_run(state), owner)
+        "doc_id", "row_key", "source", "source_key", "size", "source_size", "target", "tie", "whole", "odds", F.lit(0).cast("long").alias("extra")), owner)
+    for share in [1] + [4] * FILLS:
+        state = materialize(_one_run(state, share, bins, max_copies), owner)
     return state.select("doc_id", "row_key", "source", "size", "source_size", "target", (F.col("whole") + F.col("extra")).alias("copies"))
 
 

@@ -69,10 +69,10 @@ def op1_prefix_targets(spark: SparkSession, sf: str) -> DataFrame:
 _U = uniform_sql("0", "doc_id")
 _RUN = """
 g{i} AS (SELECT source_key, max(target) - sum((whole + extra) * size) AS budget FROM s{i} GROUP BY source_key),
-f{i} AS (SELECT s.*, g.budget, open AND size <= g.budget AS fits FROM s{i} s JOIN g{i} g USING (source_key)),
-p{i} AS (SELECT *, fits AND sum(CASE WHEN fits THEN size ELSE 0 END) OVER (PARTITION BY source_key ORDER BY odds NULLS LAST, doc_id NULLS LAST, size
+f{i} AS (SELECT s.*, g.budget, odds IS NOT NULL AND whole + extra < 3 AND size * {share} <= g.budget AS fits FROM s{i} s JOIN g{i} g USING (source_key)),
+p{i} AS (SELECT *, fits AND sum(CASE WHEN fits THEN size ELSE 0 END) OVER (PARTITION BY source_key ORDER BY extra, odds NULLS LAST, doc_id NULLS LAST, size
   ROWS UNBOUNDED PRECEDING) <= budget AS now FROM f{i}),
-s{j} AS (SELECT * EXCLUDE (budget, fits, now) REPLACE (extra + now::INT AS extra, open AND NOT now AS open) FROM p{i}),"""
+s{j} AS (SELECT * EXCLUDE (budget, fits, now) REPLACE (extra + now::INT AS extra) FROM p{i}),"""
 
 
 @query(f"""
@@ -90,9 +90,8 @@ expected AS (
     least(3.0::DOUBLE, coalesce(t.target / nullif(t.source_size::DOUBLE, 0), 0)) AS e, {_U} AS u
   FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source),
 s0 AS (
-  SELECT *, CASE WHEN e > floor(e) THEN (u / (1 - u)) / ((e - floor(e)) / (1 - (e - floor(e)))) END AS odds, floor(e)::BIGINT AS whole, 0::BIGINT AS extra,
-    e > floor(e) AS open FROM expected),
-{"".join(_RUN.format(i=i, j=i + 1) for i in range(1 + mixing.FILLS))}
+  SELECT *, CASE WHEN e > floor(e) THEN (u / (1 - u)) / ((e - floor(e)) / (1 - (e - floor(e)))) END AS odds, floor(e)::BIGINT AS whole, 0::BIGINT AS extra FROM expected),
+{"".join(_RUN.format(i=i, j=i + 1, share=4 if i else 1) for i in range(1 + mixing.FILLS))}
 done AS (SELECT doc_id, size, source_size, target, (whole + extra) * size AS taken FROM s{1 + mixing.FILLS})
 SELECT doc_id, size, source_size, target, taken::BIGINT AS taken FROM done
 """)

@@ -110,7 +110,8 @@ def _classes(rows: DataFrame, rep: list[str], owner: str) -> tuple[DataFrame, Da
     any of them single?
     """
     shared = rows.groupBy("core").agg(F.sum("mult").alias("times")).filter("times > 1").select("core")
-    members = materialize(rows.join(shared, "core"), owner)
+    # written first: a join of two plain tables may split a core that a third of all rows have
+    members = materialize(rows.join(materialize(shared, owner), "core"), owner)
     kinds = members.groupBy("core", "content").agg(F.sum("mult").alias("mult"), F.min(F.struct(*rep)).alias("rep"))
     kinds = materialize(kinds, owner)
     groups = kinds.groupBy("core").agg((F.count("*") > 1).alias("many"), F.min("mult").alias("least"))
