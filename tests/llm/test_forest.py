@@ -21,9 +21,9 @@ def brute(rows, is_query, k=10):
     return out
 
 
-def found(df, condition=F.col("vec_id") % 10 == 0, k=10):
+def found(df, condition=None, k=10):
     got = {}
-    for r in forest.nearest_neighbours(df, condition, k).orderBy("query_id", "rank").collect():
+    for r in forest.nearest_neighbours(df, F.col("vec_id") % 10 == 0 if condition is None else condition, k).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append((r["score"], r["vec_id"]))
         assert r["rank"] == len(got[r["query_id"]])
     return got
