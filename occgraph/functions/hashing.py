@@ -3,6 +3,9 @@ cluster layout, after any task retry, and in any engine that has MD5."""
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import accumulate
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,15 +24,11 @@ def hash_order(*parts) -> Column:
     return F.md5(_text(parts))
 
 
-def poisson_weight(u: Column, limit: int = 12) -> Column:
-    """Poisson(1) draw by inversion of its distribution function.
+#: The distribution function of Poisson(1). The chance of a draw above 12 is
+#: below 1e-10, past the 32-bit resolution of the uniform it is made from.
+POISSON_STEPS = list(accumulate(accumulate(range(1, 12), lambda term, n: term / n, initial=0.36787944117144233)))
+
 
-    The chance of a draw above 12 is below 1e-10, past the 32-bit resolution
-    of the uniform it is made from.
-    """
-    term, cumulative, expr = 0.36787944117144233, 0.0, F.lit(0)
-    for n in range(limit):
-        cumulative += term
-        term /= n + 1
-        expr = expr + (u >= F.lit(cumulative)).cast("int")
-    return expr
+def poisson_weight(u: Column) -> Column:
+    """Poisson(1) draw by inversion of its distribution function."""
+    return reduce(lambda a, b: a + b, [(u >= F.lit(step)).cast("int") for step in POISSON_STEPS])

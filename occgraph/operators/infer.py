@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from occgraph.functions.hashing import hash_uniform, poisson_weight
+from occgraph.functions.hashing import POISSON_STEPS, hash_uniform, poisson_weight
 from occgraph.functions.stats import normal_tail, t_tail
 from occgraph.operators.metrics import brier, classification_metrics, rank_metrics_from_counts, score_counts
-from occgraph.operators.ranking import average_ranks
+from occgraph.operators.ranking import average_ranks, with_range
 from occgraph.session import materialize
 
 METRIC_NAMES = ("roc_auc", "pr_auc", "brier", "f1")
@@ -46,14 +50,88 @@ def point_metric(preds: DataFrame, keys: list[str], metric: str) -> DataFrame:
 
 
 def row_bootstrap(preds: DataFrame, keys: list[str], metric: str, replicates: int, id_cols: list[str], seed: int = 42) -> DataFrame:
-    """Interval from Poisson(1) row weights, one independent draw per replicate and row."""
+    """Interval from Poisson(1) row weights, one independent draw per replicate and row.
+
+    For ``roc_auc`` a row's draws are made where the row is, as one array, and
+    added up along the sorted scores: no row is written out per replicate.
+    """
     point = point_metric(preds, keys, metric).withColumnRenamed(metric, "point")
+    if metric == "roc_auc":
+        return point.join(_interval(_row_auc_replicates(preds, keys, replicates, id_cols, seed), keys, metric), keys, "left")
     u = hash_uniform(F.lit("boot"), F.lit(seed), F.col("rep"), *[F.col(c) for c in id_cols])
     drawn = preds.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("w", poisson_weight(u)).filter("w > 0")
     values = _weighted_metric(drawn, [*keys, "rep"], metric, preds)
     return point.join(_interval(values, keys, metric), keys, "left")
 
 
+def row_draws(ids: list[str], seed: int, replicates: int) -> np.ndarray:
+    """Poisson(1) weights, a row an id: four draws from each MD5 of ``boot|seed|block|id``, by inversion."""
+    blocks = -(-replicates // 4)
+    digests = b"".join([hashlib.md5(f"boot|{seed}|{k}|{i}".encode()).digest() for i in ids for k in range(blocks)])
+    u = np.frombuffer(digests, ">u4").reshape(len(ids), 4 * blocks)[:, :replicates] / 4294967296.0
+    return np.searchsorted(POISSON_STEPS, u, side="right")
+
+
+def _row_auc_replicates(preds: DataFrame, keys: list[str], replicates: int, id_cols: list[str], seed: int) -> DataFrame:
+    """``(*keys, rep, roc_auc)``. Score ranges are summed one by one, then put after one another: a few hundred arrays a key."""
+    by = keys or ["all_rows"]
+    rows = preds if keys else preds.withColumn("all_rows", F.lit(0))
+    named = rows.select(*by, F.col("y_prob").cast("double").alias("score"), F.col("y_true").cast("int").alias("truth"), F.concat_ws("|", *id_cols).alias("id"))
+    ranged = with_range(named, "score").repartition(*by, "value_range").sortWithinPartitions(*by, "value_range", "score")
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in ranged.select(*by).schema.fields]
+
+    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, last = None, None
+        zero = np.zeros(replicates)
+        tp, tn, wins, tied_p, tied_n = (zero.copy() for _ in range(5))
+
+        def settle() -> None:  # the scores up to here are all in
+            nonlocal tp, tn, wins, tied_p, tied_n
+            wins += tied_p * (tn + tied_n / 2)
+            tp, tn, tied_p, tied_n = tp + tied_p, tn + tied_n, zero.copy(), zero.copy()
+
+        def written() -> pd.DataFrame:
+            return pd.DataFrame([(*key, tp.tolist(), tn.tolist(), wins.tolist())], columns=[*by, "value_range", "tp", "tn", "wins"])
+
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                part = batch.iloc[at : at + 256]
+                weights = row_draws(part["id"].tolist(), seed, replicates)
+                for own, score, truth, w in zip(part[[*by, "value_range"]].itertuples(index=False, name=None), part["score"], part["truth"], weights, strict=True):
+                    if own != key or score != last:
+                        settle()
+                    if own != key:
+                        if key is not None:
+                            yield written()
+                        key = own
+                        tp, tn, wins = zero.copy(), zero.copy(), zero.copy()
+                    last = score
+                    if truth:
+                        tied_p += w
+                    else:
+                        tied_n += w
+        if key is not None:
+            settle()
+            yield written()
+
+    sums = ranged.mapInPandas(summed, ", ".join([*kinds, "value_range int", "tp array<double>", "tn array<double>", "wins array<double>"]))
+
+    def joined(ranges: pd.DataFrame) -> pd.DataFrame:
+        ranges = ranges.sort_values("value_range")
+        tp, tn, wins = (np.stack(ranges[c].to_list()) for c in ("tp", "tn", "wins"))
+        below = np.cumsum(tn, axis=0) - tn
+        pairs = tp.sum(axis=0) * tn.sum(axis=0)
+        auc = np.where(pairs > 0, (wins + tp * below).sum(axis=0) / np.where(pairs > 0, pairs, 1), np.nan)
+        out = pd.DataFrame({"rep": np.arange(replicates), "roc_auc": auc})
+        for c in by:
+            out[c] = ranges[c].iloc[0]
+        return out[[*by, "rep", "roc_auc"]]
+
+    found = sums.groupBy(*by).applyInPandas(joined, ", ".join([*kinds, "rep int", "roc_auc double"]))
+    found = found.withColumn("roc_auc", F.when(~F.isnan("roc_auc"), F.col("roc_auc")))
+    return found if keys else found.drop("all_rows")
+
+
 def cluster_draws(clusters: DataFrame, cluster: str, replicates: int, seed: int = 42) -> DataFrame:
     """``(rep, <cluster>, w)``: how often each cluster is drawn in a replicate.
 

@@ -181,7 +181,8 @@ _POIS = "+".join(f"(u >= {c!r}::DOUBLE)::INT" for c in __import__("itertools").a
     __import__("itertools").accumulate(range(1, 12), lambda t, n: t / n, initial=0.36787944117144233)))
 
 
-@query(with_sql([PREDS, f"""bw AS (SELECT * FROM (SELECT *, {_POIS} AS w FROM (SELECT *, {u_sql("'boot'", '42', 'rep', 'model', 'seed', 'row_id')} AS u FROM preds, range(60) r(rep))) WHERE w > 0)""",
+@query(with_sql([PREDS, f"""bw AS (SELECT * FROM (SELECT *, {_POIS} AS w FROM (SELECT * EXCLUDE (h, j, k), 4*k+j AS rep, ('0x'||substr(h,(1+8*j)::INT,8))::BIGINT/4294967296.0 AS u FROM
+     (SELECT *, md5('boot|42|'||k||'|'||model||'|'||seed||'|'||row_id) AS h FROM preds, range(250) b(k)), range(4) s(j))) WHERE w > 0)""",
    auc_sql("rep_auc", "model, rep", "bw", "w"), auc_sql("point", "model")],
   """SELECT model, round(point.roc_auc,6) AS point, round(quantile_cont(r.roc_auc, 0.025),6) AS ci_lower, round(quantile_cont(r.roc_auc, 0.975),6) AS ci_upper, count(r.roc_auc) AS n_valid
      FROM rep_auc r JOIN point USING (model) GROUP BY model, point.roc_auc"""))

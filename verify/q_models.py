@@ -380,13 +380,17 @@ def released_graph(spark, sf):
     return G.degree_by_region(g.nodes, g.edges)
 
 
-@query(with_sql([SITES, knn_sql("n", 3)], "SELECT src, dst FROM n UNION ALL SELECT dst, src FROM n"))
+@query(with_sql([SITES, knn_sql("n", 3)], """SELECT e.src, e.dst, round(e.dist_km,5) AS dist_km, round(e.weight,9) AS weight, s.region AS src_region, s.label AS src_label FROM (
+  SELECT src, dst, dist_km, 1.0::DOUBLE/rn AS weight FROM n UNION ALL SELECT dst, src, dist_km, 1.0::DOUBLE/rn FROM n) e JOIN sites s ON s.row_id = e.src"""))
 def graph_sink_round_trip(spark, sf):
+    """Edges with their weights, and the nodes and targets they belong to, as written and read back."""
     s = sites(spark, sf)
-    edges = G.both_directions(knn_graph_pairs(s, 3).withColumn("weight", F.lit(1.0)))
+    edges = G.both_directions(knn_graph_pairs(s, 3).withColumn("weight", 1.0 / F.col("rn")))
     path = f"{shared_dir(spark)}/sink/{uuid.uuid4().hex}"
     io.write_graph(s, edges, path)
-    return io.scan(spark, f"{path}/edges", columns=["src", "dst"])
+    read = io.scan(spark, f"{path}/nodes", columns=["row_id", "region", "label"]).toDF("src", "src_region", "src_label")
+    return io.scan(spark, f"{path}/edges", columns=["src", "dst", "dist_km", "weight"]).join(read, "src").select(
+        "src", "dst", F.round("dist_km", 5).alias("dist_km"), F.round("weight", 9).alias("weight"), "src_region", "src_label")
 
 
 def _round_trip(spark, sf, fmt):

@@ -9,7 +9,7 @@ from occgraph.operators import graph as G
 from occgraph.operators import knn as K
 from verify.registry import query
 from verify.views import (
-    FEATS, FEATS_COLS, ROLES, SITES, feats, hav_sql, knn_sql, roles, sites, with_sql,
+    FEATS, FEATS_COLS, ROLES, SITES, feats, hav_sql, knn_sql, roles, sites, table, with_sql,
 )
 
 
@@ -52,6 +52,24 @@ def knn_block_join_two_sets(spark, sf):
     return pairs.select("src", "dst", F.round("dist_km", 5).alias("dist_km"), "rn")
 
 
+def _order_places(spark, sf):
+    """Every order as a record with a place of its own: ten times the sites."""
+    key = F.col("o_orderkey")
+    return table(spark, sf, "orders").select(
+        key.alias("row_id"), (F.lit(-60.0) + (key * 7919 % 12000) / 100.0).alias("lat"), (F.lit(-180.0) + (key * 104729 % 36000) / 100.0).alias("lon"))
+
+
+@query()
+def knn_orders_k15(spark, sf):
+    """All pairs in SQL would take hours here; the join is tested against brute force on awkward points."""
+    return K.knn_graph_pairs(_order_places(spark, sf), 15)
+
+
+@query()
+def knn_sites_to_orders(spark, sf):
+    return K.knn_join(sites(spark, sf), _order_places(spark, sf), 10, within_km=500.0)
+
+
 @query(with_sql([SITES, knn_sql("n", 15)], "SELECT src, dst, round(dist_km,5) AS dist_km, rn FROM n WHERE dist_km <= 200 OR rn = 1"))
 def knn_max_distance_fallback(spark, sf):
     pairs = K.neighbours_with_fallback(K.knn_graph_pairs(sites(spark, sf), 15), 200.0)

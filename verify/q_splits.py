@@ -160,7 +160,7 @@ def test_class_counts(spark, sf):
 @query()
 def spatial_blocks_kmeans(spark, sf):
     s = sites(spark, sf)
-    blocks = S.spatial_blocks(s, S.default_block_count(0.15), 42, starts=2)
+    blocks = S.spatial_blocks(s, S.default_block_count(0.15), 42)
     return blocks.groupBy("block").agg(F.count("*").alias("n"))
 
 
@@ -168,7 +168,7 @@ def spatial_blocks_kmeans(spark, sf):
 def regional_block_split(spark, sf):
     """K-means blocks cut per region, whole blocks held out, buffer applied."""
     s = materialize(sites(spark, sf))
-    blocks = S.regional_blocks(s, S.default_block_count(0.15), 42, starts=1)
+    blocks = S.regional_blocks(s, S.default_block_count(0.15), 42)
     return S.buffered_splits(s, S.hold_out_blocks(materialize(blocks)))[1]
 
 
