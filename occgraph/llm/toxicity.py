@@ -7,15 +7,15 @@ serves all grades, with a threshold between each grade and the next:
 
 The result is the expected grade and the grades' probabilities.
 
-Features are words and the beginnings of words, chosen by their document counts
-over all labelled texts. Labels say
-toxic or not; a toxic text is severe if it has at least as many words that mark
-toxic texts as the median toxic text of the sample. The regression
-is fitted to at most ``SAMPLE`` labelled texts, those with the least hash.
+Everything is fitted to at most ``SAMPLE`` labelled texts, those with the least
+hash of their ids. Features are words and the beginnings of words, chosen by
+their document counts in these texts. Labels say toxic or not; a toxic text is
+severe if it has at least as many words that mark toxic texts as the median
+toxic text of the sample.
 
 Defined cases: null and empty texts have no features and get the grade that
 the thresholds alone give; a null label takes no part in fitting; of several
-labels for an id the highest counts; without labelled toxic texts everything
+labels for an id the highest counts, of several texts the least; without labelled toxic texts everything
 has grade 0. Repeated rows get equal scores.
 """
 
@@ -139,8 +139,13 @@ def fit_thresholds(rows: list[tuple[list[int], list[float]]], grades: np.ndarray
 
 def fit_severity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", owner: str = "toxicity") -> Severity:
     """The model of the labelled texts of ``docs``."""
-    known = labels.filter(F.col(toxic).isNotNull()).groupBy(F.col(doc_id).alias("label_id")).agg((F.max(toxic) > 0).cast("int").alias("is_toxic"))
-    labelled = materialize(docs.select(F.col(doc_id).alias("label_id"), F.col(text).alias("text")).join(known, "label_id").select("label_id", "text", "is_toxic"), owner)
+    known = labels.filter(F.col(toxic).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("label_id")).agg((F.max(toxic) > 0).cast("int").alias("is_toxic"))
+    known = known.withColumn("h", F.xxhash64("label_id"))
+    share = min(1.0, 1.5 * SAMPLE / max(1, known.count()))  # those that can't be among the least stay where they are
+    least = known.filter(F.col("h") <= min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))).orderBy("h", "label_id").limit(SAMPLE)
+    picked = F.broadcast(materialize(least, owner))  # at most SAMPLE rows
+    labelled = materialize(docs.select(F.col(doc_id).alias("label_id"), F.col(text).alias("text")).join(picked, "label_id").groupBy(
+        "label_id", "is_toxic").agg(F.min("text").alias("text")), owner)
     n = {r[0]: r[1] for r in labelled.groupBy("is_toxic").count().collect()}
     clean, bad = n.get(0, 0), n.get(1, 0)
     if not bad or not clean:
@@ -166,7 +171,7 @@ def fit_severity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(ids, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64())), pa.array(hits, pa.int32())],
                                              ["is_toxic", "ids", "strengths", "hits"])
 
-    sample = labelled.withColumn("h", F.xxhash64("label_id", "text")).orderBy("h").limit(SAMPLE).select("text", "is_toxic").mapInArrow(
+    sample = labelled.select("text", "is_toxic").mapInArrow(
         featured, "is_toxic int, ids array<int>, strengths array<double>, hits int").collect()
     toxic_hits = [r["hits"] for r in sample if r["is_toxic"]]
     severe = max(1.0, float(np.median(toxic_hits))) if toxic_hits else 1.0
