@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: A word: no ASCII white space. ``bytes.split()`` cuts at the same characters.
@@ -24,6 +25,18 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
+def with_row_key(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``df`` and two columns that hash all others: rows with the same key are the same row, repeated."""
+    names = [free_name(df, "row_key_1"), free_name(df, "row_key_2")]
+    return df.withColumns({names[0]: F.xxhash64(*df.columns), names[1]: F.xxhash64(F.lit(1), *df.columns)}), names
+
+
+def one_of_each(df: DataFrame, key: list[str], where: Column) -> DataFrame:
+    """``df`` with one row of each key where the condition holds, and all other rows."""
+    place = free_name(df, "place_in_key")
+    return df.withColumn(place, F.row_number().over(W.partitionBy(*key).orderBy(*key))).filter((F.col(place) == 1) | ~where).drop(place)
+
+
 def texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null becomes empty."""
     return [b"" if t is None else t for t in column.cast(pa.binary()).to_pylist()]

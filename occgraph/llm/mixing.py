@@ -28,13 +28,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from occgraph.llm.common import WORD, free_name, uniform
+from occgraph.llm.common import WORD, free_name, one_of_each, uniform, with_row_key
 from occgraph.session import clear_materialized, materialize
 
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
 FILLS = 4
 ROWS_PER_BIN = 2048
+SALTS = 64
 
 
 def word_count(text: Column) -> Column:
@@ -67,13 +68,20 @@ def _source_key() -> Column:
     return F.xxhash64(F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("")))
 
 
+def _with_source(rows: DataFrame, by_source: DataFrame) -> DataFrame:
+    """Join one row a source to rows, of which a source may have a third: its row is laid out for ``SALTS`` parts of them."""
+    part = F.pmod(F.xxhash64("doc_id", "tie"), F.lit(SALTS)).cast("int")
+    laid_out = by_source.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("part", part).join(laid_out, ["source_key", "part"]).drop("part")
+
+
 def _one_run(state: DataFrame, share: int, bins: int, max_copies: int) -> DataFrame:
     """Take one more copy of rows in order of rank until the next would pass the source's budget; of rows with ``share`` times their size within it."""
     budgets = state.groupBy("source_key").agg((F.first("target") - F.sum((F.col("whole") + F.col("extra")) * F.col("size"))).alias("budget"))
     fits = F.col("odds").isNotNull() & (F.col("whole") + F.col("extra") < max_copies) & (F.col("size") * share <= F.col("budget"))
     order = F.least(F.floor(F.col("odds") / (1 + F.col("odds")) * bins), F.lit(bins - 1))
     bin_ = (F.col("extra") * (bins + 1) + F.coalesce(order, F.lit(bins))).cast("long")  # rows taken before come after those that weren't
-    binned = state.join(budgets, "source_key").withColumn("bin", bin_).withColumn("fits", fits).withColumn("counted", F.when(F.col("fits"), F.col("size")).otherwise(F.lit(0)))
+    binned = _with_source(state, budgets).withColumn("bin", bin_).withColumn("fits", fits).withColumn("counted", F.when(F.col("fits"), F.col("size")).otherwise(F.lit(0)))
     sums = binned.groupBy("source_key", "bin").agg(F.sum("counted").alias("bin_size"))
     earlier = W.partitionBy("source_key").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
     below = sums.select("source_key", "bin", F.coalesce(F.sum("bin_size").over(earlier), F.lit(0)).alias("below"))
@@ -83,16 +91,16 @@ def _one_run(state: DataFrame, share: int, bins: int, max_copies: int) -> DataFr
     return placed.withColumn("extra", F.col("extra") + now.cast("long")).select(*state.columns)
 
 
-def mix_copies(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", weight: str | None = None, row_key: str | None = None,
+def mix_copies(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", weight: str | None = None, row_key: list[str] | None = None,
                weights: tuple[int, ...] = WEIGHTS, max_copies: int = MAX_COPIES, seed: int = 0, owner: str = "mixing") -> DataFrame:
     """``doc_id``, ``row_key``, ``source``, ``size``, ``source_size``, ``target``, ``copies`` for every row of ``docs``.
 
     ``weight`` names a column of rates, not negative: documents of a source
     are expected to be taken in proportion to it (null: 1); without it all at
-    the same rate. ``row_key`` names a column that is handed on.
+    the same rate. ``row_key`` names two columns that are handed on as a struct.
     """
     rows = materialize(docs.select(
-        F.col(doc_id).alias("doc_id"), (F.col(row_key) if row_key else F.lit(0)).cast("long").alias("row_key"), F.col(source).cast("string").alias("source"),
+        F.col(doc_id).alias("doc_id"), F.struct(*[(F.col(row_key[i]) if row_key else F.lit(0).cast("long")).alias(f"k{i + 1}") for i in range(2)]).alias("row_key"), F.col(source).cast("string").alias("source"),
         word_count(F.col(text)).alias("size"), (F.coalesce(F.col(weight).cast("double"), F.lit(1.0)) if weight else F.lit(1.0)).alias("rate"),
         F.xxhash64(text).alias("tie")), owner)
     sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("rate")).alias("rated"), F.count("*").alias("n"))
@@ -102,7 +110,7 @@ def mix_copies(docs: DataFrame, doc_id: str = "doc_id", source: str = "source",
     bins = max(1, (targets.agg(F.sum("n")).first()[0] or 0) // ROWS_PER_BIN)
     rate = F.try_divide(F.col("target"), F.col("rated")) * F.col("rate")
     u, p = uniform(F.lit(seed), F.col("doc_id")), F.col("expected") - F.floor("expected")
-    drawn = rows.withColumn("source_key", _source_key()).join(targets.select("source_key", "source_size", "target", "rated"), "source_key").withColumn(
+    drawn = _with_source(rows.withColumn("source_key", _source_key()), targets.select("source_key", "source_size", "target", "rated")).withColumn(
         "expected", F.least(F.lit(float(max_copies)), F.coalesce(rate, F.lit(0.0)))).withColumn("whole", F.floor("expected")).withColumn("u", u).withColumn(
         "odds", F.when(p > 0, (F.col("u") / (1 - F.col("u"))) / (p / (1 - p))))
     state = materialize(drawn.select(
@@ -113,10 +121,17 @@ def mix_copies(docs: DataFrame, doc_id: str = "doc_id", source: str = "source",
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", owner: str = "mixing", **options) -> DataFrame:
-    """The mix itself: rows of ``docs`` as often as they are taken, every column as it was."""
+    """The mix itself: rows of ``docs`` as often as they are taken, every column as it was.
+
+    Rows that are the same in all columns are one row with the sum of their copies.
+    """
     clear_materialized(docs.sparkSession, owner)
-    row, times = free_name(docs, "row_of_copy"), free_name(docs, "copies")
-    marked = materialize(docs.withColumn(row, F.monotonically_increasing_id()), owner)
-    copies = mix_copies(marked, doc_id, source, text, row_key=row, owner=owner, **options).filter("copies > 0").select(
-        F.col("row_key").alias(row), F.col("copies").alias(times))
-    return marked.join(copies, row).withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))).select(*docs.columns)
+    keyed, key = with_row_key(docs)
+    times = free_name(docs, "copies")
+    copies = mix_copies(keyed, doc_id, source, text, row_key=key, owner=owner, **options)
+    sums = materialize(copies.groupBy(F.col("row_key.k1").alias(key[0]), F.col("row_key.k2").alias(key[1])).agg(
+        F.sum("copies").cast("int").alias(times), F.count("*").alias("n")), owner)
+    if not sums.filter("n > 1").isEmpty():
+        keyed = one_of_each(keyed, key, F.lit(True))
+    taken = sums.filter(F.col(times) > 0).select(*key, times)
+    return keyed.join(taken, key).withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from occgraph.llm.common import free_name, pieces
+from occgraph.llm.common import free_name, one_of_each, pieces, with_row_key
 from occgraph.session import clear_materialized, materialize
 
 SHINGLE = 3
@@ -259,12 +259,19 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bi
     the rows with that id). Every column is kept as it was.
     """
     clear_materialized(docs.sparkSession, owner)
-    mark, row = free_name(docs, "simhash_of_row"), free_name(docs, "row_of_copy")
-    marked = materialize(with_fingerprint(docs, text, mark).withColumn(row, F.monotonically_increasing_id()), owner)
-    prints = marked.select(F.col(doc_id).alias("doc_id"), F.col(mark).alias("fingerprint"), F.col(row).alias("row_of_copy"))
+    keyed, key = with_row_key(docs)
+    named = keyed.select(F.col(doc_id).alias("doc_id"), *[F.col(k).alias(n) for k, n in zip(key, ("k1", "k2"), strict=True)], F.col(text).alias("text"))
+    prints = materialize(with_fingerprint(named, "text").drop("text"), owner)  # without the texts
     groups = near_groups(prints, max_bits, owner)
     rooted = prints.join(groups, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
-    first = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_of_copy")).alias("first"), F.count("*").alias("n"))
-    losers = rooted.join(first.filter("n > 1"), "root").filter(F.col("row_of_copy") != F.col("first.row_of_copy")).select(
-        F.col("row_of_copy").alias(row))
-    return marked.join(losers, row, "left_anti").select(*docs.columns)
+    first = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    wins = (F.col("k1") == F.col("first.k1")) & (F.col("k2") == F.col("first.k2"))
+    grouped = materialize(rooted.join(first, "root").groupBy("k1", "k2").agg(F.max(wins).alias("wins"), F.count("*").alias("times")), owner)
+    own = lambda d: d.select(F.col("k1").alias(key[0]), F.col("k2").alias(key[1]))
+    kept = keyed.join(own(grouped.filter("NOT wins")), key, "left_anti")
+    again = materialize(own(grouped.filter("wins AND times > 1")), owner)
+    if not again.isEmpty():  # a kept row that is repeated stays once
+        mark = free_name(kept, "is_repeated")
+        marked = kept.join(again.withColumn(mark, F.lit(True)), key, "left").withColumn(mark, F.coalesce(mark, F.lit(False)))
+        kept = one_of_each(marked, key, F.col(mark))
+    return kept.select(*docs.columns)
