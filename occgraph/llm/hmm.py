@@ -23,6 +23,7 @@ count and each get a score; without training texts every word is unknown.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -110,7 +111,15 @@ def vocabulary(docs: DataFrame, owner: str) -> tuple[DataFrame, Words]:
     training = docs.filter("NOT held_out")
     vocab = materialize(training.select("text").mapInArrow(_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), owner)
     texts = training.count()
-    top = vocab.orderBy(F.desc("n"), "word").limit(HEAD).collect()
+    # words by their counts: at most HEAD counts, and then the words above the last count that all fit in
+    by_count = vocab.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).limit(HEAD).collect()
+    least, room = None, HEAD
+    for r in by_count:
+        room -= r["words"]
+        if room < 0:
+            break
+        least = r["n"]
+    top = [] if least is None else sorted(vocab.filter(F.col("n") >= least).collect(), key=lambda r: (-r["n"], r["word"]))
     sums = vocab.agg(F.sum("n"), F.count("*")).first()
     own = [r["word"] for r in top[:OWN]]
     head = {r["word"].encode(): (i if i < OWN else spelling(r["word"].encode()), r["n"]) for i, r in enumerate(top)}
@@ -128,12 +137,14 @@ def vocabulary(docs: DataFrame, owner: str) -> tuple[DataFrame, Words]:
 # --- coding ------------------------------------------------------------------------
 
 def _coded(words: Words):
-    total = np.log10(np.maximum(words.class_total, 1))
-    own_ends = np.log10(words.texts + 1)
+    total = np.log10(np.maximum(words.class_total, 1)).tolist()
+    own_ends = float(np.log10(words.texts + 1))
+    # by word: its class, log10 of its count and one, log10 of its share in its class
+    scores = {w: (code, math.log10(n + 1), 0.0 if code < OWN else math.log10(n) - total[code - OWN]) for w, (code, n) in words.head.items()}
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = words.head
         known_class: dict[bytes, int] = {}
+        get = scores.get
         for batch in batches:
             for start, run in pieces(batch.column(1)):
                 rows = []
@@ -145,13 +156,12 @@ def _coded(words: Words):
                     known = 0
                     tail: list[tuple[bytes, int, int]] = []
                     for word, times in counts.items():
-                        found = head.get(word)
+                        found = get(word)
                         if found is not None:
-                            code, n = found
+                            code, log_count, log_share = found
                             known += times
-                            base += times * float(np.log10(n + 1)) if n > 4095 else times * LOGS[n + 1]
-                            if code >= OWN:
-                                share += times * ((LOGS[n] if n < 4096 else float(np.log10(n))) - total[code - OWN])
+                            base += times * log_count
+                            share += times * log_share
                         else:
                             code = known_class.get(word)
                             if code is None:
@@ -173,9 +183,6 @@ def _coded(words: Words):
     return mapped
 
 
-LOGS = [float("-inf"), *[float(np.log10(i)) for i in range(1, 4098)]]
-
-
 def coded(docs: DataFrame, words: Words, owner: str) -> DataFrame:
     """Rows with their class codes, what the head's words add to the scores, and the other words to look up."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -284,7 +291,10 @@ GROUPS = 32
 def train(rows: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> Model:
     """Baum-Welch over all rows with ``codes`` that aren't held out."""
     training = rows.filter("NOT held_out")
-    sample = training.select("codes", F.xxhash64("row_of_copy").alias("h")).orderBy("h", "codes").limit(SEED_TEXTS).select(F.substring("codes", 1, 2 * SEED_TOKENS)).collect()
+    # the least hashes; those that can't be among them stay where they are
+    some = min(1.0, 2 * SEED_TEXTS / max(1, training.count()))
+    hashed = training.select("codes", F.xxhash64("row_of_copy").alias("h")).filter(F.col("h") <= min((1 << 63) - 1, int(some * (1 << 64)) - (1 << 63)))
+    sample = hashed.orderBy("h").limit(SEED_TEXTS).select(F.substring("codes", 1, 2 * SEED_TOKENS)).collect()
     model = first_model([np.frombuffer(bytes(r[0]), np.uint16) for r in sample], states)
     width = states + states * states + CLASSES * states
 
