@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from occgraph.llm.common import free_name, pieces
-from occgraph.session import materialize
+from occgraph.session import clear_materialized, materialize
 
 MIN_BYTES = 400
 WINDOW = 128
@@ -372,8 +372,9 @@ def repeated_spans(docs: DataFrame, size: int = MIN_BYTES, owner: str = "suffixe
     """
     texts = _rows_by_text(docs)
     all_units = materialize(texts.mapInArrow(_unit_rows(size), "t1 long, t2 long, core long, content long, lo int, n int, shift short").withColumn(
-        "mult", F.lit(1).cast("long")), owner)
+        "mult", F.lit(1).cast("long")), f"{owner}_units")
     members, classes = _classes(all_units, ["t1", "t2", "lo", "n", "shift"], owner)
+    clear_materialized(docs.sparkSession, f"{owner}_units")  # most of them are nowhere else; the others are in members
     found = _texts_of(texts, classes, size, owner)
     dense = found.filter("dense").select("entry", "n", "shift", "bytes", "mult")
     fine_rows = materialize(dense.mapInArrow(_fine_rows(size), "unit long, at int, n int, mult long, core long, content long"), owner)
