@@ -104,3 +104,72 @@ def test_one_of_each_group_stays(spark):
     assert simhash.near_duplicates(documents(spark, [])).count() == 0
     found = simhash.near_duplicates(docs).collect()
     assert len(found) == docs.count() and {r["component_id"] for r in found if r["doc_id"] in (0, 1, 2)} == {0}
+
+
+def shingles(text: str, n: int = 5) -> frozenset:
+    words = text.lower().split()
+    return frozenset(tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))) if words else frozenset()
+
+
+def similar_components(texts: dict) -> dict:
+    """id -> smallest id of its component, by the Jaccard similarity of all pairs."""
+    ids, sets = list(texts), {i: shingles(t) for i, t in texts.items()}
+    root = {i: i for i in ids}
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            both, all_ = len(sets[a] & sets[b]), len(sets[a] | sets[b])
+            if root[a] != root[b] and (not all_ or both >= 0.8 * all_):
+                low, high = sorted((root[a], root[b]))
+                root = {k: low if v == high else v for k, v in root.items()}
+    return root
+
+
+def test_kept_rows_follow_the_jaccard_similarity_of_five_words(spark):
+    """Copies with few and many edits, chains and look-alikes: almost all that similarity links is found, and nothing else."""
+    r = random.Random(7)
+    texts, at = {}, 0
+    for _ in range(60):
+        base = [f"w{r.randrange(5000)}" for _ in range(r.choice([12, 40, 120, 400]))]
+        for _ in range(5):
+            own = list(base)
+            for _ in range(r.choice([0, 1, len(base) // 100, len(base) // 40, len(base) // 10])):
+                own[r.randrange(len(own))] = f"x{r.randrange(10**6)}"
+            texts[at] = " ".join(own)
+            at += 1
+    want = similar_components(texts)
+    docs = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string")
+    kept = {x["doc_id"] for x in simhash.keep_one_similar(docs).collect()}
+    should = set(want.values())
+    assert should <= kept, "a text without a similar one went"
+    gone, wanted = len(texts) - len(kept), len(texts) - len(should)
+    assert wanted > 80 and gone >= 0.97 * wanted
+
+
+def test_awkward_rows_by_similarity(spark):
+    docs = documents(spark)
+    kept = simhash.keep_one_similar(docs)
+    assert kept.columns == docs.columns and own_columns_kept(kept)
+    want = similar_components({i: x["text"] or "" for i, x in enumerate(docs.collect())})
+    assert kept.count() == len(set(want.values()))
+    assert simhash.keep_one_similar(documents(spark, [])).count() == 0
+
+
+def test_the_pipeline_keeps_one_of_edited_copies(spark):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(200)]
+    docs = spark.createDataFrame([(0, " ".join(words)), (1, " ".join([*words[:50], "x", *words[51:150], "y", *words[151:]])), (2, " ".join(words[::-1]))], "doc_id long, text string")
+    assert {x["doc_id"] for x in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == {0, 2}
+
+
+def test_thinned_candidates_keep_a_minimum_forest():
+    r = np.random.default_rng(1)
+    a, b, bits = r.integers(0, 600, 9000), r.integers(600, 900, 9000), r.integers(0, 33, 9000)
+    p, q, d = simhash._thin(a, b, bits)
+    for most in range(33):  # the same components at every number of bits
+        parts = []
+        for x, y, z in ((a, b, bits), (p, q, d)):
+            child, root = simhash._forest(x[z <= most], y[z <= most])
+            parts.append(dict(zip(child.tolist(), root.tolist())))
+        assert parts[0] == parts[1]
+    assert len(p) <= 900 + 900 * simhash.NEAREST
