@@ -53,7 +53,8 @@ class Tokens:
 
     The vocabulary file's merges are in the order of its ids, so a faster
     encoder with the same ranks gives the same ids. Texts with characters
-    whose class may differ between engines go through the file's own tokenizer.
+    whose class may differ between engines, or that hold one of the file's added
+    tokens, go through the file's own tokenizer.
     """
 
     def __init__(self, vocabulary: str):
@@ -61,15 +62,15 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True
         special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        self.special = tuple(special)
         names = {n: i for n, i in self.tokenizer.get_vocab().items() if n not in special}
         if max(names.values()) >= 1 << 16:
             raise ValueError("ids must fit into 16 bits")
         self.fast = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=merge_ranks(names), special_tokens={})
 
     def ids(self, text: str) -> bytes:
-        if not text.isascii() and _UNUSUAL.search(text) or any(c in text for c in _CONTROL):
+        if not text.isascii() and _UNUSUAL.search(text) or any(c in text for c in _CONTROL) or any(t in text for t in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
         return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u2").tobytes()
 

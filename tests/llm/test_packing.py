@@ -84,3 +84,13 @@ def test_like_documents_are_near_on_the_curve(tokens):
     keys = packing.curve_keys([np.frombuffer(tokens.ids(t), "<u2") for t in texts], packing.projection(packing.DIMENSIONS))
     order = np.argsort(keys) % 4
     assert (order[1:] == order[:-1]).mean() > 0.7  # 0.25 by chance
+
+
+@pytest.mark.parametrize("text", ["a <|endoftext|> b", "<|endoftext|>", "é<|endoftext|><|endoftext|>\x1c", "<|endoftext", "plain"])
+def test_added_tokens_have_the_files_ids(spark, tokens, text):
+    from tokenizers import Tokenizer
+
+    want = Tokenizer.from_file(vocabulary_path()).encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(tokens.ids(text), "<u2").tolist() == want
+    rows = packing.pack(spark.createDataFrame([(0, text)], "doc_id long, text string"), vocabulary_path(), with_ids=True).collect()
+    assert {r["doc_tokens"] for r in rows} == {len(want) + 1}
