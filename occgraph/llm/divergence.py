@@ -70,8 +70,12 @@ class Rules:
     max_repeat_percent: int = 20
     chars_from: int = 50  # judge the character classes of texts with at least so many words
     max_chars_distance: float = 0.30
-    words_from: int = 200  # judge the common words of texts with at least so many words
-    max_words_distance: float = 0.45
+    words_from: int = 50  # judge the common words of texts with at least so many words
+    words_floor: float = 0.12  # what a text of any length may be away from its language
+    words_noise: float = 12.2  # a sample of n words is away from what it is drawn from by a squared distance that falls with 1 / n
+
+    def max_words_distance(self, n_words: int) -> float:
+        return (self.words_floor**2 + self.words_noise / n_words) ** 0.5
 
 
 def histograms(text: bytes, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -180,7 +184,7 @@ def judge(text: bytes, lang: str | None, references: dict[str | None, np.ndarray
     chars_distance = js_distance(classes[1:], reference[1:N_CLASS])
     words_distance = js_distance(common, reference[N_CLASS:])
     failed = (n_words >= rules.chars_from and chars_distance > rules.max_chars_distance) or (
-        n_words >= rules.words_from and words_distance > rules.max_words_distance)
+        n_words >= rules.words_from and words_distance > rules.max_words_distance(n_words))
     return (n_words, word_chars, int(by_byte[_SYMBOL_BYTES].sum()), len(lines) - len(set(lines)), repeats, base_failed,
             chars_distance, words_distance, not (base_failed or failed))
 

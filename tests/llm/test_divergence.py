@@ -80,3 +80,22 @@ def test_awkward_rows(spark):
     assert rows.count() == docs.count() and own_columns_kept(rows.withColumn("verdict", F.lit("own verdict")))
     assert {r["kept"] for r in rows.filter("doc_id IN (0, 1, 2)").select("verdict.kept").collect()} == {False}
     assert divergence.quality_verdicts(documents(spark, [])).count() == 0
+
+
+def test_gibberish_of_usual_letters_goes(spark):
+    """Long texts without common words, which differ from clean ones in nothing else; clean texts of all lengths stay."""
+    r = random.Random(3)
+    usual = divergence.COMMON_WORDS[:36]
+    odd = lambda: "".join(r.choice("aeionrstl") for _ in range(r.randint(2, 7)))
+    prose = lambda n, share: " ".join(r.choice(usual) if r.random() < share else odd() for _ in range(n))
+    rows = [(i, prose(r.choice([60, 100, 200, 400, 2000]), 0.25), "en", "s", 0) for i in range(200)]
+    rows += [(1000 + i, prose(r.choice([300, 1000]), 0), "en", "s", 0) for i in range(10)]
+    got = divergence.quality_verdicts(documents(spark, rows, clashes=False)).select("doc_id", "verdict.*").collect()
+    assert {x["doc_id"] for x in got if x["kept"]} == set(range(200))
+    assert max(x["words_distance"] for x in got if x["doc_id"] >= 1000) < 0.45
+
+
+def test_junk_of_many_words_goes(spark, sf):
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    rows = divergence.quality_verdicts(docs).join(labels, "doc_id").select("quality", "verdict.*").filter("n_words >= 200 AND NOT base_failed").collect()
+    assert all(r["kept"] == (r["quality"] == 1) for r in rows) and {r["quality"] for r in rows} == {0, 1}
