@@ -6,9 +6,11 @@ The references are sums over all documents of a language, so they follow the
 corpus; a reference is a few dozen numbers, whatever the corpus's size.
 
 Defined cases: a null text counts as empty; an empty text has no words and
-fails the base rules; a null language, or one beyond the ``MAX_LANGS`` most
-frequent, is compared with the reference of all documents. Texts under a
-minimum length are not judged by a histogram they are too short for.
+fails the base rules; a null language is compared with the reference of all
+documents. Texts under a minimum length are not judged by a histogram they are
+too short for. The references of the ``MAX_LANGS`` largest languages go to every
+task; documents of any other one meet theirs in a join, in which no key is hot:
+each holds a smaller part of the corpus than any of those.
 """
 
 from __future__ import annotations
@@ -23,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from occgraph.llm.common import texts
+from occgraph.llm.common import free_name, texts
+from occgraph.session import materialize
 
 #: Frequent function words of four languages.
 COMMON_WORDS = """
@@ -135,25 +138,30 @@ def _counts_batch(sums: dict[str | None, np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.float64()), strict=True)], ["lang", "bin", "n"])
 
 
-def language_references(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str | None, np.ndarray]:
+def language_references(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[dict[str | None, np.ndarray], DataFrame | None]:
     """Histograms by language over all documents; under None those of all documents.
 
-    At most ``MAX_LANGS`` languages of ``N_CLASS + N_WORD`` numbers each come to
-    the driver: those with the most words, ties by name.
+    The ``MAX_LANGS`` languages with the most words, ties by name, come to the driver
+    as ``N_CLASS + N_WORD`` numbers each. All others are a table of ``lang`` and
+    ``reference``; None if there are no others.
     """
     counts = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).mapInArrow(_reference_counts, "lang string, bin int, n double")
-    counts = counts.groupBy("lang", "bin").agg(F.sum("n").alias("n"))
-    rows = counts.groupBy("lang").agg(F.sum("n").alias("size"), F.collect_list(F.struct("bin", "n")).alias("bins"))
-    known = rows.filter("lang IS NOT NULL").orderBy(F.desc("size"), "lang").limit(MAX_LANGS).collect()
+    counts = materialize(counts.groupBy("lang", "bin").agg(F.sum("n").alias("n")))
+    rows = counts.groupBy("lang").agg(F.sum("n").alias("size"), F.collect_list(F.struct("bin", "n")).alias("bins")).filter("lang IS NOT NULL")
+    known = rows.orderBy(F.desc("size"), "lang").limit(MAX_LANGS + 1).collect()
     whole = counts.groupBy("bin").agg(F.sum("n").alias("n")).collect()
     found = {None: np.zeros(N_CLASS + N_WORD)}
     for r in whole:
         found[None][r["bin"]] = r["n"]
-    for r in known:
+    for r in known[:MAX_LANGS]:
         found[r["lang"]] = np.zeros(N_CLASS + N_WORD)
         for b in r["bins"]:
             found[r["lang"]][b["bin"]] = b["n"]
-    return found
+    if len(known) <= MAX_LANGS:
+        return found, None
+    by_bin = F.map_from_entries("bins")
+    dense = F.transform(F.sequence(F.lit(0), F.lit(N_CLASS + N_WORD - 1)), lambda i: F.coalesce(F.try_element_at(by_bin, i), F.lit(0.0)))
+    return found, rows.filter(~F.col("lang").isin([x for x in found if x is not None])).select("lang", dense.alias("reference"))
 
 
 def _shares(counts: np.ndarray) -> np.ndarray:
@@ -200,19 +208,38 @@ SQL_TYPES = {pa.int64(): "long", pa.bool_(): "boolean", pa.float64(): "double"}
 def quality_verdicts(docs: DataFrame, rules: Rules = Rules(), text: str = "text", lang: str = "lang", into: str = "verdict") -> DataFrame:
     """All columns of ``docs`` and a struct ``into``: the measures, both distances and ``kept``.
 
-    One pass sums the references, a second judges each row by itself, so no
-    row is moved and repeated rows get equal verdicts. A column of ``docs``
+    One pass sums the references, a second judges each row by itself, so repeated
+    rows get equal verdicts; only rows of a language beyond the largest are moved. A column of ``docs``
     that is called ``into`` is replaced.
     """
-    references = language_references(docs, text, lang)
+    references, others = language_references(docs, text, lang)
     names, types = zip(*VERDICT, strict=True)
+    schema = ", ".join(f"{n} {SQL_TYPES[t]}" for n, t in VERDICT)
 
-    @F.pandas_udf(", ".join(f"{n} {SQL_TYPES[t]}" for n, t in VERDICT))
+    def verdicts(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame({n: pd.Series(v, dtype=d) for n, v, d in zip(
+            names, zip(*rows, strict=True) if rows else itertools.repeat([], len(names)),
+            [t.to_pandas_dtype() for t in types], strict=False)})
+
+    @F.pandas_udf(schema)
     def judged(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for column, langs in parts:
-            rows = [judge((t or "").encode("utf-8", "replace"), x, references, rules) for t, x in zip(column, langs, strict=True)]
-            yield pd.DataFrame({n: pd.Series(v, dtype=d) for n, v, d in zip(
-                names, zip(*rows, strict=True) if rows else itertools.repeat([], len(names)),
-                [t.to_pandas_dtype() for t in types], strict=False)})
+            yield verdicts([judge((t or "").encode("utf-8", "replace"), x, references, rules) for t, x in zip(column, langs, strict=True)])
+
+    known = docs.withColumn(into, judged(F.col(text), F.col(lang).cast("string")))
+    if others is None:
+        return known
+
+    whole = references[None]
+
+    @F.pandas_udf(schema)
+    def judged_by(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for column, own in parts:  # a language of empty texts only has no reference
+            yield verdicts([judge((t or "").encode("utf-8", "replace"), None, {None: whole if o is None else np.asarray(o)}, rules) for t, o in zip(column, own, strict=True)])
 
-    return docs.withColumn(into, judged(F.col(text), F.col(lang).cast("string")))
+    names_in = [x for x in references if x is not None]
+    at_hand = F.col(lang).isNull() | F.col(lang).cast("string").isin(names_in)
+    key, own = free_name(docs, "reference_lang"), free_name(docs, "reference")
+    joined = docs.filter(~at_hand).withColumn(key, F.col(lang).cast("string")).join(others.toDF(key, own), key, "left")
+    last = joined.withColumn(into, judged_by(F.col(text), F.col(own)))
+    return docs.filter(at_hand).withColumn(into, judged(F.col(text), F.col(lang).cast("string"))).select(*known.columns).union(last.select(*known.columns))

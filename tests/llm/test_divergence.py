@@ -99,3 +99,19 @@ def test_junk_of_many_words_goes(spark, sf):
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
     rows = divergence.quality_verdicts(docs).join(labels, "doc_id").select("quality", "verdict.*").filter("n_words >= 200 AND NOT base_failed").collect()
     assert all(r["kept"] == (r["quality"] == 1) for r in rows) and {r["quality"] for r in rows} == {0, 1}
+
+
+def test_every_language_has_its_own_reference(spark):
+    """Small languages of another script, beyond those that go to every task."""
+    latin = "the man of the sea and the hill is on the way to the old house "
+    other = "дом стоит на горе и море шумит внизу "
+    varied = lambda base, i: " ".join(f"{w}{'абвг'[(i + k) % 4] if base is other else 'abcd'[(i * k + k // 7) % 4] + 'xyz'[(k // 4 + i) % 3]}{k}" if k % 2 else w for k, w in enumerate((base * 8).split()))
+    n = divergence.MAX_LANGS
+    rows = [(i, varied(latin, i) + " " + varied(latin, i + 1), f"big{i}", "s", 0) for i in range(n)]
+    rows += [(n + i, varied(other, i), f"small{i}", "s", 0) for i in range(5)] + [(n + 5, "", "none", "s", 0), (n + 6, None, None, "s", 0)]
+    docs = documents(spark, rows, clashes=False)
+    got = {x["doc_id"]: x for x in divergence.quality_verdicts(docs).select("doc_id", "lang", "verdict.*").collect()}
+    assert len(got) == len(rows) and got[n]["lang"] == "small0"
+    for i in range(n + 5):  # each document is its language
+        assert got[i]["chars_distance"] == pytest.approx(0, abs=1e-6) and got[i]["words_distance"] == pytest.approx(0, abs=1e-6) and got[i]["kept"]
+    assert not got[n + 5]["kept"] and not got[n + 6]["kept"]
