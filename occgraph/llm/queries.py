@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from occgraph.llm import blocks, chat, divergence, forest, hmm, mixing, packing, simhash, suffixes, toxicity
+from occgraph.llm import blocks, chat, divergence, forest, hmm, mixing, packing, phrases, simhash, suffixes, toxicity, trie, urls
 from occgraph.llm.common import table, uniform_sql
-from occgraph.session import clear_materialized
+from occgraph.session import clear_materialized, materialize
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -176,3 +176,107 @@ def op9_ordinal_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 def op10_divergence_rules(spark: SparkSession, sf: str) -> DataFrame:
     judged = divergence.quality_verdicts(table(spark, sf, "documents"))
     return judged.select("doc_id", "verdict.*")
+
+
+# --- 11: prefix trie -------------------------------------------------------------
+
+#: crc32 by its bits: a byte is joined in, then eight shifts, each a -1 in the list.
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384::BIGINT) ELSE a // 2 END), 4294967295::BIGINT)"""
+
+
+@query(f"""
+WITH ids AS (
+  SELECT conv_id, turn, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS id, strlen(coalesce(text, ''))::BIGINT AS bytes
+  FROM conversations WHERE conv_id IS NOT NULL),
+numbered AS (SELECT conv_id, id, bytes, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, id) AS n FROM ids),
+convs AS (SELECT conv_id, count(*) AS own, conv_id - conv_id % {trie.FAMILY} AS donor, {_CRC} % {trie.SHARED} AS h FROM numbered GROUP BY conv_id),
+sized AS (SELECT c.*, least(c.h, coalesce(d.own, 0)) AS taken FROM convs c LEFT JOIN convs d ON d.conv_id = c.donor),
+rebuilt AS (
+  SELECT s.conv_id, n.n AS depth, id, bytes FROM sized s JOIN numbered n ON n.conv_id = s.donor AND n.n <= s.h
+  UNION ALL SELECT s.conv_id, s.taken + n.n - s.h, id, bytes FROM sized s JOIN numbered n ON n.conv_id = s.conv_id AND n.n > s.h
+  UNION ALL SELECT conv_id, 0, '', 0 FROM sized),
+paths AS (
+  SELECT conv_id, depth, bytes, string_agg(id, '/') OVER w AS path, max(depth) OVER (PARTITION BY conv_id) AS length FROM rebuilt
+  WINDOW w AS (PARTITION BY conv_id ORDER BY depth)),
+nodes AS (
+  SELECT path, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(bytes) AS saved, (max(length) = any_value(depth))::INT AS leaf,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (length = depth), '')) AS ends_sha256
+  FROM paths GROUP BY path),
+ups AS (SELECT *, CASE WHEN depth > 0 THEN left(path, length(path) - 65) END AS up FROM nodes),
+below AS (
+  SELECT p.path, sum(n.saved)::BIGINT AS saved_tokens, sum(n.leaf)::BIGINT AS n_leaves
+  FROM nodes n JOIN paths o ON o.conv_id = n.conv_id AND o.depth <= n.depth JOIN nodes p ON p.path = o.path GROUP BY p.path),
+children AS (SELECT up AS path, count(*) AS n_children FROM ups WHERE up IS NOT NULL GROUP BY up)
+SELECT u.conv_id, u.depth, p.conv_id AS parent_conv_id, u.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, u.ends_sha256
+FROM ups u JOIN below USING (path) LEFT JOIN children USING (path) LEFT JOIN nodes p ON p.path = u.up
+""")
+def op11_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    clear_materialized(spark, "op11")
+    numbered = materialize(trie.numbered_turns(table(spark, sf, "conversations")), "op11")
+    return trie.prefix_trie(*trie.shared_beginnings(numbered), owner="op11")
+
+
+# --- 12: url filter --------------------------------------------------------------
+
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def _listed(strict: bool) -> str:
+    terms = [(t, w) for t, w in urls.VOCABULARY.items() if (w >= urls.LIMIT) == strict]
+    return "[" + ", ".join(f"{{'term': '{t}', 'weight': {w}}}" for t, w in terms) + "]"
+
+
+@query(f"""
+WITH cut AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS after FROM pages),
+parts AS (SELECT page_id, translate(regexp_extract(after, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(after, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+rules AS (SELECT *, regexp_extract(rule, '^[^/]*') AS rule_host, regexp_extract(rule, '/.*$') AS rule_path
+  FROM (VALUES {", ".join(f"('{v}', '{r}')" for v, r in URL_RULES)}) AS t (ruling, rule)),
+fitting AS (
+  SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(ruling, length(rule)) AS ruling
+  FROM parts JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY page_id),
+hits AS (
+  SELECT *, translate(host || path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS whole,
+    list_filter({_listed(True)}, lambda t: regexp_matches(whole, '(^|[^a-z0-9])' || t.term || '($|[^a-z0-9])')) AS strict,
+    list_filter({_listed(False)}, lambda t: regexp_matches(whole, '(^|[^a-z0-9])' || t.term || '($|[^a-z0-9])')) AS soft
+  FROM parts),
+weighed AS (SELECT *, (coalesce(list_sum(list_transform(strict, lambda t: t.weight)), 0) + coalesce(list_sum(list_transform(soft, lambda t: t.weight)), 0))::BIGINT AS weight FROM hits)
+SELECT page_id, host, path, rule, coalesce(ruling, CASE WHEN weight >= {urls.LIMIT} THEN 'block' ELSE 'allow' END) AS verdict,
+  len(strict)::BIGINT AS n_strict, len(soft)::BIGINT AS n_soft, weight
+FROM weighed LEFT JOIN fitting USING (page_id)
+""")
+def op12_url_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
+    return urls.url_verdicts(table(spark, sf, "pages").select("page_id", "url"), URL_RULES).select("page_id", "verdict.*")
+
+
+# --- 13: phrases -------------------------------------------------------------------
+
+@query(f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+grams AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words), range(1, {phrases.LONGEST + 1}) AS t (k) WHERE i + k - 1 <= len(w)),
+counts AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= {phrases.LEAST}),
+candidates AS (SELECT lang, k AS words, phrase, f AS a, string_split(phrase, ' ') AS w FROM counts WHERE k >= 2),
+cuts AS (SELECT *, unnest(range(1, words)) AS cut FROM candidates),
+scored AS (
+  SELECT c.lang, c.words, c.phrase, c.a, c.cut, x.f AS l, y.f AS r, n, ((1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cuts c JOIN counts x ON x.lang = c.lang AND x.phrase = array_to_string(w[1:cut], ' ')
+  JOIN counts y ON y.lang = c.lang AND y.phrase = array_to_string(w[cut + 1:words], ' ') JOIN totals t ON t.lang = c.lang),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inside AS (
+  SELECT DISTINCT s.lang, s.phrase FROM lowest s JOIN candidates c ON c.lang = s.lang AND c.words > s.words AND 100 * c.a >= 100 * s.a
+    AND contains(' ' || c.phrase || ' ', ' ' || s.phrase || ' ')),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM lowest WHERE (lang, phrase) NOT IN (SELECT (lang, phrase) FROM inside))
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= {phrases.FIRST}
+""")
+def op13_phrase_graph(spark: SparkSession, sf: str) -> DataFrame:
+    clear_materialized(spark, "op13")
+    return phrases.collocations(table(spark, sf, "documents").select("lang", "text"), owner="op13")
