@@ -16,11 +16,12 @@ shorter phrases.
 
 Most long phrases of a corpus occur once. What is looked for occurs
 ``least`` times, and so does each pair of words in it. So pairs are counted
-first and the frequent ones set a bit, by their hash, in a map of ``BITS`` bits
+first, by their hashes, and the frequent ones set a bit in a map of ``BITS`` bits
 (2 MiB) that goes to every task. A pair without its bit ends a run of words as
-punctuation does. Equal hashes let some pairs pass; that costs work and changes
-no result. The map's size is fixed, so on a corpus with more frequent pairs
-than bits it saves less, and counts stay the same.
+punctuation does, and a run of one word is no phrase. Equal hashes let some
+pairs pass; that costs work and changes no result. The map's size is fixed, so on
+a corpus with more frequent pairs than bits it saves less, and counts stay the
+same. Single words are counted by themselves.
 
 Skew: counts are summed in each task and again before every shuffle, so a
 frequent word or pair is as many rows as there are tasks. Ranks are taken in
@@ -36,7 +37,6 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -55,75 +55,103 @@ BITS = 1 << 24
 SLICES = 64
 FLUSH = 500_000
 UNKNOWN = "und"
-#: A-Z to lower case, a piece's ends to line feeds, the tab to a space.
-_PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\x0d\x09", b"abcdefghijklmnopqrstuvwxyz\n\n\n\n\n\n\n\n\n ")
+#: A-Z to lower case, the tab to a space, what ends a piece to a byte that UTF-8 never has.
+_END = b"\xff"
+_PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + 10 * _END)
+_COUNTS = "lang string, gram string, f long"
 
 
-def pieces_of(text: bytes) -> Iterator[list[bytes]]:
-    """The words of each piece of a text."""
-    for piece in text.translate(_PLAIN).split(b"\n"):
-        if words := piece.split():
-            yield words
+def words_of(text: bytes) -> list[bytes]:
+    """The words of a text, with ``_END`` between pieces and after the last."""
+    return (text.translate(_PLAIN) + _END).replace(_END, b" \xff ").split()
 
 
-def _counted(grams_of: Callable[[], Callable[[str, bytes, Counter], None]]):
-    """A task that counts grams by language and passes its counts on whenever it holds ``FLUSH`` of them."""
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
+    for batch in batches:
+        langs = batch.column("lang").to_pylist()
+        for start, run in pieces(batch.column("text")):
+            yield from zip(langs[start : start + len(run)], run)
 
-    def rows(held: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
+
+def _counted(grams: Callable[[str, bytes], list[bytes]], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of the grams of each text by language, passed on whenever ``FLUSH`` of them are held."""
+    held: dict[str, Counter] = {}
+
+    def rows() -> Iterator[pa.RecordBatch]:
         for lang, found in held.items():
             if found:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([lang] * len(found), pa.string()), pa.array(list(found), pa.binary()).cast(pa.string()), pa.array(list(found.values()), pa.int64())], names=["lang", "gram", "f"])
         held.clear()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, held = grams_of(), {}
-        for batch in batches:
-            langs = batch.column("lang").to_pylist()
-            for start, run in pieces(batch.column("text")):
-                for lang, text in zip(langs[start : start + len(run)], run):
-                    count(lang, text, held.setdefault(lang, Counter()))
-                    if sum(map(len, held.values())) >= FLUSH:
-                        yield from rows(held)
-        yield from rows(held)
+    for lang, text in _texts(batches):
+        held.setdefault(lang, Counter()).update(grams(lang, text))
+        if sum(map(len, held.values())) >= FLUSH:
+            yield from rows()
+    yield from rows()
 
-    return run
 
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _counted(lambda lang, text: [w for w in words_of(text) if w != _END], batches)
+
+
+class _Hashes(dict):
+    """Hashes of words, made when they are first seen; 0 for the end of a piece."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= FLUSH:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word, 42) | 1 if word != _END else 0
+        return h
 
-def _pairs() -> Callable[[str, bytes, Counter], None]:
-    def count(lang: str, text: bytes, held: Counter) -> None:
-        for words in pieces_of(text):
-            held.update(map(b" ".join, pairwise(words)))
-            held[words[-1]] += 1
 
-    return count
+def _pair_hashes(words: list[bytes], hashes: _Hashes, lang: str) -> np.ndarray:
+    """A hash of each word and the next one, by language; 0 where a piece ends."""
+    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    one, two = h[:-1], h[1:]
+    mixed = (one * np.uint64(0x9E3779B97F4A7C15) ^ two) * np.uint64(0xBF58476D1CE4E5B9) ^ np.uint64(hashes[b"\xff" + lang.encode()])
+    mixed ^= mixed >> np.uint64(32)
+    return np.where((one != 0) & (two != 0), mixed | np.uint64(1 << 63), np.uint64(0))
 
 
-def _edges(bits: Callable[[], bytes], longest: int):
-    def start() -> Callable[[str, bytes, Counter], None]:
-        frequent, seen = bits(), {}
+def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes of pairs with their counts, summed over millions of words."""
+    hashes, held, n = _Hashes(), [], 0
 
-        def passes(lang: str, pair: bytes) -> bool:
-            h = xxhash.xxh64_intdigest(lang.encode() + b"\n" + pair, 42) & (BITS - 1)
-            return bool(frequent[h >> 3] >> (h & 7) & 1)
+    def rows() -> pa.RecordBatch:
+        found, times = np.unique(np.concatenate(held), return_counts=True)
+        some = found != 0
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(found[some].view(np.int64)), pa.array(times[some].astype(np.int64))], names=["h", "f"])
+
+    for lang, text in _texts(batches):
+        held.append(_pair_hashes(words_of(text), hashes, lang))
+        n += len(held[-1])
+        if n >= 4 * FLUSH:
+            yield rows()
+            n = 0
+    if held:
+        yield rows()
 
-        def count(lang: str, text: bytes, held: Counter) -> None:
-            if len(seen) >= FLUSH:
-                seen.clear()
-            for words in pieces_of(text):
-                at = 0
-                for i, pair in enumerate(map(b" ".join, pairwise(words)), 1):
-                    key = lang, pair
-                    if (ok := seen.get(key)) is None:
-                        ok = seen[key] = passes(lang, pair)
-                    if not ok:
-                        held.update(b" ".join(words[j : min(j + longest, i)]) for j in range(at, i))
-                        at = i
-                held.update(b" ".join(words[j : j + longest]) for j in range(at, len(words)))
 
-        return count
+def _count_edges(bits: Callable[[], bytes], longest: int):
+    """From each word of a run of frequent pairs the next ``longest`` words, or those up to the run's end, if at least two."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, hashes = np.frombuffer(bits(), np.uint8), _Hashes()
 
-    return start
+        def grams(lang: str, text: bytes) -> list[bytes]:
+            words = words_of(text)
+            h = _pair_hashes(words, hashes, lang)
+            place = h & np.uint64(BITS - 1)
+            passes = (h != 0) & (frequent[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+            starts, stops = np.flatnonzero(passes), np.flatnonzero(~passes)  # the last pair ends a piece
+            ends = np.minimum(stops[np.searchsorted(stops, starts)] + 1, starts + longest) if len(starts) else starts
+            return [b" ".join(words[i:j]) for i, j in zip(starts.tolist(), ends.tolist())]
+
+        return _counted(grams, batches)
+
+    return run
 
 
 def _words(phrase: str = "gram") -> Column:
@@ -138,11 +166,10 @@ def _sum(rows: DataFrame) -> DataFrame:
     return rows.groupBy("lang", "gram").agg(F.sum("f").alias("f"))
 
 
-def frequent_pairs(pairs: DataFrame, least: int) -> bytes:
-    """The bit map of pairs that occur ``least`` times, at most ``BITS`` / 64 rows to the driver."""
-    h = F.xxhash64(F.concat("lang", F.lit("\n"), "gram"))
-    found = pairs.filter((F.col("f") >= least) & F.col("gram").contains(" ")).select(h.alias("h"))
-    slots = found.groupBy(F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(BITS // 64 - 1)).alias("slot")).agg(
+def frequent_pairs(texts: DataFrame, least: int) -> bytes:
+    """The bit map of pairs that occur ``least`` times; at most ``BITS`` / 64 rows come to the driver."""
+    counts = texts.mapInArrow(_count_pairs, "h long, f long").groupBy("h").agg(F.sum("f").alias("f"))
+    slots = counts.filter(F.col("f") >= least).groupBy(F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(BITS // 64 - 1)).alias("slot")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(h & 63 AS int))")).alias("bits")).toArrow()
     whole = np.zeros(BITS // 64, "<i8")
     whole[slots["slot"].to_numpy()] = slots["bits"].to_numpy()
@@ -150,28 +177,23 @@ def frequent_pairs(pairs: DataFrame, least: int) -> bytes:
 
 
 def edges(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, owner: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """The graph (``lang``, ``gram``, ``f``: edges, and shorter grams that end a run) and the words of each language (``lang``, ``n``)."""
-    spark = docs.sparkSession
+    """The graph (edges, and shorter grams of two words and more that end a run) and all words, both ``lang``, ``gram``, ``f``."""
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    pairs = materialize(_sum(texts.mapInArrow(_counted(_pairs), "lang string, gram string, f long")), owner)
-    bits = spark.sparkContext.broadcast(frequent_pairs(pairs, least))
-    graph = _sum(texts.mapInArrow(_counted(_edges(lambda: bits.value, longest)), "lang string, gram string, f long"))
-    return materialize(graph, owner), pairs.groupBy("lang").agg(F.sum("f").alias("n"))
+    words = materialize(_sum(texts.mapInArrow(_count_words, _COUNTS)), owner)
+    bits = docs.sparkSession.sparkContext.broadcast(frequent_pairs(texts, least))
+    return materialize(_sum(texts.mapInArrow(_count_edges(lambda: bits.value, longest), _COUNTS)), owner), words
 
 
-def phrase_counts(graph: DataFrame, longest: int = LONGEST, least: int = LEAST, owner: str | None = None) -> DataFrame:
+def phrase_counts(graph: DataFrame, words: DataFrame, longest: int = LONGEST, least: int = LEAST, owner: str | None = None) -> DataFrame:
     """Counts of all phrases of 1 to ``longest`` words that occur ``least`` times: ``lang``, ``gram``, ``words``, ``f``."""
     sized = graph.withColumn("words", _words())
     level = sized.filter(F.col("words") == longest).drop("words")
-    found = [level.withColumn("words", F.lit(longest))]
-    for n in range(longest - 1, 0, -1):
+    found = words.withColumn("words", F.lit(1)).unionByName(level.withColumn("words", F.lit(longest)))
+    for n in range(longest - 1, 1, -1):
         ends = sized.filter(F.col("words") == n).drop("words")
         level = materialize(_sum(level.withColumn("gram", _first("gram", n)).unionByName(ends)), owner)
-        found.append(level.withColumn("words", F.lit(n)))
-    whole = found[0]
-    for one in found[1:]:
-        whole = whole.unionByName(one)
-    return materialize(whole.filter(F.col("f") >= least), owner)
+        found = found.unionByName(level.withColumn("words", F.lit(n)))
+    return materialize(found.filter(F.col("f") >= least), owner)
 
 
 def unary_paths(counts: DataFrame, longest: int = LONGEST, owner: str | None = None) -> DataFrame:
@@ -235,8 +257,9 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, fi
     The score is floor(1000 * a * n / (l * r)) of the lowest-scoring cut, in
     exact arithmetic. Copies are written under ``owner``.
     """
-    graph, totals = edges(docs, longest, least, owner)
-    counts = phrase_counts(graph, longest, least, owner)
+    graph, words = edges(docs, longest, least, owner)
+    totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
+    counts = phrase_counts(graph, words, longest, least, owner)
     dropped = inside_longer(counts, unary_paths(counts, longest, owner), percent, longest)
     kept = scored(counts, totals).join(dropped, ["lang", "phrase"], "left_anti")
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
