@@ -12,12 +12,6 @@ same pruning goes on over small leaves.
 A task hands on a spanning forest of the links it finds, so dense groups of
 copies give few rows and no link between groups is lost.
 
-``keep_one_similar`` follows another rule: two texts are near copies if their sets of
-5-word shingles have a Jaccard similarity of at least 0.8. The same index finds
-candidates in a wide radius of 128 bits (64 in Gray order, 64 beside them), and
-the shingles themselves decide. A task hands on its candidates' minimum spanning
-forest by bits and each set's nearest few, so the rows grow with the sets.
-
 Defined cases: null and empty texts have fingerprint zero, linked like any
 other. Null ids get a component but never name one, unless all its ids are
 null. Repeated rows are a group of their own at least.
@@ -33,8 +27,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from occgraph.llm.common import free_name, one_of_each, pieces, with_row_key
-from occgraph.session import clear_materialized, materialize
+from occgraph.llm.common import free_name, one_of_each, pieces
+from occgraph.session import materialize
 
 SHINGLE = 3
 MAX_BITS = 3
@@ -42,12 +36,6 @@ SEED = 42
 BLOCK = 16_384
 FANOUT = 16
 LEAF = 32
-#: ``keep_one_similar``: words of a shingle, similarity, bits that may differ in the sorted half and in both halves, nearest sets handed on.
-WORDS = 5
-SIMILARITY = 0.8
-HALF_BITS = 18
-BOTH_BITS = 34
-NEAREST = 32
 _CHUNK = 1 << 16
 
 
@@ -57,11 +45,14 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     if not words:
         return 0
     if len(words) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(words), SEED)]
-    else:
-        shifted = zip(*[words[i:] for i in range(shingle)], strict=False)
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(s, SEED) for s in map(b" ".join, shifted)]
+        return fingerprint_of([xxhash.xxh64_intdigest(b" ".join(words), SEED)])
+    shifted = zip(*[words[i:] for i in range(shingle)], strict=False)
+    digest = xxhash.xxh64_intdigest
+    return fingerprint_of([digest(s, SEED) for s in map(b" ".join, shifted)])
+
+
+def fingerprint_of(hashes: list[int] | np.ndarray) -> int:
+    """The majority's value of each bit of the hashes; 0 without any."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), _CHUNK):
         some = np.array(hashes[i : i + _CHUNK], dtype="<u8")
@@ -144,7 +135,7 @@ def block_pairs(blocks: DataFrame, max_bits: int = MAX_BITS, owner: str | None =
     return pairs
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def spanning_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest, by smallest member, of the graph with edges a-b."""
     nodes, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
     u, v = flat[: len(a)], flat[len(a) :]
@@ -171,16 +162,10 @@ def _leaves(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def close_pairs(left: np.ndarray, right: np.ndarray, max_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Runs of pairs (one of each array) that differ in at most ``max_bits`` bits."""
-    for i, j in close_places(left, right, max_bits):
-        yield left[i], right[j]
-
-
-def close_places(left: np.ndarray, right: np.ndarray, max_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """``close_pairs`` as places in both arrays."""
     n, m = len(left), len(right)
-    left, right = left.view(np.uint64), right.view(np.uint64)  # bits are counted of unsigned numbers only
-    fa, ma, pa_ = _leaves(left)
-    fb, mb, pb = _leaves(right)
+    a, b = left.view(np.uint64), right.view(np.uint64)  # bits are counted of unsigned numbers only
+    fa, ma, pa_ = _leaves(a)
+    fb, mb, pb = _leaves(b)
     for i in range(0, len(fa), 64):
         known = np.bitwise_count((pa_[i : i + 64, None] ^ pb) & ma[i : i + 64, None] & mb)
         x, y = np.nonzero(known <= max_bits)
@@ -191,7 +176,7 @@ def close_places(left: np.ndarray, right: np.ndarray, max_bits: int) -> Iterator
             p, q = some[g] * LEAF + p, other[g] * LEAF + q
             own = (p < n) & (q < m)  # without what fills up the last leaves
             if own.any():
-                yield p[own], q[own]
+                yield left[p[own]], right[q[own]]
 
 
 def _links(max_bits: int):
@@ -204,9 +189,9 @@ def _links(max_bits: int):
                     new = c != d
                     a, b = np.concatenate([a, c[new]]), np.concatenate([b, d[new]])
                     if len(a) > 1 << 20:
-                        a, b = _forest(a, b)
+                        a, b = spanning_forest(a, b)
                 if len(a):
-                    a, b = _forest(a, b)
+                    a, b = spanning_forest(a, b)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return linked
@@ -234,8 +219,8 @@ def components(edges: DataFrame, owner: str | None = None) -> DataFrame:
         seen = sign
 
 
-def near_groups(prints: DataFrame, max_bits: int = MAX_BITS, owner: str = "simhash") -> DataFrame:
-    """``fingerprint``, ``root`` for every fingerprint that is linked to another.
+def near_links(prints: DataFrame, max_bits: int = MAX_BITS, owner: str = "simhash") -> DataFrame:
+    """``a``, ``b``: a spanning forest, task by task, of the links between fingerprints.
 
     ``prints`` is a table with a ``fingerprint`` column that is cheap to read twice.
     """
@@ -253,7 +238,12 @@ def near_groups(prints: DataFrame, max_bits: int = MAX_BITS, owner: str = "simha
     met = pairs.join(side.withColumnsRenamed({"node": "l", "members": "left"}), "l").join(
         side.withColumnsRenamed({"node": "r", "members": "right"}), "r").select("left", "right", "l", "r")
     spread = met.repartition(F.xxhash64("l", "r")).select("left", "right")
-    return components(spread.mapInArrow(_links(max_bits), "a long, b long"), owner).withColumnsRenamed({"node": "fingerprint"})
+    return spread.mapInArrow(_links(max_bits), "a long, b long")
+
+
+def near_groups(prints: DataFrame, max_bits: int = MAX_BITS, owner: str = "simhash") -> DataFrame:
+    """``fingerprint``, ``root`` for every fingerprint that is linked to another."""
+    return components(near_links(prints, max_bits, owner), owner).withColumnsRenamed({"node": "fingerprint"})
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS,
@@ -273,200 +263,7 @@ def _named(prints: DataFrame, groups: DataFrame, owner: str) -> DataFrame:
     return prints.join(named, "fingerprint").select(*prints.columns, "component_id")
 
 
-def shingle_set(text: bytes, shingle: int = WORDS) -> np.ndarray:
-    """Sorted distinct hashes of the text's shingles; a text of fewer words is one shingle, an empty one has none."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, "<u8")
-    digest = xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        return np.array([digest(b" ".join(words), SEED)], "<u8")
-    return np.unique(np.fromiter((digest(b" ".join(words[i : i + shingle]), SEED) for i in range(len(words) - shingle + 1)), "<u8", len(words) - shingle + 1))
-
-
-def set_print(hashes: np.ndarray) -> tuple[int, int]:
-    """SimHash of a shingle set in 128 bits, as two signed numbers."""
-    if not len(hashes):
-        return 0, 0
-    mixed = (hashes ^ hashes >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-    mixed = (mixed ^ mixed >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-    mixed ^= mixed >> np.uint64(31)
-    ones = np.zeros(128, np.int64)
-    for i in range(0, len(hashes), _CHUNK):
-        both = np.stack([hashes[i : i + _CHUNK], mixed[i : i + _CHUNK]], axis=1)
-        ones += np.unpackbits(both.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    sides = np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")
-    return int(sides[0]), int(sides[1])
-
-
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of two shingle sets; 1 for two empty ones."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
-
-
-def _sets(key: list[str], shingle: int):
-    """Of rows with a key and a text: the key, the set's name, size and print, and the set itself if it is asked for."""
-    def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for _, run in pieces(batch.column(len(key))):
-                for t in run:
-                    hashes = shingle_set(t, shingle)
-                    node = np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)).astype(np.int64)
-                    rows.append((int(node), len(hashes), *set_print(hashes)))
-            columns = zip(*rows, strict=True) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(key)], *[pa.array(c, pa.int64()) for c in columns]], [*key, "node", "size", "high", "low"])
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start, run in pieces(batch.column(1)):
-                sets = [shingle_set(t, shingle).tobytes() for t in run]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(run)), pa.array(sets, pa.binary())], ["node", "hashes"])
-
-    return printed, whole
-
-
-def _set_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cut a task's sorted sets (high, low, node, size) into blocks."""
-    held, n = [], 0
-
-    def block(rows: np.ndarray) -> pa.RecordBatch:
-        every, some = np.bitwise_and.reduce(rows[:, 0]), np.bitwise_or.reduce(rows[:, 0])
-        return pa.RecordBatch.from_arrays([
-            pa.array([int(rows[0, 0])]), pa.array([int(rows[0, 2])]), pa.array([int(~(every ^ some))]), pa.array([int(every)]), pa.array([rows.tobytes()], pa.binary())],
-            ["first", "first_set", "mask", "pattern", "members"])
-
-    for batch in batches:
-        held.append(np.stack([c.to_numpy() for c in batch.columns], axis=1))
-        n += len(held[-1])
-        while n >= BLOCK:
-            joined = np.concatenate(held)
-            yield block(joined[:BLOCK])
-            held, n = [joined[BLOCK:]], n - BLOCK
-    if n:
-        yield block(np.concatenate(held))
-
-
-def _thin(a: np.ndarray, b: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of candidate pairs a minimum spanning forest by bits, and the ``NEAREST`` pairs of each node."""
-    order = np.lexsort((b, a, bits))
-    a, b, bits = a[order], b[order], bits[order]
-    new = np.ones(len(a), bool)
-    pair = np.lexsort((b, a))
-    new[pair[1:]] = (a[pair[1:]] != a[pair[:-1]]) | (b[pair[1:]] != b[pair[:-1]])
-    a, b, bits = a[new], b[new], bits[new]
-    nodes, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
-    u, v = flat[: len(a)], flat[len(a) :]
-    keep = np.zeros(len(a), bool)
-    ends = np.concatenate([u, v])
-    by_node = np.lexsort((np.tile(np.arange(len(a)), 2), ends))
-    first = np.searchsorted(ends[by_node], ends[by_node])
-    keep[by_node[np.arange(len(ends)) - first < NEAREST] % len(a)] = True
-    label = np.arange(len(nodes))
-    for d in np.unique(bits):  # Kruskal, all pairs of equal bits at once
-        run = np.flatnonzero((bits == d) & (label[u] != label[v]))
-        if len(run):
-            x, y = _forest(label[u[run]], label[v[run]])
-            ends_of = {}
-            for k in run:  # one pair between two trees at most
-                ends_of.setdefault(tuple(sorted((int(label[u[k]]), int(label[v[k]])))), k)
-            keep[list(ends_of.values())] = True
-            to = np.arange(len(nodes))
-            to[x] = y
-            label = to[label]
-    return a[keep], b[keep], bits[keep]
-
-
-def _candidates(least: float):
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for one, two in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                left, right = np.frombuffer(one, "<i8").reshape(-1, 4), np.frombuffer(two, "<i8").reshape(-1, 4)
-                held = [np.zeros(0, np.int64)] * 3
-                for i, j in close_places(left[:, 0].copy(), right[:, 0].copy(), HALF_BITS):
-                    p, q = left[i], right[j]
-                    bits = (np.bitwise_count((p[:, 0] ^ q[:, 0]).view(np.uint64)) + np.bitwise_count((p[:, 1] ^ q[:, 1]).view(np.uint64))).astype(np.int64)
-                    sizes = np.minimum(p[:, 3], q[:, 3]) >= least * np.maximum(p[:, 3], q[:, 3]) - 1e-6  # 0.8 of 15 is not quite 12
-                    near = (bits <= BOTH_BITS) & sizes & (p[:, 2] != q[:, 2])
-                    a, b = p[near, 2], q[near, 2]
-                    held = [np.concatenate(x) for x in zip(held, (np.minimum(a, b), np.maximum(a, b), bits[near]), strict=True)]
-                    if len(held[0]) > 1 << 20:
-                        held = list(_thin(*held))
-                if len(held[0]):
-                    held = list(_thin(*held))
-                yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1])], ["a", "b"])
-
-    return found
-
-
-def _similar(least: float):
-    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = [similarity(np.frombuffer(p.as_py(), "<u8"), np.frombuffer(q.as_py(), "<u8")) >= least for p, q in zip(batch.column(2), batch.column(3), strict=True)]
-            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
-
-    return checked
-
-
-def similar_groups(sets: DataFrame, rows: DataFrame, key: list[str], least: float, shingle: int, owner: str) -> DataFrame:
-    """``node``, ``root`` for every shingle set that is similar to another.
-
-    ``sets`` has ``key``, ``node``, ``size``, ``high``, ``low`` of every row and is cheap to read again; ``rows`` has ``key`` and ``text``.
-    """
-    distinct = materialize(sets.select("high", "low", "node", "size").dropDuplicates(["node"]).withColumn("rank", gray_rank(F.col("high"))), owner)
-    cut = materialize(distinct.repartitionByRange("rank", "node").sortWithinPartitions("rank", "node").select("high", "low", "node", "size").mapInArrow(
-        _set_blocks, "first long, first_set long, mask long, pattern long, members binary"), owner)
-    order = cut.select("first_set", gray_rank(F.col("first")).alias("rank"))
-    numbered = order.rdd.map(tuple).sortBy(lambda x: (x[1], x[0])).zipWithIndex().map(lambda x: (x[0][0], x[1]))  # one small row a block
-    numbers = cut.sparkSession.createDataFrame(numbered, "first_set long, node long")
-    blocks = materialize(cut.join(numbers, "first_set"), owner)
-    pairs = materialize(block_pairs(blocks, HALF_BITS, owner), owner)
-    side = blocks.select("node", "members")
-    met = pairs.join(side.withColumnsRenamed({"node": "l", "members": "left"}), "l").join(
-        side.withColumnsRenamed({"node": "r", "members": "right"}), "r").select("left", "right", "l", "r")
-    spread = met.repartition(F.xxhash64("l", "r")).select("left", "right")
-    edges = materialize(spread.mapInArrow(_candidates(least), "a long, b long").distinct(), owner)
-    named = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
-    one = sets.join(named, "node", "left_semi").groupBy("node").agg(F.min(F.struct(*key)).alias("row")).select("node", "row.*")
-    texts_of = rows.join(one, key).select("node", "text")
-    whole = materialize(texts_of.mapInArrow(_sets([], shingle)[1], "node long, hashes binary").groupBy("node").agg(F.first("hashes").alias("hashes")), owner)
-    left, right = (whole.select(F.col("node").alias(n), F.col("hashes").alias(f"of_{n}")) for n in "ab")
-    links = edges.join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b").mapInArrow(_similar(least), "a long, b long")
-    return components(links, owner)
-
-
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS, owner: str = "simhash_keep") -> DataFrame:
-    """The rows of ``docs`` without the near duplicates of a kept one, by op8's rule.
-
-    Of each component the row with the smallest id stays (ties: any one of
-    the rows with that id). Every column is kept as it was.
-    """
-    clear_materialized(docs.sparkSession, owner)
-    keyed, key = with_row_key(docs)
-    prints = materialize(with_fingerprint(_keyed_texts(keyed, key, doc_id, text), "text").drop("text"), owner)  # without the texts
-    groups = near_groups(prints, max_bits, owner)
-    rooted = prints.join(groups, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
-    return _first_of_each(docs, keyed, key, rooted, owner)
-
-
-def keep_one_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY, shingle: int = WORDS, owner: str = "simhash_keep") -> DataFrame:
-    """Like ``keep_one``, but texts are linked whose shingle sets have a Jaccard similarity of at least ``least``."""
-    clear_materialized(docs.sparkSession, owner)
-    keyed, key = with_row_key(docs)
-    named = _keyed_texts(keyed, key, doc_id, text)
-    schema = f"doc_id {named.schema['doc_id'].dataType.simpleString()}, k1 long, k2 long, node long, size long, high long, low long"
-    sets = materialize(named.mapInArrow(_sets(["doc_id", "k1", "k2"], shingle)[0], schema), owner)  # without the texts
-    groups = similar_groups(sets, named.select("k1", "k2", "text"), ["k1", "k2"], least, shingle, owner)
-    rooted = sets.select("doc_id", "k1", "k2", "node").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    return _first_of_each(docs, keyed, key, rooted, owner)
-
-
-def _keyed_texts(keyed: DataFrame, key: list[str], doc_id: str, text: str) -> DataFrame:
-    return keyed.select(F.col(doc_id).alias("doc_id"), *[F.col(k).alias(n) for k, n in zip(key, ("k1", "k2"), strict=True)], F.col(text).alias("text"))
-
-
-def _first_of_each(docs: DataFrame, keyed: DataFrame, key: list[str], rooted: DataFrame, owner: str) -> DataFrame:
+def first_of_each(docs: DataFrame, keyed: DataFrame, key: list[str], rooted: DataFrame, owner: str) -> DataFrame:
     """The rows of ``docs`` whose key (``k1``, ``k2``) is the first of its ``root``."""
     first = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2")).alias("first"), F.count("*").alias("n")).filter("n > 1")
     wins = (F.col("k1") == F.col("first.k1")) & (F.col("k2") == F.col("first.k2"))

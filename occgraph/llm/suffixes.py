@@ -24,13 +24,20 @@ compared from there on, or not at all when these numbers differ. The numbers
 of the winners are the shared lengths of neighbours that the result needs.
 Equal suffixes are in one bucket, as the cuts are whole suffixes.
 
-Defined cases: null texts are empty; texts shorter than ``MIN_BYTES`` lose
-nothing; repeated rows repeat each other and lose all they hold.
+*Words.* ``words_without_repeats`` asks the same of words: a word goes if it lies
+in a run of ``MIN_WORDS`` words that also starts anywhere else, whatever white
+space is between them. A text is written as its words' 64-bit hashes, 8 bytes
+each, and goes through the sort above in windows of 8 * ``MIN_WORDS`` bytes.
+
+Defined cases: null texts are empty; texts shorter than a window lose
+nothing; repeated rows repeat each other and lose all they hold; long texts
+are cut into units as others are.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -41,13 +48,16 @@ import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from occgraph.llm.common import free_name, pieces
 from occgraph.session import clear_materialized, materialize
 
 MIN_BYTES = 400
+MIN_WORDS = 50
 WINDOW = 128
 FINE = 16
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 RUN = 65_536
 BUCKET = 131_072
 
@@ -419,7 +429,10 @@ def kept_bytes(text: bytes, spans: list[int] | None) -> bytes:
 
 
 def removal_digest(rows: DataFrame) -> DataFrame:
-    """``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` of rows with ``doc_id``, ``text``, ``repeats``."""
+    """``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``, ``kept_text`` of rows with ``doc_id``, ``text``, ``repeats``.
+
+    The hash is of the remaining bytes; in ``kept_text`` characters cut in two are dropped.
+    """
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -427,11 +440,11 @@ def removal_digest(rows: DataFrame) -> DataFrame:
                 out = []
                 for doc, text, spans in zip(batch.column(0).slice(start, len(run)).to_pylist(), run, batch.column(2).slice(start, len(run)).to_pylist(), strict=True):
                     kept = kept_bytes(text, spans)
-                    out.append((doc, len(text), len(text) - len(kept), len(spans or ()), hashlib.sha256(kept).hexdigest()))
-                yield _batch(out, [("doc_id", batch.schema.field(0).type), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
+                    out.append((doc, len(text), len(text) - len(kept), len(spans or ()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
+                yield _batch(out, [("doc_id", batch.schema.field(0).type), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.select("doc_id", "text", "repeats").mapInArrow(mapped, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.select("doc_id", "text", "repeats").mapInArrow(mapped, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
 
 
 def cut_text(text: str = "text", repeats: str = "repeats") -> Column:
@@ -442,3 +455,43 @@ def cut_text(text: str = "text", repeats: str = "repeats") -> Column:
                           for t, s in zip(column, spans, strict=True)], dtype=object)
 
     return F.when(F.col(repeats).isNull(), F.col(text)).otherwise(cut(F.col(text), F.col(repeats)))
+
+
+# --- windows of words ---------------------------------------------------------------
+
+_CODE = 8
+
+
+@F.pandas_udf(T.BinaryType())
+def word_codes(text: pd.Series) -> pd.Series:
+    """A text as the hashes of its words, 8 bytes each; null becomes empty."""
+    digest = xxhash.xxh3_64_digest
+    return pd.Series([b"" if t is None else b"".join(map(digest, t.encode().split())) for t in text], dtype=object)
+
+
+def words_without_repeats(docs: DataFrame, text: str = "text", words: int = MIN_WORDS, into: str = "repeats", owner: str = "suffixes") -> DataFrame:
+    """Like ``without_repeats``, by windows of words: the spans are numbers of words (start times 2^32 plus end, in order; null for none)."""
+    docs = docs.drop(into)
+    code, coded = free_name(docs, "word_codes"), free_name(docs, "text_codes")
+    held = docs.withColumn(code, word_codes(F.col(text)))
+    spans = without_repeats(held.withColumnRenamed(code, coded), coded, words * _CODE, into, owner).drop(coded)
+    # a part of a word's hash may be shared by chance: only whole words count
+    inner = F.transform(into, lambda s: F.shiftleft(F.expr("0L") + F.ceil(F.shiftright(s, 32) / _CODE), 32).bitwiseOR(F.floor(s.bitwiseAND(F.lit(0xFFFFFFFF)) / _CODE)))
+    return spans.withColumn(into, inner)
+
+
+def kept_words(text: bytes, spans: list[int] | None) -> bytes:
+    """The text without the words of the spans and the white space after them."""
+    if spans is None or not len(spans):
+        return text
+    starts = [m.start() for m in _WORD.finditer(text)] + [len(text)]
+    return kept_bytes(text, [starts[s >> 32] << 32 | starts[s & 0xFFFFFFFF] for s in map(int, spans)])
+
+
+def cut_words(text: str = "text", repeats: str = "repeats") -> Column:
+    """The text without its repeated words, as a column."""
+    @F.pandas_udf("string")
+    def cut(column: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([t if t is None or s is None else kept_words(t.encode(), s).decode() for t, s in zip(column, spans, strict=True)], dtype=object)
+
+    return F.when(F.col(repeats).isNull(), F.col(text)).otherwise(cut(F.col(text), F.col(repeats)))

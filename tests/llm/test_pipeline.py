@@ -10,8 +10,8 @@ from occgraph.llm.packing import Tokens
 from tests.llm.awkward import documents
 from tests.llm.test_divergence import plain
 from tests.llm.test_packing import check
-from tests.llm.test_simhash import brute_components, plain_fingerprint
-from tests.llm.test_suffixes import brute
+from tests.llm.test_resemblance import similar_components
+from tests.llm.test_suffixes import brute_words
 
 
 def staged(spark, docs, sf, folder):
@@ -33,14 +33,13 @@ def test_stages_against_brute_force(spark, sf, tmp_path):
     assert {r["doc_id"] for r in kept} <= passed and len(kept) > 0.9 * len(passed)
 
     given, kept = near
-    component = brute_components({r["doc_id"]: plain_fingerprint(r["text"] or "") for r in given})
+    component = similar_components({r["doc_id"]: r["text"] or "" for r in given})
     assert sorted(r["doc_id"] for r in kept) == sorted(set(component.values()))
 
     given, kept = repeats
-    want = {r["doc_id"]: b for r, b in zip(given, brute([(r["text"] or "").encode() for r in given]))}
+    want = {r["doc_id"]: b for r, b in zip(given, brute_words([r["text"] for r in given]))}
     for r in kept:
-        size, gone, _, _ = want[r["doc_id"]]
-        assert size - gone - 6 <= len(r["text"].encode()) <= size - gone and r["n_chars"] == len(r["text"])
+        assert r["text"].encode().split() == want[r["doc_id"]].encode().split() and r["n_chars"] == len(r["text"])
     assert len(kept) == len(given)
 
     given, kept = mix

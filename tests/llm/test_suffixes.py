@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -56,8 +57,44 @@ def test_removal_equals_counting_every_window(spark, seed, monkeypatch):
     monkeypatch.setattr(suffixes, "BUCKET", 400)
     texts = awkward_texts(seed)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r[0]: tuple(r[1:]) for r in suffixes.removal_digest(suffixes.without_repeats(df)).collect()}
+    rows = suffixes.removal_digest(suffixes.without_repeats(df)).collect()
+    got = {r[0]: tuple(r[1:5]) for r in rows}
     assert [got[i] for i in range(len(texts))] == brute([(t or "").encode() for t in texts])
+    assert all(abs(len(r["kept_text"].encode()) - (r["n_bytes"] - r["n_removed"])) <= 6 * (r["n_spans"] + 1) for r in rows)
+
+
+def brute_words(texts: list[str | None], words: int = suffixes.MIN_WORDS) -> list[str]:
+    """Texts without the words of every window of ``words`` words that is anywhere else."""
+    cut = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+    seen = collections.Counter(tuple(w[p : p + words]) for w in cut for p in range(len(w) - words + 1))
+    out = []
+    for t, w in zip(texts, cut):
+        gone = {p + i for p in range(len(w) - words + 1) if seen[tuple(w[p : p + words])] > 1 for i in range(words)}
+        out.append(" ".join(x for i, x in enumerate(w) if i not in gone))
+    return out
+
+
+@pytest.mark.parametrize("seed", [20, 21])
+def test_words_equal_counting_every_window_of_words(spark, seed, monkeypatch):
+    monkeypatch.setattr(suffixes, "BUCKET", 400)
+    r = random.Random(seed)
+    some = lambda n: [r.choice(["a", "bé", "ccc", "d1", "漢"]) + str(r.randint(0, 40)) for _ in range(n)]
+    passages = [some(n) for n in (49, 50, 51, 52, 64, 90, 200)]
+    texts: list[str | None] = []
+    for _ in range(40):
+        w = some(r.randint(0, 30))
+        for _ in range(r.randint(0, 3)):
+            p = r.choice(passages)
+            w += p[r.choice([0, 0, 1, 5]) : len(p) - r.choice([0, 0, 1])] + some(r.randint(0, 20))
+        texts.append("".join(x + r.choice([" ", "  ", "\n", "\t"]) for x in w))
+    texts += [None, "", " \n", "one", texts[0], " ".join(["x"] * 120), " ".join(["y"] * 50), " ".join(["z"] * 51)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({"repeats": F.lit(1), "word_codes": F.lit("own"), "text_codes": F.lit("own")})
+    out = suffixes.words_without_repeats(df, into="gone").withColumn("left", suffixes.cut_words(repeats="gone")).collect()
+    got = {x["doc_id"]: x for x in out}
+    want = brute_words(texts)
+    assert [" ".join(re.findall(r"[^\x20\x09-\x0D]+", got[i]["left"] or "")) for i in range(len(texts))] == want
+    assert got[texts.index(None)]["left"] is None and all(x["word_codes"] == "own" and x["text_codes"] == "own" and x["repeats"] == 1 for x in out)
+    assert any(w != " ".join((t or "").split()) for w, t in zip(want, texts)) and any(w and w == " ".join((t or "").split()) for w, t in zip(want, texts))
 
 
 def test_merge_gives_the_order_and_the_shared_lengths():
