@@ -18,10 +18,9 @@ Most long phrases of a corpus occur once. What is looked for occurs
 ``least`` times, and so does each pair of words in it. So pairs are counted
 first, by their hashes, and the frequent ones set a bit in a map of ``BITS`` bits
 (2 MiB) that goes to every task. A pair without its bit ends a run of words as
-punctuation does, and a run of one word is no phrase. Equal hashes let some
-pairs pass; that costs work and changes no result. The map's size is fixed, so on
-a corpus with more frequent pairs than bits it saves less, and counts stay the
-same. Single words are counted by themselves.
+punctuation does. Equal hashes let some pairs pass; that costs work and changes
+no result. The map's size is fixed, so on a corpus with more frequent pairs than
+bits it saves less, and counts stay the same.
 
 Skew: counts are summed in each task and again before every shuffle, so a
 frequent word or pair is as many rows as there are tasks. Ranks are taken in
@@ -91,10 +90,6 @@ def _counted(grams: Callable[[str, bytes], list[bytes]], batches: Iterator[pa.Re
     yield from rows()
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return _counted(lambda lang, text: [w for w in words_of(text) if w != _END], batches)
-
-
 class _Hashes(dict):
     """Hashes of words, made when they are first seen; 0 for the end of a piece."""
 
@@ -135,7 +130,7 @@ def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _count_edges(bits: Callable[[], bytes], longest: int):
-    """From each word of a run of frequent pairs the next ``longest`` words, or those up to the run's end, if at least two."""
+    """From each word the next ``longest`` ones, or those up to the end of its run of frequent pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, hashes = np.frombuffer(bits(), np.uint8), _Hashes()
@@ -147,7 +142,8 @@ def _count_edges(bits: Callable[[], bytes], longest: int):
             passes = (h != 0) & (frequent[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
             starts, stops = np.flatnonzero(passes), np.flatnonzero(~passes)  # the last pair ends a piece
             ends = np.minimum(stops[np.searchsorted(stops, starts)] + 1, starts + longest) if len(starts) else starts
-            return [b" ".join(words[i:j]) for i, j in zip(starts.tolist(), ends.tolist())]
+            alone = [words[i] for i in stops.tolist() if words[i] != _END]
+            return alone + [b" ".join(words[i:j]) for i, j in zip(starts.tolist(), ends.tolist())]
 
         return _counted(grams, batches)
 
@@ -176,24 +172,23 @@ def frequent_pairs(texts: DataFrame, least: int) -> bytes:
     return whole.tobytes()
 
 
-def edges(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, owner: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """The graph (edges, and shorter grams of two words and more that end a run) and all words, both ``lang``, ``gram``, ``f``."""
+def edges(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, owner: str | None = None) -> DataFrame:
+    """The graph: edges, and shorter grams that end a run (``lang``, ``gram``, ``f``)."""
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    words = materialize(_sum(texts.mapInArrow(_count_words, _COUNTS)), owner)
     bits = docs.sparkSession.sparkContext.broadcast(frequent_pairs(texts, least))
-    return materialize(_sum(texts.mapInArrow(_count_edges(lambda: bits.value, longest), _COUNTS)), owner), words
+    return materialize(_sum(texts.mapInArrow(_count_edges(lambda: bits.value, longest), _COUNTS)), owner)
 
 
-def phrase_counts(graph: DataFrame, words: DataFrame, longest: int = LONGEST, least: int = LEAST, owner: str | None = None) -> DataFrame:
-    """Counts of all phrases of 1 to ``longest`` words that occur ``least`` times: ``lang``, ``gram``, ``words``, ``f``."""
+def phrase_counts(graph: DataFrame, longest: int = LONGEST, least: int = LEAST, owner: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Counts of all phrases of 1 to ``longest`` words that occur ``least`` times (``lang``, ``gram``, ``words``, ``f``), and of all words (``lang``, ``n``)."""
     sized = graph.withColumn("words", _words())
     level = sized.filter(F.col("words") == longest).drop("words")
-    found = words.withColumn("words", F.lit(1)).unionByName(level.withColumn("words", F.lit(longest)))
-    for n in range(longest - 1, 1, -1):
+    found = level.withColumn("words", F.lit(longest))
+    for n in range(longest - 1, 0, -1):
         ends = sized.filter(F.col("words") == n).drop("words")
         level = materialize(_sum(level.withColumn("gram", _first("gram", n)).unionByName(ends)), owner)
         found = found.unionByName(level.withColumn("words", F.lit(n)))
-    return materialize(found.filter(F.col("f") >= least), owner)
+    return materialize(found.filter(F.col("f") >= least), owner), level.groupBy("lang").agg(F.sum("f").alias("n"))
 
 
 def unary_paths(counts: DataFrame, longest: int = LONGEST, owner: str | None = None) -> DataFrame:
@@ -257,9 +252,7 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, fi
     The score is floor(1000 * a * n / (l * r)) of the lowest-scoring cut, in
     exact arithmetic. Copies are written under ``owner``.
     """
-    graph, words = edges(docs, longest, least, owner)
-    totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    counts = phrase_counts(graph, words, longest, least, owner)
+    counts, totals = phrase_counts(edges(docs, longest, least, owner), longest, least, owner)
     dropped = inside_longer(counts, unary_paths(counts, longest, owner), percent, longest)
     kept = scored(counts, totals).join(dropped, ["lang", "phrase"], "left_anti")
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]

@@ -66,11 +66,11 @@ def test_every_row_equals_plain_loops(spark, longest):
 
 def test_counts_follow_from_the_flow(spark):
     rows = texts(9)
-    graph, words = phrases.edges(spark.createDataFrame(rows, SCHEMA), 5, 3, "test_phrases")
-    counts = {(r["lang"], r["gram"]): r["f"] for r in phrases.phrase_counts(graph, words, 5, 3, "test_phrases").collect()}
+    counts, totals = phrases.phrase_counts(phrases.edges(spark.createDataFrame(rows, SCHEMA), 5, 3, "test_phrases"), 5, 3, "test_phrases")
+    counts = {(r["lang"], r["gram"]): r["f"] for r in counts.collect()}
     want, n = plain_counts(rows, 5)
     assert counts == {(lang, p): f for lang, c in want.items() for p, f in c.items() if f >= 3}
-    assert {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("f").alias("n")).collect()} == {lang: k for lang, k in n.items() if k}
+    assert {r["lang"]: r["n"] for r in totals.collect()} == {lang: k for lang, k in n.items() if k}
 
 
 def test_a_map_that_rules_out_nothing_changes_nothing(spark, monkeypatch):
@@ -81,8 +81,8 @@ def test_a_map_that_rules_out_nothing_changes_nothing(spark, monkeypatch):
 
 def test_paths_are_compacted(spark):
     rows = [("en", " ".join(f"w{i}" for i in range(30)))] * 4 + [("en", "v0 w10 w11 w12 w13 w14 v1")] * 3
-    graph, words = phrases.edges(spark.createDataFrame(rows, SCHEMA), 5, 3, "test_phrases")
-    paths = phrases.unary_paths(phrases.phrase_counts(graph, words, 5, 3, "test_phrases"), 5, "test_phrases").collect()
+    counts, _ = phrases.phrase_counts(phrases.edges(spark.createDataFrame(rows, SCHEMA), 5, 3, "test_phrases"), 5, 3, "test_phrases")
+    paths = phrases.unary_paths(counts, 5, "test_phrases").collect()
     place = {r["gram"]: (r["head"], r["place"], r["f"]) for r in paths}
     assert place["w9 w10 w11 w12 w13"] == ("w0 w1 w2 w3 w4", 9, 4)
     # five words of the other text are the edge of both: it heads a path of its own, and so does what follows
