@@ -378,9 +378,9 @@ def _end() -> Column:
 def repeated_spans(docs: DataFrame, size: int = MIN_BYTES, owner: str = "suffixes") -> DataFrame:
     """``t1``, ``t2`` (hashes of a text) and ``spans`` of the bytes that repeat, for every text that has any.
 
-    ``docs`` has one column, ``text``.
+    ``docs`` has a column ``text``, and ``t1`` and ``t2`` if they are known.
     """
-    texts = _rows_by_text(docs)
+    texts = docs.select("t1", "t2", "text") if "t1" in docs.columns else _rows_by_text(docs)
     all_units = materialize(texts.mapInArrow(_unit_rows(size), "t1 long, t2 long, core long, content long, lo int, n int, shift short").withColumn(
         "mult", F.lit(1).cast("long")), f"{owner}_units")
     members, classes = _classes(all_units, ["t1", "t2", "lo", "n", "shift"], owner)
@@ -462,22 +462,33 @@ def cut_text(text: str = "text", repeats: str = "repeats") -> Column:
 _CODE = 8
 
 
-@F.pandas_udf(T.BinaryType())
-def word_codes(text: pd.Series) -> pd.Series:
-    """A text as the hashes of its words, 8 bytes each; null becomes empty."""
+def _word_codes(keep: int, with_codes: bool):
+    """Of rows with a text as their last column: the first ``keep`` columns, two hashes of the text's words, and the words' hashes, 8 bytes each."""
     digest = xxhash.xxh3_64_digest
-    return pd.Series([b"" if t is None else b"".join(map(digest, t.encode().split())) for t in text], dtype=object)
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, run in pieces(batch.column(keep)):
+                codes = [b"".join(map(digest, text.split())) for text in run]
+                hashes = [pa.array([_signed(h(c)) for c in codes], pa.int64()) for h in (xxhash.xxh64_intdigest, xxhash.xxh3_64_intdigest)]
+                kept = [c.slice(start, len(run)) for c in batch.columns[:keep]]
+                yield pa.RecordBatch.from_arrays([*kept, *hashes, *([pa.array(codes, pa.binary())] if with_codes else [])], [str(i) for i in range(keep + 2 + with_codes)])
+
+    return mapped
 
 
 def words_without_repeats(docs: DataFrame, text: str = "text", words: int = MIN_WORDS, into: str = "repeats", owner: str = "suffixes") -> DataFrame:
     """Like ``without_repeats``, by windows of words: the spans are numbers of words (start times 2^32 plus end, in order; null for none)."""
     docs = docs.drop(into)
-    code, coded = free_name(docs, "word_codes"), free_name(docs, "text_codes")
-    held = docs.withColumn(code, word_codes(F.col(text)))
-    spans = without_repeats(held.withColumnRenamed(code, coded), coded, words * _CODE, into, owner).drop(coded)
+    coded = docs.select(text).mapInArrow(_word_codes(0, True), "t1 long, t2 long, text binary")
+    spans = repeated_spans(coded, words * _CODE, owner)
     # a part of a word's hash may be shared by chance: only whole words count
-    inner = F.transform(into, lambda s: F.shiftleft(F.expr("0L") + F.ceil(F.shiftright(s, 32) / _CODE), 32).bitwiseOR(F.floor(s.bitwiseAND(F.lit(0xFFFFFFFF)) / _CODE)))
-    return spans.withColumn(into, inner)
+    inner = F.transform("spans", lambda s: F.shiftleft(F.ceil(F.shiftright(s, 32) / _CODE).cast("long"), 32).bitwiseOR(F.floor(s.bitwiseAND(F.lit(0xFFFFFFFF)) / _CODE).cast("long")))
+    h1, h2 = free_name(docs, "text_hash_1"), free_name(docs, "text_hash_2")
+    keys = T.StructType([*docs.schema.fields, T.StructField(h1, T.LongType()), T.StructField(h2, T.LongType())])
+    keyed = docs.select("*", F.col(text).alias(free_name(docs, "words_of"))).mapInArrow(_word_codes(len(docs.columns), False), keys)
+    found = spans.select(F.col("t1").alias(h1), F.col("t2").alias(h2), inner.alias(into))
+    return keyed.join(found, [h1, h2], "left").select(*docs.columns, into)
 
 
 def kept_words(text: bytes, spans: list[int] | None) -> bytes:
