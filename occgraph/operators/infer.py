@@ -2,24 +2,20 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from occgraph.functions.hashing import POISSON_STEPS, hash_uniform, poisson_weight
+from occgraph.functions.hashing import hash_uniform
 from occgraph.functions.stats import normal_tail, t_tail
 from occgraph.operators.metrics import brier, classification_metrics, rank_metrics_from_counts, score_counts
-from occgraph.operators.ranking import average_ranks, with_range
+from occgraph.operators.ranking import average_ranks
+from occgraph.operators.replicates import cluster_blocks, replicate_values, row_draws
 from occgraph.session import materialize
 
 METRIC_NAMES = ("roc_auc", "pr_auc", "brier", "f1")
-PAIRWISE_CLUSTERS = 16  # up to here AUC replicates come from cluster-pair sums
 MIN_VALID = 100
 EXACT_PAIRS = 50
 
@@ -52,84 +48,18 @@ def point_metric(preds: DataFrame, keys: list[str], metric: str) -> DataFrame:
 def row_bootstrap(preds: DataFrame, keys: list[str], metric: str, replicates: int, id_cols: list[str], seed: int = 42) -> DataFrame:
     """Interval from Poisson(1) row weights, one independent draw per replicate and row.
 
-    For ``roc_auc`` a row's draws are made where the row is, as one array, and
-    added up along the sorted scores: no row is written out per replicate.
+    A row's draws are made where the row is, as one array; arrays are added up
+    (``replicates``), and no row is written out per replicate.
     """
     point = point_metric(preds, keys, metric).withColumnRenamed(metric, "point")
-    if metric == "roc_auc":
-        return point.join(_interval(_row_auc_replicates(preds, keys, replicates, id_cols, seed), keys, metric), keys, "left")
-    u = hash_uniform(F.lit("boot"), F.lit(seed), F.col("rep"), *[F.col(c) for c in id_cols])
-    drawn = preds.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("w", poisson_weight(u)).filter("w > 0")
-    values = _weighted_metric(drawn, [*keys, "rep"], metric, preds)
+    rows = _replicate_rows(preds, keys, F.concat_ws("|", *id_cols)).withColumn("n", F.lit(1))
+    values = replicate_values(rows, keys, metric, replicates, lambda ids: row_draws(ids, seed, replicates))
     return point.join(_interval(values, keys, metric), keys, "left")
 
 
-def row_draws(ids: list[str], seed: int, replicates: int) -> np.ndarray:
-    """Poisson(1) weights, a row an id: four draws from each MD5 of ``boot|seed|block|id``, by inversion."""
-    blocks = -(-replicates // 4)
-    digests = b"".join([hashlib.md5(f"boot|{seed}|{k}|{i}".encode()).digest() for i in ids for k in range(blocks)])
-    u = np.frombuffer(digests, ">u4").reshape(len(ids), 4 * blocks)[:, :replicates] / 4294967296.0
-    return np.searchsorted(POISSON_STEPS, u, side="right")
-
-
-def _row_auc_replicates(preds: DataFrame, keys: list[str], replicates: int, id_cols: list[str], seed: int) -> DataFrame:
-    """``(*keys, rep, roc_auc)``. Score ranges are summed one by one, then put after one another: a few hundred arrays a key."""
-    by = keys or ["all_rows"]
-    rows = preds if keys else preds.withColumn("all_rows", F.lit(0))
-    named = rows.select(*by, F.col("y_prob").cast("double").alias("score"), F.col("y_true").cast("int").alias("truth"), F.concat_ws("|", *id_cols).alias("id"))
-    ranged = with_range(named, "score").repartition(*by, "value_range").sortWithinPartitions(*by, "value_range", "score")
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in ranged.select(*by).schema.fields]
-
-    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, last = None, None
-        zero = np.zeros(replicates)
-        tp, tn, wins, tied_p, tied_n = (zero.copy() for _ in range(5))
-
-        def settle() -> None:  # the scores up to here are all in
-            nonlocal tp, tn, wins, tied_p, tied_n
-            wins += tied_p * (tn + tied_n / 2)
-            tp, tn, tied_p, tied_n = tp + tied_p, tn + tied_n, zero.copy(), zero.copy()
-
-        def written() -> pd.DataFrame:
-            return pd.DataFrame([(*key, tp.tolist(), tn.tolist(), wins.tolist())], columns=[*by, "value_range", "tp", "tn", "wins"])
-
-        for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.iloc[at : at + 256]
-                weights = row_draws(part["id"].tolist(), seed, replicates)
-                for own, score, truth, w in zip(part[[*by, "value_range"]].itertuples(index=False, name=None), part["score"], part["truth"], weights, strict=True):
-                    if own != key or score != last:
-                        settle()
-                    if own != key:
-                        if key is not None:
-                            yield written()
-                        key = own
-                        tp, tn, wins = zero.copy(), zero.copy(), zero.copy()
-                    last = score
-                    if truth:
-                        tied_p += w
-                    else:
-                        tied_n += w
-        if key is not None:
-            settle()
-            yield written()
-
-    sums = ranged.mapInPandas(summed, ", ".join([*kinds, "value_range int", "tp array<double>", "tn array<double>", "wins array<double>"]))
-
-    def joined(ranges: pd.DataFrame) -> pd.DataFrame:
-        ranges = ranges.sort_values("value_range")
-        tp, tn, wins = (np.stack(ranges[c].to_list()) for c in ("tp", "tn", "wins"))
-        below = np.cumsum(tn, axis=0) - tn
-        pairs = tp.sum(axis=0) * tn.sum(axis=0)
-        auc = np.where(pairs > 0, (wins + tp * below).sum(axis=0) / np.where(pairs > 0, pairs, 1), np.nan)
-        out = pd.DataFrame({"rep": np.arange(replicates), "roc_auc": auc})
-        for c in by:
-            out[c] = ranges[c].iloc[0]
-        return out[[*by, "rep", "roc_auc"]]
-
-    found = sums.groupBy(*by).applyInPandas(joined, ", ".join([*kinds, "rep int", "roc_auc double"]))
-    found = found.withColumn("roc_auc", F.when(~F.isnan("roc_auc"), F.col("roc_auc")))
-    return found if keys else found.drop("all_rows")
+def _replicate_rows(preds: DataFrame, keys: list[str], name: Column) -> DataFrame:
+    called = F.col("y_pred").cast("int") if "y_pred" in preds.columns else F.lit(None).cast("int")
+    return preds.select(*keys, F.col("y_prob").cast("double").alias("score"), F.col("y_true").cast("int").alias("truth"), called.alias("called"), name.alias("id"))
 
 
 def cluster_draws(clusters: DataFrame, cluster: str, replicates: int, seed: int = 42) -> DataFrame:
@@ -146,47 +76,18 @@ def cluster_draws(clusters: DataFrame, cluster: str, replicates: int, seed: int
     return counts.join(numbered, "no").select("rep", cluster, "w")
 
 
-def _auc_pair_sums(counts: DataFrame, model: str, cluster: str, names: list) -> DataFrame:
-    """Per model and ordered cluster pair: positives of one that outscore
-    negatives of the other, ties as one half, and both class sizes."""
-    side = lambda c, i: F.sum(F.when(F.col(cluster) == names[i], F.col(c)).otherwise(0)).alias(f"{c}_{i}")
-    ids = range(len(names))
-    wide = counts.groupBy(model, "y_prob").agg(*[side("pos", i) for i in ids], *[side("neg", i) for i in ids])
-    from occgraph.operators.ranking import running_totals
-
-    run = running_totals(wide, [model], "y_prob", [f"neg_{i}" for i in ids])
-    cells = [
-        F.struct(F.lit(names[i]).alias("a"), F.lit(names[j]).alias("b"),
-                 F.sum(F.col(f"pos_{i}").cast("double") * (F.col(f"neg_{j}_below") + F.col(f"neg_{j}") / 2)).alias("wins"),
-                 F.sum(f"pos_{i}").alias("n_pos"), F.sum(f"neg_{j}").alias("n_neg"))
-        for i in ids for j in ids
-    ]
-    return run.groupBy(model).agg(F.array(*cells).alias("cells")).select(model, F.explode("cells").alias("c")).select(model, "c.*")
-
-
-def cluster_replicates(preds: DataFrame, draws: DataFrame, metric: str, model: str = "model", cluster: str = "region") -> DataFrame:
-    """``(model, rep, <metric>)`` with whole clusters resampled."""
-    if metric in ("roc_auc", "pr_auc"):
-        counts = materialize(score_counts(preds, [model, cluster]))
-        names = [r[0] for r in draws.select(cluster).distinct().orderBy(cluster).limit(PAIRWISE_CLUSTERS + 1).collect()]
-        if metric == "roc_auc" and len(names) <= PAIRWISE_CLUSTERS:
-            pairs = _auc_pair_sums(counts, model, cluster, names)
-            one = draws.select("rep", F.col(cluster).alias("a"), F.col("w").alias("wa"))
-            two = draws.select("rep", F.col(cluster).alias("b"), F.col("w").alias("wb"))
-            both = pairs.join(one, "a").join(two, ["rep", "b"]).withColumn("ww", F.col("wa") * F.col("wb"))
-            # the pair denominators sum to (weighted positives) x (weighted negatives)
-            return both.groupBy(model, "rep").agg(F.try_divide(
-                F.sum(F.col("ww") * F.col("wins")), F.sum(F.col("ww").cast("double") * F.col("n_pos") * F.col("n_neg"))).alias(metric))
-        weighted = counts.join(draws, cluster).groupBy(model, "rep", "y_prob").agg(
-            F.sum(F.col("w") * F.col("pos")).alias("pos"), F.sum(F.col("w") * F.col("neg")).alias("neg"))
-        return rank_metrics_from_counts(weighted, [model, "rep"], counts).select(model, "rep", metric)
-    return _weighted_metric(preds.join(draws, cluster), [model, "rep"], metric, None)
+def cluster_replicates(preds: DataFrame, draws: DataFrame, metric: str, replicates: int, model: str = "model", cluster: str = "region") -> DataFrame:
+    """``(model, rep, <metric>)`` with whole clusters resampled, for any number of clusters."""
+    rows = _replicate_rows(preds, [model], F.col(cluster))
+    equal = materialize(rows.groupBy(*rows.columns).agg(F.count("*").alias("n")).filter("id IS NOT NULL"))
+    parts = [replicate_values(equal, [model], metric, n, weights, first) for first, n, weights in cluster_blocks(draws, cluster, replicates)]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def cluster_bootstrap(preds: DataFrame, metric: str, replicates: int, *, model: str = "model", cluster: str = "region", seed: int = 42, min_valid: int = MIN_VALID) -> DataFrame:
     """Point and interval per model; no interval with too few valid replicates."""
     draws = materialize(cluster_draws(preds, cluster, replicates, seed))
-    values = cluster_replicates(preds, draws, metric, model, cluster)
+    values = cluster_replicates(preds, draws, metric, replicates, model, cluster)
     point = point_metric(preds, [model], metric).withColumnRenamed(metric, "point")
     sizes = preds.groupBy(model).agg(F.count("*").alias("n_pred"), F.count_distinct(cluster).alias("n_clusters"))
     return point.join(_interval(values, [model], metric, min_valid), model).join(sizes, model)
@@ -196,7 +97,7 @@ def paired_cluster_difference(preds: DataFrame, a: str, b: str, metric: str, rep
     """Interval of metric(a) - metric(b) on the same draws."""
     pair = preds.filter(F.col(model).isin(a, b))
     draws = materialize(cluster_draws(preds, cluster, replicates, seed))
-    values = materialize(cluster_replicates(pair, draws, metric, model, cluster))
+    values = materialize(cluster_replicates(pair, draws, metric, replicates, model, cluster))
     side = lambda df, m, n, *k: df.filter(F.col(model) == m).select(*k, F.col(metric).alias(n))
     diffs = side(values, a, "va", "rep").join(side(values, b, "vb", "rep"), "rep").withColumn("diff", F.col("va") - F.col("vb"))
     points = point_metric(pair, [model], metric)

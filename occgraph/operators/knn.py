@@ -136,7 +136,6 @@ def _blocks(df: DataFrame, id_col: str, keep: int, leaf: int, group: list[str])
     order = [*group, "code", "lat", "lon"]
     located = _spots(df, id_col, keep, group).withColumns(unit_xyz(F.col("lat"), F.col("lon"))).withColumn(
         "code", morton_code(F.col("x"), F.col("y"), F.col("z"))).withColumn("n_ids", F.size("ids").cast("long"))
-    located = materialize(located)  # drawing the ranges reads it a first time
     kinds = [T.StructField(c, located.schema[c].dataType) for c in group]
     schema = T.StructType([
         *kinds, T.StructField("code", T.LongType()), T.StructField("depth", T.IntegerType()), T.StructField("n_ids", T.LongType()),
@@ -186,7 +185,7 @@ def _prune(joined: DataFrame, query: list[str], need: int, reach: float | None)
 
 
 def block_pairs(q_blocks: DataFrame, p_blocks: DataFrame, group: list[str], need: int, reach: float | None) -> DataFrame:
-    """``(*group, q, s, p, near, p_n_ids)``: pool blocks that may hold one of the ``need`` nearest of a query's places.
+    """``(*group, q, s, p, near, p_n_ids)``, written once: pool blocks that may hold one of the ``need`` nearest of a query's places.
 
     ``s`` is -1 for a whole query block. One at the edge of a dense area meets
     much of it, though each of its places needs little: such a block is taken
@@ -203,13 +202,16 @@ def block_pairs(q_blocks: DataFrame, p_blocks: DataFrame, group: list[str], need
             joined = known.join(p_cells, [*group, "p_above"]).join(q_cells, [*group, "q_above"])
         pairs, above = _prune(joined, [*group, "q"], need, reach), depth
     pairs = materialize(pairs)
-    heavy = pairs.groupBy("q").agg(F.sum("p_n_ids").alias("candidates")).filter(F.col("candidates") > HEAVY).select("q")
+    whole = F.lit(-1).cast("long").alias("s")
+    heavy = materialize(pairs.groupBy("q").agg(F.sum("p_n_ids").alias("candidates")).filter(F.col("candidates") > HEAVY).select("q"))
+    if heavy.isEmpty():
+        return pairs.select("*", whole)
     places = q_blocks.withColumnRenamed("block", "q").join(heavy, "q").select("q", F.posexplode(F.arrays_zip("lat", "lon")).alias("s", "at"))
     located = places.withColumns(unit_xyz(F.col("at.lat"), F.col("at.lon")))
     points = located.select("q", F.col("s").cast("long").alias("s"), *[F.col(a).alias(f"q_{n}{a}") for a in _AXES for n in ("lo_", "hi_")])
     boxes = p_blocks.select(F.col("block").alias("p"), *[F.col(c).alias(f"p_{c}") for c in _BOX])
     single = _prune(pairs.drop("near").join(points, "q").join(boxes, "p"), [*group, "q", "s"], need, reach)
-    return pairs.join(heavy, "q", "left_anti").withColumn("s", F.lit(-1).cast("long")).unionByName(single)
+    return materialize(pairs.join(heavy, "q", "left_anti").select("*", whole).unionByName(single))
 
 
 def _xyz(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
@@ -352,7 +354,6 @@ def knn_join(
     """
     q_rows, q_blocks, p_blocks, group, need = _sides(queries, pool, k, query_id, pool_id, lat, lon, by, exclude_self)
     pairs = block_pairs(q_blocks, p_blocks, group, need, None if within_km is None else chord_of_km(within_km) + SLACK)
-    pairs = materialize(pairs)
     none = F.lit(None).cast("array<array<bigint>>").alias("ids")
     own = q_blocks.select(*group, F.col("block").alias("q"), "lat", "lon")
     queries_met = pairs.select("q", "s").distinct().join(own, "q")

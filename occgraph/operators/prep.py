@@ -9,12 +9,16 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass, field
 
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from occgraph.functions.hashing import hash_order
 from occgraph.operators.ranking import medians
+from occgraph.operators.splits import hash_rank
 from occgraph.operators.table import require_coordinates
+from occgraph.session import materialize
 
 UNKNOWN = "Unknown"
 NUMERIC = ("byte", "short", "int", "bigint", "smallint", "tinyint", "float", "double")
@@ -52,7 +56,7 @@ def fit_categories(fit_rows: DataFrame, column: str, limit: int = MAX_CATEGORIES
     """Sorted values seen in the fit rows plus ``Unknown``; size-checked."""
     found = fit_rows.select(F.coalesce(F.col(column), F.lit(UNKNOWN)).alias("v")).distinct().limit(limit + 1).collect()
     if len(found) > limit:
-        raise ValueError(f"{column} has more than {limit} categories: not a categorical feature")
+        raise ValueError(f"{column} has more than {limit} categories: use SparsePrep")
     return sorted({r["v"] for r in found} | {UNKNOWN})
 
 
@@ -130,6 +134,63 @@ class FeaturePrep:
         return cls(**state)
 
 
+# --- wide categories --------------------------------------------------------------
+
+def category_index(fit_rows: DataFrame, columns: list[str]) -> DataFrame:
+    """``column``, ``value``, ``place`` (0, 1, ... in hash order), ``n_values``: the values of text columns seen in the fit rows, and ``Unknown``.
+
+    A table of any size; nulls count as ``Unknown``.
+    """
+    seen = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.coalesce(F.col(c), F.lit(UNKNOWN)).alias("value")) for c in columns]))
+    unknown = fit_rows.sparkSession.createDataFrame([(c, UNKNOWN) for c in columns], "column string, value string")
+    values = fit_rows.select(seen.alias("x")).select("x.*").unionByName(unknown).distinct()
+    ranked = hash_rank(values, ["column"], hash_order(F.col("column"), F.col("value")), tie="value")
+    return ranked.select("column", "value", (F.col("place") - 1).alias("place"), F.col("place_n").alias("n_values"))
+
+
+def with_places(df: DataFrame, index: DataFrame, columns: list[str], suffix: str = "_place") -> DataFrame:
+    """``df`` with each text column's place in the index; an unseen value has that of ``Unknown``.
+
+    One join a column, broadcast by the planner while the index is small.
+    """
+    unknown = {r["column"]: r["place"] for r in index.filter(F.col("value") == UNKNOWN).collect()}  # a row a column
+    out = df
+    for c in columns:
+        mine = index.filter(F.col("column") == c).select(F.col("value").alias("seen_value"), F.col("place").alias(c + suffix))
+        out = out.join(mine, F.coalesce(F.col(c), F.lit(UNKNOWN)) == F.col("seen_value"), "left").drop("seen_value").fillna({c + suffix: unknown[c]})
+    return out
+
+
+class SparsePrep:
+    """Numbers (median for nulls) and one-hot categories of any number, as sparse vectors.
+
+    What ``FeaturePrep`` does with dense columns for a few thousand categories;
+    here the categories stay a table that is joined, nothing is listed in the
+    plan, and a row holds its own few places.
+    """
+
+    def __init__(self, numbers: list[str], categories: list[str]):
+        self.numbers, self.categories = numbers, categories
+
+    def fit(self, fit_rows: DataFrame, owner: str | None = None) -> SparsePrep:
+        self.medians = medians(fit_rows, self.numbers) if self.numbers else {}
+        self.index = materialize(category_index(fit_rows, self.categories), owner)
+        sizes = {r["column"]: r["n"] for r in self.index.groupBy("column").agg(F.max("n_values").alias("n")).collect()}
+        places = [f"{c}_place" for c in self.categories]
+        last = fit_rows.sparkSession.createDataFrame([tuple(float(sizes[c] - 1) for c in self.categories)], ", ".join(f"`{p}` double" for p in places))
+        self.encoder = OneHotEncoder(inputCols=places, outputCols=[f"{c}_hot" for c in self.categories], dropLast=False).fit(last)
+        self.width = len(self.numbers) + sum(sizes.values())
+        return self
+
+    def transform(self, df: DataFrame, keep: list[str], output: str = "features") -> DataFrame:
+        """``keep`` and the vector: the numbers in order, then each category column by its places."""
+        numbers = [F.coalesce(F.col(c).cast("double"), F.lit(float(self.medians[c] or 0.0))).alias(f"{c}_number") for c in self.numbers]
+        placed = with_places(df.select(*keep, *self.categories, *numbers), self.index, self.categories)
+        hot = self.encoder.transform(placed.withColumns({f"{c}_place": F.col(f"{c}_place").cast("double") for c in self.categories}))
+        parts = [f"{c}_number" for c in self.numbers] + [f"{c}_hot" for c in self.categories]
+        return VectorAssembler(inputCols=parts, outputCol=output).transform(hot).select(*keep, output)
+
+
 def candidate_columns(columns: list[str], *, coordinates: bool = True, minerals: bool = True, lithology: bool = True, places: bool = True) -> list[str]:
     """Feature names left after excluding whole families."""
     out = list(columns)

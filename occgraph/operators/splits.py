@@ -8,16 +8,16 @@ no fold, however large, is sorted in one task.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from occgraph.functions.geo import unit_xyz
 from occgraph.functions.hashing import hash_order
+from occgraph.operators.clusters import grouped_kmeans
 from occgraph.operators.knn import knn_graph_pairs, knn_join
 from occgraph.operators.ranking import grouped_quantiles, join_on_keys
 from occgraph.session import materialize, small_values
@@ -56,27 +56,62 @@ def leave_one_region_out(df: DataFrame, seeds: list[int], val_ratio: float = 0.2
     Rows without a region are never tested. Val is the first
     ``int(n * val_ratio)`` of the other rows in hash order.
     """
-    cases = F.array(*[F.struct(F.lit(r).alias("fold"), F.lit(s).alias("seed")) for r in small_values(df, region) for s in seeds])
-    rows = df.select("row_id", F.col(region).alias("home"), F.explode(cases).alias("c")).select("row_id", "home", "c.*")
-    return _fold_roles(rows, F.col("home").eqNullSafe(F.col("fold")), val_ratio)
+    folds = df.select(F.col(region).alias("fold")).dropna().distinct()
+    rows = df.select("row_id", F.col(region).alias("home"))
+    return fold_roles(rows, fold_cutoffs(rows, folds, seeds, _at_home, val_ratio), _at_home)
 
 
-def leave_one_group_out(df: DataFrame, flags: list[str], seeds: list[int], val_ratio: float = 0.2) -> DataFrame:
-    """Folds over overlapping 0/1 flags: test rows carry the flag, the pool is its
-    complement, so a row with several flags never returns through another one."""
-    cases = F.array(*[
-        F.struct(F.lit(f).alias("fold"), F.lit(s).alias("seed"), (F.col(f) == 1).alias("held")) for f in flags for s in seeds
-    ])
-    rows = df.select("row_id", F.explode(cases).alias("c")).select("row_id", "c.*")
-    return _fold_roles(rows, F.col("held"), val_ratio)
+def _at_home(fold: Column) -> Column:
+    return F.col("home").eqNullSafe(fold)
 
 
-def _fold_roles(rows: DataFrame, held: Column, val_ratio: float) -> DataFrame:
-    tested = rows.filter(held).select("seed", "fold", "row_id", F.lit("test").alias("role"))
-    pool = rows.filter(~held).select("seed", "fold", "row_id")
-    ranked = hash_rank(pool, ["seed", "fold"], hash_order(F.col("seed"), F.col("fold"), F.col("row_id")))
-    role = F.when(F.col("place") <= F.floor(F.col("place_n") * F.lit(val_ratio)), "val").otherwise("train")
-    return ranked.select("seed", "fold", "row_id", role.alias("role")).unionByName(tested)
+def leave_one_group_out(df: DataFrame, flags: list[str], seeds: list[int], val_ratio: float = 0.2) -> DataFrame:
+    """Folds over overlapping 0/1 flags: test rows carry the flag, the pool is its
+    complement, so a row with several flags never returns through another one.
+    Rows without a value for a flag take no part in its fold."""
+    held = lambda fold: F.element_at("carries", fold)
+    carries = F.create_map(*[x for f in flags for x in (F.lit(f), F.col(f) == 1)])
+    rows = df.select("row_id", carries.alias("carries"))
+    folds = df.sparkSession.createDataFrame([(f,) for f in flags], "fold string")
+    return fold_roles(rows, fold_cutoffs(rows, folds, seeds, held, val_ratio), held)
+
+
+def fold_cutoffs(rows: DataFrame, folds: DataFrame, seeds: list[int], held: Callable[[Column], Column], val_ratio: float = 0.2) -> DataFrame:
+    """Where the val rows of each fold end in hash order: ``seed``, ``fold``, ``cut_key``, ``cut_row``, ``n_pool``, ``n_val``.
+
+    ``held(fold)`` says whether a row is the fold's test row, as an expression
+    over ``rows``. One row a case comes out; no row is written or shuffled once a
+    fold. Pool rows are counted by slices of the hash, as partial sums; only the
+    slice that holds a cut, a 4096th of a pool, is ranked.
+    """
+    cases = folds.select("fold").withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
+    # a row a fold and seed: the small side, streamed over by the rows
+    pool = rows.crossJoin(F.broadcast(cases)).filter(~held(F.col("fold"))).select("row_id", "seed", "fold", hash_order(F.col("seed"), F.col("fold"), F.col("row_id")).alias("key"))
+    sliced = pool.withColumn("slice", F.conv(F.substring("key", 1, 3), 16, 10).cast("int"))
+    sizes = sliced.groupBy("seed", "fold", "slice").agg(F.count("*").alias("n"))
+    case = W.partitionBy("seed", "fold")
+    summed = sizes.select("seed", "fold", "slice", "n", F.sum("n").over(case).alias("n_pool"), F.sum("n").over(case.orderBy("slice")).alias("upto")).withColumn(
+        "n_val", F.floor(F.col("n_pool") * F.lit(val_ratio)))
+    cut = (F.col("upto") >= F.col("n_val")) & (F.col("upto") - F.col("n") < F.col("n_val"))
+    at = materialize(summed.filter(cut | (F.col("n_val") == 0)).groupBy("seed", "fold").agg(
+        F.min("slice").alias("slice"), F.min_by(F.col("n_val") - F.col("upto") + F.col("n"), "slice").alias("nth"), F.first("n_pool").alias("n_pool"), F.first("n_val").alias("n_val")))
+    last = sliced.join(F.broadcast(at.filter("n_val > 0")), ["seed", "fold", "slice"]).withColumn(
+        "place", F.row_number().over(W.partitionBy("seed", "fold").orderBy("key", "row_id"))).filter(F.col("place") == F.col("nth"))
+    known = cases.join(at.select("seed", "fold", "n_pool", "n_val"), ["seed", "fold"], "left").fillna(0, ["n_pool", "n_val"])
+    return materialize(known.join(last.select("seed", "fold", F.col("key").alias("cut_key"), F.col("row_id").alias("cut_row")), ["seed", "fold"], "left"))
+
+
+def fold_roles(rows: DataFrame, cutoffs: DataFrame, held: Callable[[Column], Column]) -> DataFrame:
+    """``(seed, fold, row_id, role)``: an expression over rows and cut-offs.
+
+    A filter on seed and fold reaches the cut-offs, so that one fold's roles
+    cost one pass over the rows.
+    """
+    key = hash_order(F.col("seed"), F.col("fold"), F.col("row_id"))
+    first = (key < F.col("cut_key")) | ((key == F.col("cut_key")) & (F.col("row_id") <= F.col("cut_row")))
+    role = F.when(held(F.col("fold")), "test").when(F.coalesce(first, F.lit(False)), "val").otherwise("train")
+    joined = rows.crossJoin(F.broadcast(cutoffs)).filter(held(F.col("fold")).isNotNull())  # a row a fold and seed on the small side
+    return joined.select("seed", "fold", "row_id", role.alias("role"))
 
 
 def fold_overlaps(splits: DataFrame) -> DataFrame:
@@ -112,27 +147,19 @@ def default_block_count(test_ratio: float) -> int:
 
 
 def spatial_blocks(df: DataFrame, n_blocks: int, seed: int, starts: int = 10) -> DataFrame:
-    """K-means labels on the unit sphere, the best of several starts by cost."""
-    located = df.withColumns(unit_xyz(F.col("lat"), F.col("lon")))
-    vectors = VectorAssembler(inputCols=["x", "y", "z"], outputCol="point").transform(located.select("row_id", "x", "y", "z"))
-    vectors = materialize(vectors.select("row_id", "point"))
-    size = vectors.count()
-    k = int(min(max(n_blocks, 2), size))
-    if size <= k:
-        return hash_rank(vectors.select("row_id"), [], F.md5(F.col("row_id").cast("string"))).select("row_id", (F.col("place") - 1).cast("int").alias("block")) if size else vectors.select("row_id", F.lit(0).alias("block"))
-    models = [KMeans(k=k, seed=seed + i, featuresCol="point", predictionCol="block", maxIter=30).fit(vectors) for i in range(starts)]
-    best = min(models, key=lambda m: m.summary.trainingCost)
-    return best.transform(vectors).select("row_id", "block")
+    """``(row_id, block)``: K-means labels on the unit sphere, the best of several starts by cost."""
+    return _blocks_by(df, F.lit("all"), n_blocks, seed, starts).select("row_id", "block")
 
 
 def regional_blocks(df: DataFrame, n_blocks: int, seed: int, region: str = "region", starts: int = 10) -> DataFrame:
-    """``(seed, region, row_id, block)`` with blocks cut inside every region."""
-    parts = [
-        spatial_blocks(df.filter(F.col(region) == r), n_blocks, seed, starts).select(
-            F.lit(seed).alias("seed"), F.lit(r).alias("region"), "row_id", "block")
-        for r in small_values(df, region)
-    ]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    """``(seed, region, row_id, block)`` with blocks cut inside every region, all regions and starts in the same jobs."""
+    return _blocks_by(df, F.col(region), n_blocks, seed, starts).select(F.lit(seed).alias("seed"), F.col("grp").alias("region"), "row_id", "block")
+
+
+def _blocks_by(df: DataFrame, group: Column, n_blocks: int, seed: int, starts: int) -> DataFrame:
+    located = df.withColumns(unit_xyz(F.col("lat"), F.col("lon")))
+    points = located.select("row_id", group.cast("string").alias("grp"), F.array("x", "y", "z").alias("x"))
+    return grouped_kmeans(points, max(n_blocks, 2), seed, starts)[0].withColumnRenamed("cell", "block")
 
 
 def hold_out_blocks(blocks: DataFrame, test_ratio: float = 0.15) -> DataFrame:

@@ -7,6 +7,7 @@ once, each as if it were alone.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -72,7 +73,37 @@ def _own_columns(cfg: SweepConfig, selected: list[str]) -> list[str]:
     return names
 
 
-def fit_fold(data: DataFrame, cfg: SweepConfig) -> FittedFold:
+@dataclass
+class PreparedFold:
+    """What a fold's conditions share as long as they differ in the graph or the classifier only."""
+
+    prep: FeaturePrep
+    selected: list[str]
+    scorers: list
+    nodes: DataFrame
+    pairs: DataFrame
+
+
+@dataclass
+class FoldGraph:
+    """A prepared fold's weighted graph, and its nodes with the statistics of their edges."""
+
+    prepared: PreparedFold
+    graph: G.Graph
+    stored: DataFrame
+
+
+def preparation_of(cfg: SweepConfig) -> tuple:
+    """Conditions with equal values share a fold's preparation."""
+    return cfg.k, cfg.top_features, cfg.n_folds, cfg.use_score, cfg.drop_coordinates, cfg.without, cfg.seed, cfg.factory, cfg.selector
+
+
+def graph_of(cfg: SweepConfig) -> tuple:
+    """Conditions with equal values share a fold's graph, and what is attached to it."""
+    return *preparation_of(cfg), cfg.strategy, cfg.alpha, cfg.max_km, cfg.unify_edge_rule, cfg.k_predict
+
+
+def prepare_fold(data: DataFrame, cfg: SweepConfig) -> PreparedFold:
     """``data``: records with ``role`` train or val (test rows are ignored)."""
     data = materialize(data.filter("role <> 'test'"))
     prep = FeaturePrep(drop_coordinates=cfg.drop_coordinates, without=cfg.without).fit(data.filter("role = 'train'"))
@@ -87,11 +118,25 @@ def fit_fold(data: DataFrame, cfg: SweepConfig) -> FittedFold:
     if scores is not None:
         nodes = nodes.join(scores.select("row_id", "score"), "row_id")
     nodes = materialize(nodes)
-    pairs = materialize(knn_graph_pairs(nodes, cfg.k))
-    graph = G.build_weighted_graph(nodes, cfg.k, strategy=cfg.strategy, alpha=cfg.alpha, max_km=cfg.max_km, fit_role="train", unify_edge_rule=cfg.unify_edge_rule, pairs=pairs)
-    graph = G.Graph(nodes, materialize(graph.edges), graph.sigma)
-    stored = materialize(G.edge_stats(nodes, graph.edges))
-    own = _own_columns(cfg, selected)
+    return PreparedFold(prep, selected, scorers, nodes, materialize(knn_graph_pairs(nodes, cfg.k)))
+
+
+def fold_graph(prepared: PreparedFold, cfg: SweepConfig) -> FoldGraph:
+    graph = G.build_weighted_graph(
+        prepared.nodes, cfg.k, strategy=cfg.strategy, alpha=cfg.alpha, max_km=cfg.max_km, fit_role="train", unify_edge_rule=cfg.unify_edge_rule, pairs=prepared.pairs)
+    graph = G.Graph(prepared.nodes, materialize(graph.edges), graph.sigma)
+    return FoldGraph(prepared, graph, materialize(G.edge_stats(prepared.nodes, graph.edges)))
+
+
+def fit_fold(data: DataFrame, cfg: SweepConfig) -> FittedFold:
+    """Prepare, link, propagate and tune on the train and val rows of ``data``."""
+    return fit_graph(fold_graph(prepare_fold(data, cfg), cfg), cfg)
+
+
+def fit_graph(linked: FoldGraph, cfg: SweepConfig) -> FittedFold:
+    """The fold's classifier over its propagated features, tuned on its val rows."""
+    prepared, graph, stored = linked.prepared, linked.graph, linked.stored
+    own = _own_columns(cfg, prepared.selected)
     inputs = list(own)
     table = stored
     if cfg.propagation != "none":
@@ -101,7 +146,7 @@ def fit_fold(data: DataFrame, cfg: SweepConfig) -> FittedFold:
         inputs += [f"h1_{c}" for c in own] + [f"h2_{c}" for c in own]
     assembled = materialize(M.assemble(table.withColumn("label", F.col("label").cast("double")), inputs, ["row_id", "role", "label"]))
     _, classifier, trials = M.grid_search(assembled, cfg.grid, _classifier)
-    return FittedFold(prep, selected, scorers, graph, stored, inputs, classifier, cfg, trials)
+    return FittedFold(prepared.prep, prepared.selected, prepared.scorers, graph, stored, inputs, classifier, cfg, trials)
 
 
 def _selected(prep: FeaturePrep, data: DataFrame, selected: list[str], names: list[str], keep: list[str]) -> DataFrame:
@@ -113,42 +158,83 @@ def _selected(prep: FeaturePrep, data: DataFrame, selected: list[str], names: li
     return wide.select("row_id", *keep, *picked, F.array(*[F.element_at("v", place[c] + 1) for c in similar]).alias("geo"))
 
 
-def score_held_out(fold: FittedFold, records: DataFrame) -> DataFrame:
-    """``(row_id, y_prob, y_pred)`` of records attached to the stored graph."""
-    cfg = fold.config
-    names = fold.prep.names()
-    arrivals = _selected(fold.prep, records, fold.selected, names, ["lat", "lon"])
+@dataclass
+class Arrivals:
+    """Held-out records attached to a fold's graph, with their edges' statistics."""
+
+    attached: DataFrame
+    table: DataFrame
+
+
+def attach_arrivals(linked: FoldGraph, records: DataFrame, cfg: SweepConfig) -> Arrivals:
+    prepared = linked.prepared
+    arrivals = _selected(prepared.prep, records, prepared.selected, prepared.prep.names(), ["lat", "lon"])
     if cfg.use_score:
-        scored = M.ensemble_score(fold.scorers, fold.prep.transform(records))
+        scored = M.ensemble_score(prepared.scorers, prepared.prep.transform(records))
         arrivals = arrivals.join(scored.select("row_id", "score"), "row_id")
     arrivals = materialize(arrivals)
-    attached = materialize(G.attach_held_out(arrivals, fold.stored, fold.graph.sigma, k=cfg.k_predict, max_km=cfg.max_km, strategy=cfg.strategy, alpha=cfg.alpha))
-    own = _own_columns(cfg, fold.selected)
-    table = materialize(G.attached_stats(arrivals, attached))
+    attached = materialize(G.attach_held_out(arrivals, linked.stored, linked.graph.sigma, k=cfg.k_predict, max_km=cfg.max_km, strategy=cfg.strategy, alpha=cfg.alpha))
+    return Arrivals(attached, materialize(G.attached_stats(arrivals, attached)))
+
+
+def score_arrivals(fold: FittedFold, arrivals: Arrivals) -> DataFrame:
+    """``(row_id, y_prob, y_pred)`` of attached records."""
+    cfg, table = fold.config, arrivals.table
     if cfg.propagation != "none":
-        table = table.join(G.propagate_held_out(table, fold.stored, fold.graph.edges, attached, own, cfg.propagation), "row_id")
+        own = _own_columns(cfg, fold.selected)
+        table = table.join(G.propagate_held_out(table, fold.stored, fold.graph.edges, arrivals.attached, own, cfg.propagation), "row_id")
     assembled = M.assemble(table, fold.inputs, ["row_id"])
     return M.predict(fold.classifier, assembled, "y_prob").select("row_id", "y_prob", (F.col("y_prob") >= 0.5).cast("int").alias("y_pred"))
 
 
+def score_held_out(fold: FittedFold, records: DataFrame) -> DataFrame:
+    """``(row_id, y_prob, y_pred)`` of records attached to the stored graph."""
+    linked = FoldGraph(PreparedFold(fold.prep, fold.selected, fold.scorers, fold.graph.nodes, None), fold.graph, fold.stored)
+    return score_arrivals(fold, attach_arrivals(linked, records, fold.config))
+
+
+def run_conditions(data: DataFrame, conditions: dict[str, SweepConfig]) -> Iterator[tuple[str, DataFrame]]:
+    """Held-out predictions of one fold by condition: ``(row_id, y_true, y_prob, y_pred)``.
+
+    What conditions have in common is made once: the preparation with its
+    scores and neighbours, the graph, and what is attached to it.
+    """
+    test = data.filter("role = 'test'")
+    truth = test.select("row_id", F.col("label").cast("int").alias("y_true"))
+    prepared: dict[tuple, PreparedFold] = {}
+    linked: dict[tuple, tuple[FoldGraph, Arrivals]] = {}
+    for name, cfg in conditions.items():
+        if preparation_of(cfg) not in prepared:
+            prepared[preparation_of(cfg)] = prepare_fold(data, cfg)
+        if graph_of(cfg) not in linked:
+            graph = fold_graph(prepared[preparation_of(cfg)], cfg)
+            linked[graph_of(cfg)] = graph, attach_arrivals(graph, test, cfg)
+        graph, arrivals = linked[graph_of(cfg)]
+        yield name, score_arrivals(fit_graph(graph, cfg), arrivals).join(truth, "row_id")
+
+
 def run_fold(data: DataFrame, cfg: SweepConfig) -> DataFrame:
     """Held-out predictions of one fold: ``(row_id, y_true, y_prob, y_pred)``."""
-    fold = fit_fold(data, cfg)
-    test = data.filter("role = 'test'")
-    return score_held_out(fold, test).join(test.select("row_id", F.col("label").cast("int").alias("y_true")), "row_id")
+    return next(run_conditions(data, {"": cfg}))[1]
 
 
 def run_sweep(records: DataFrame, splits: DataFrame, cases: list[tuple[int, str]], cfg: SweepConfig, model: str = "graph", exp: str = "loro") -> DataFrame:
-    """Predictions over ``(seed, fold)`` cases in the long prediction layout.
+    """Predictions over ``(seed, fold)`` cases in the long prediction layout."""
+    return sweep_conditions(records, splits, cases, {"": cfg}, model, exp).drop("condition")
+
+
+def sweep_conditions(records: DataFrame, splits: DataFrame, cases: list[tuple[int, str]], conditions: dict[str, SweepConfig], model: str = "graph", exp: str = "loro") -> DataFrame:
+    """The same cases under several configurations, with a ``condition`` column.
 
     The list of cases is small; the work of each case is distributed. A case's
     copies are deleted when its predictions are written.
     """
-    parts = []
+    spark, parts = records.sparkSession, []
     for seed, fold in cases:
         roles = splits.filter((F.col("seed") == seed) & (F.col("fold") == fold)).select("row_id", "role")
-        with owned_copies(records.sparkSession, "fold"):
-            predicted = materialize(run_fold(materialize(records.join(roles, "row_id")), cfg), "predictions")
-        parts.append(predicted.select(
-            F.lit(exp).alias("exp"), F.lit(model).alias("model"), F.lit(seed).alias("seed"), F.lit(fold).alias("region"), "row_id", "y_true", "y_prob", "y_pred"))
+        with owned_copies(spark, "fold"):
+            for name, predicted in run_conditions(materialize(records.join(roles, "row_id")), conditions):
+                parts.append(materialize(predicted, "predictions").select(
+                    F.lit(exp).alias("exp"), F.lit(model).alias("model"), F.lit(seed).alias("seed"), F.lit(fold).alias("region"), "row_id", "y_true", "y_prob", "y_pred",
+                    F.lit(name).alias("condition")))
     return reduce(lambda a, b: a.unionByName(b), parts)

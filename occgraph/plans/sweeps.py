@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import replace
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +11,7 @@ from occgraph.operators.infer import adoption
 from occgraph.operators.knn import knn_graph_pairs
 from occgraph.operators.metrics import all_metrics, metric_rows
 from occgraph.operators.resultsets import condition_differences
-from occgraph.plans.region_sweep import SweepConfig, run_sweep
+from occgraph.plans.region_sweep import SweepConfig, sweep_conditions
 
 
 def k_sweep(nodes: DataFrame, ks: list[int], max_km: float | None = 2000.0) -> DataFrame:
@@ -41,9 +40,8 @@ def ablations(cfg: SweepConfig) -> dict[str, SweepConfig]:
 
 
 def condition_sweep(records: DataFrame, splits: DataFrame, cases: list[tuple[int, str]], conditions: dict[str, SweepConfig]) -> DataFrame:
-    """The same folds under several configurations, with a ``condition`` column."""
-    parts = [run_sweep(records, splits, cases, cfg).withColumn("condition", F.lit(name)) for name, cfg in conditions.items()]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    """The same folds under several configurations, with a ``condition`` column; what they share is made once a fold."""
+    return sweep_conditions(records, splits, cases, conditions)
 
 
 def condition_metrics(preds: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,17 +63,20 @@ def clear_materialized(spark: SparkSession, owner: str | None = None) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-_OWNERS: list[str] = []
+#: The owner of copies made without one, by thread: a stream's batches have their own.
+_OWNER: ContextVar[str | None] = ContextVar("owner", default=None)
 
 
 @contextmanager
 def owned_copies(spark: SparkSession, name: str) -> Iterator[None]:
     """Copies made inside without an owner of their own are deleted at the end."""
-    _OWNERS.append(f"{name}-{uuid.uuid4().hex}")
+    owner = f"{name}-{uuid.uuid4().hex}"
+    before = _OWNER.set(owner)
     try:
         yield
     finally:
-        clear_materialized(spark, _OWNERS.pop())
+        _OWNER.reset(before)
+        clear_materialized(spark, owner)
 
 
 def materialize(df: DataFrame, owner: str | None = None) -> DataFrame:
@@ -84,7 +88,7 @@ def materialize(df: DataFrame, owner: str | None = None) -> DataFrame:
     ``owner`` names the copies that ``clear_materialized`` deletes together.
     """
     spark = df.sparkSession
-    path = f"{_own_folder(spark, owner or (_OWNERS[-1] if _OWNERS else None))}/{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark, owner or _OWNER.get())}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

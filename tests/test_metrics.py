@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from occgraph.functions.stats import t_two_sided
 from occgraph.operators import infer as I
+from occgraph.operators import replicates as R
 from occgraph.operators import metrics as M
 from occgraph.operators.ranking import average_ranks, grouped_quantiles
 
@@ -79,16 +80,48 @@ def test_quantiles_and_ranks_with_a_hot_key(scored):
     assert np.allclose(ranks.sort_index(), pdf.groupby("k").y_prob.rank().to_numpy())
 
 
-def test_cluster_replicates_agree_between_both_ways(scored, monkeypatch):
-    _, df = scored
-    preds = df.withColumnRenamed("k", "region").withColumn("model", F.lit("m"))
-    draws = I.materialize(I.cluster_draws(preds, "region", 40))
-    assert draws.groupBy("rep").agg(F.sum("w").alias("w")).filter("w <> 4").isEmpty()
-    pairwise = {r.rep: r.roc_auc for r in I.cluster_replicates(preds, draws, "roc_auc").collect()}
-    monkeypatch.setattr(I, "PAIRWISE_CLUSTERS", 1)
-    general = {r.rep: r.roc_auc for r in I.cluster_replicates(preds, draws, "roc_auc").collect()}
-    assert pairwise.keys() == general.keys()
-    assert all(pairwise[r] == pytest.approx(general[r], abs=1e-12) for r in pairwise)
+def plain_metric(metric, score, truth, called, w):
+    """One replicate by loops over the distinct scores."""
+    if metric == "brier":
+        return (w * (score - truth) ** 2).sum() / w.sum() if w.sum() else None
+    if metric == "f1":
+        tp, wrong = w[(truth == 1) & (called == 1)].sum(), w[truth != called].sum()
+        return 2 * tp / (2 * tp + wrong) if tp + wrong else 0.0
+    pos, neg = w * truth, w * (1 - truth)
+    if not pos.sum() or not neg.sum():
+        return None
+    if metric == "roc_auc":
+        return sum(p * (neg[score < s].sum() + neg[score == s].sum() / 2) for p, s in zip(pos, score)) / pos.sum() / neg.sum()
+    return sum(pos[score == s].sum() * pos[score >= s].sum() / w[score >= s].sum() for s in np.unique(score) if w[score >= s].sum()) / pos.sum()
+
+
+@pytest.mark.parametrize("metric", I.METRIC_NAMES)
+def test_replicates_equal_loops(spark, monkeypatch, metric):
+    """A third of the scores are equal; clusters of unlike sizes, more of them than are held at a time; a key with one class."""
+    monkeypatch.setattr(R, "CELLS", 100)
+    r = np.random.default_rng(3)
+    n = 400
+    score = np.where(r.uniform(size=n) < 0.35, 0.5, np.round(r.uniform(size=n), 2))
+    truth, region = (r.uniform(size=n) < score).astype(int), np.minimum(r.geometric(0.2, n), 19)
+    model = np.array(["m", "n", "one"])[np.minimum(np.arange(n) // 180, 2)]
+    truth[model == "one"] = 1
+    rows = [(i, str(model[i]), f"r{region[i]}", float(score[i]), int(truth[i]), int(score[i] >= 0.5)) for i in range(n)]
+    preds = spark.createDataFrame(rows, "row_id long, model string, region string, y_prob double, y_true int, y_pred int").repartition(6)
+    draws = I.materialize(I.cluster_draws(preds, "region", 15))
+    drawn = {(x["rep"], x["region"]): x["w"] for x in draws.collect()}
+    got = {(x["model"], x["rep"]): x[metric] for x in I.cluster_replicates(preds, draws, metric, 15).collect()}
+    assert len(got) == 45
+    own = {k: model == k for k in ("m", "n", "one")}
+    for (k, rep), value in got.items():
+        w = np.array([drawn.get((rep, f"r{c}"), 0) for c in region], float)[own[k]]
+        want = plain_metric(metric, score[own[k]], truth[own[k]], (score >= 0.5).astype(int)[own[k]], w)
+        assert value is None if want is None else value == pytest.approx(want, abs=1e-12)
+    named = I._replicate_rows(preds, ["model"], F.col("row_id").cast("string")).withColumn("n", F.lit(1))
+    weights = R.row_draws([str(i) for i in range(n)], 42, 9)
+    for x in R.replicate_values(named, ["model"], metric, 9, lambda ids: R.row_draws(ids, 42, 9)).collect():
+        mine = own[x["model"]]
+        want = plain_metric(metric, score[mine], truth[mine], (score >= 0.5).astype(int)[mine], weights[mine, x["rep"]].astype(float))
+        assert x[metric] is None if want is None else x[metric] == pytest.approx(want, abs=1e-12)
 
 
 def test_interval_holds_the_point(scored):

@@ -158,7 +158,7 @@ def test_out_of_fold_score_ignores_own_label(spark, sf):
 
 
 def test_stream_equals_batch(spark, sf):
-    from occgraph.streaming.attach import score_stream
+    from occgraph.streaming.attach import scored_rows, score_stream
 
     n = materialize(roles(spark, sf).join(feats(spark, sf), "row_id"))
     tv, test = n.filter("role <> 'test'"), n.filter("role = 'test'").select("row_id", "lat", "lon", "geo")
@@ -167,7 +167,33 @@ def test_stream_equals_batch(spark, sf):
     test.repartition(4).write.parquet(f"{base}/in")
     score_stream(spark, f"{base}/in", test.schema, score, f"{base}/out", f"{base}/state", max_files=1).awaitTermination()
     rows = lambda d: sorted((r.src, r.dst, round(r.weight, 9)) for r in d.select("src", "dst", "weight").collect())
-    assert rows(spark.read.parquet(f"{base}/out")) == rows(score(test))
+    assert rows(scored_rows(spark, f"{base}/out")) == rows(score(test))
+
+
+def test_replayed_batches_are_there_once(spark):
+    """A batch that died while writing, one that ran again after it was whole, one that came in between."""
+    from occgraph.streaming import attach
+
+    sink = f"{shared_dir(spark)}/test/{uuid.uuid4().hex}"
+    rows = spark.createDataFrame([(i, i % 3) for i in range(30)], "row_id long, part long")
+    assert attach.scored_rows(spark, sink, rows.schema).count() == 0
+    rows.write.parquet(f"{sink}/data/halfway")  # no entry: it belongs to no batch
+    left = []
+
+    def score(batch):
+        copy = materialize(batch)
+        left.append(copy.inputFiles()[0])
+        return copy
+
+    for number in (0, 1, 1, 2, 0):
+        attach.write_batch(score, rows.filter(F.col("part") == number), number, sink)
+    assert sorted(r["row_id"] for r in attach.scored_rows(spark, sink).collect()) == list(range(30))
+    assert sorted(attach.journal(spark, sink)) == [0, 1, 2]
+    folders = {f.split("/data/")[1].split("/")[0] for f in spark.read.parquet(f"{sink}/data/*").inputFiles()}
+    assert len(folders - {"halfway"}) == 3
+    for path in left:
+        files, where = attach._files(spark, path)
+        assert not files.exists(where)
 
 
 def test_row_guards(spark):

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["spatial", "text", "splits", "eval", "models"]
+MODULES = ["spatial", "text", "splits", "eval", "models", "fits"]
 
 
 def load() -> None:

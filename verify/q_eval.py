@@ -13,8 +13,8 @@ from occgraph.operators import metrics as M
 from occgraph.operators import resultsets as RS
 from occgraph.operators.ranking import grouped_quantiles
 from occgraph.operators.table import label_not_null
-from occgraph.session import shared_dir
-from occgraph.sources import io, runs
+from occgraph.session import materialize, shared_dir
+from occgraph.sources import io, json_leaves, runs
 from verify.registry import query
 from verify.views import DOCS, FLAGS, OCC, PREDS, SEEDS, SITE_ATTRS, SITES, docs, knn_sql, occ, preds, site_attrs, sites, u_sql, with_sql
 
@@ -181,15 +181,47 @@ _POIS = "+".join(f"(u >= {c!r}::DOUBLE)::INT" for c in __import__("itertools").a
     __import__("itertools").accumulate(range(1, 12), lambda t, n: t / n, initial=0.36787944117144233)))
 
 
-@query(with_sql([PREDS, f"""bw AS (SELECT * FROM (SELECT *, {_POIS} AS w FROM (SELECT * EXCLUDE (h, j, k), 4*k+j AS rep, ('0x'||substr(h,(1+8*j)::INT,8))::BIGINT/4294967296.0 AS u FROM
-     (SELECT *, md5('boot|42|'||k||'|'||model||'|'||seed||'|'||row_id) AS h FROM preds, range(250) b(k)), range(4) s(j))) WHERE w > 0)""",
-   auc_sql("rep_auc", "model, rep", "bw", "w"), auc_sql("point", "model")],
+_ROW_DRAWS = f"""bw AS (SELECT * FROM (SELECT *, {_POIS} AS w FROM (SELECT * EXCLUDE (h, j, k), 4*k+j AS rep, ('0x'||substr(h,(1+8*j)::INT,8))::BIGINT/4294967296.0 AS u FROM
+     (SELECT *, md5('boot|42|'||k||'|'||model||'|'||seed||'|'||row_id) AS h FROM preds, range(250) b(k)), range(4) s(j))) WHERE w > 0)"""
+
+
+@query(with_sql([PREDS, _ROW_DRAWS, auc_sql("rep_auc", "model, rep", "bw", "w"), auc_sql("point", "model")],
   """SELECT model, round(point.roc_auc,6) AS point, round(quantile_cont(r.roc_auc, 0.025),6) AS ci_lower, round(quantile_cont(r.roc_auc, 0.975),6) AS ci_upper, count(r.roc_auc) AS n_valid
      FROM rep_auc r JOIN point USING (model) GROUP BY model, point.roc_auc"""))
 def row_bootstrap_auc(spark, sf):
     return rd(I.row_bootstrap(preds(spark, sf), ["model"], "roc_auc", 1000, ["model", "seed", "row_id"]))
 
 
+@query(with_sql([PREDS, _ROW_DRAWS, auc_sql("rep_auc", "model, rep", "bw", "w"), auc_sql("point", "model")],
+  """SELECT model, round(point.pr_auc,6) AS point, round(quantile_cont(r.pr_auc, 0.025),6) AS ci_lower, round(quantile_cont(r.pr_auc, 0.975),6) AS ci_upper, count(r.pr_auc) AS n_valid
+     FROM rep_auc r JOIN point USING (model) GROUP BY model, point.pr_auc"""))
+def row_bootstrap_average_precision(spark, sf):
+    return rd(I.row_bootstrap(preds(spark, sf), ["model"], "pr_auc", 1000, ["model", "seed", "row_id"]))
+
+
+def _sums_sql(name, keys, source, w):
+    return f"""{name} AS (SELECT {keys}, sum({w}*pow(y_prob-y_true,2))/sum({w}) AS brier,
+      coalesce(2.0::DOUBLE*sum({w}*y_true*y_pred)/nullif(2*sum({w}*y_true*y_pred)+sum({w}*(y_true<>y_pred)::INT),0),0) AS f1 FROM {source} GROUP BY {keys})"""
+
+
+def _interval_sql(metric):
+    return f"""SELECT model, round(point.{metric},6) AS point, round(quantile_cont(r.{metric}, 0.025),6) AS ci_lower, round(quantile_cont(r.{metric}, 0.975),6) AS ci_upper,
+      count(r.{metric}) AS n_valid{{more}} FROM reps r JOIN point USING (model) {{join}} GROUP BY model, point.{metric}{{more}}"""
+
+
+_SIZES = "JOIN (SELECT model, count(*) AS n_pred, count(DISTINCT region) AS n_clusters FROM preds GROUP BY 1) USING (model)"
+
+
+@query(with_sql([PREDS, _ROW_DRAWS, _sums_sql("reps", "model, rep", "bw", "w"), _sums_sql("point", "model", "preds", "1")], _interval_sql("brier").format(more="", join="")))
+def row_bootstrap_brier(spark, sf):
+    return rd(I.row_bootstrap(preds(spark, sf), ["model"], "brier", 1000, ["model", "seed", "row_id"]))
+
+
+@query(with_sql([PREDS, _ROW_DRAWS, _sums_sql("reps", "model, rep", "bw", "w"), _sums_sql("point", "model", "preds", "1")], _interval_sql("f1").format(more="", join="")))
+def row_bootstrap_f1(spark, sf):
+    return rd(I.row_bootstrap(preds(spark, sf), ["model"], "f1", 1000, ["model", "seed", "row_id"]))
+
+
 def _draws(reps):
     return [f"reg AS (SELECT region, row_number() OVER (ORDER BY region)-1 AS no FROM (SELECT DISTINCT region FROM preds))",
             f"""dr AS (SELECT rep, reg.region, count(*) AS w FROM (SELECT rep, floor({u_sql("'draw'", '42', 'rep', 'slot')}*5)::INT AS no FROM range({reps}) r(rep), range(5) s(slot)) d JOIN reg USING (no) GROUP BY 1,2)""",
@@ -212,6 +244,16 @@ def cluster_bootstrap_average_precision(spark, sf):
     return rd(I.cluster_bootstrap(preds(spark, sf), "pr_auc", 2000))
 
 
+@query(with_sql([PREDS, *_draws(2000)[:3], _sums_sql("reps", "model, rep", "bw", "w"), _sums_sql("point", "model", "preds", "1")], _interval_sql("brier").format(more=", n_pred, n_clusters", join=_SIZES)))
+def cluster_bootstrap_brier(spark, sf):
+    return rd(I.cluster_bootstrap(preds(spark, sf), "brier", 2000))
+
+
+@query(with_sql([PREDS, *_draws(2000)[:3], _sums_sql("reps", "model, rep", "bw", "w"), _sums_sql("point", "model", "preds", "1")], _interval_sql("f1").format(more=", n_pred, n_clusters", join=_SIZES)))
+def cluster_bootstrap_f1(spark, sf):
+    return rd(I.cluster_bootstrap(preds(spark, sf), "f1", 2000))
+
+
 @query(with_sql([PREDS, *_draws(2000), "d AS (SELECT a.roc_auc-b.roc_auc AS diff FROM rep_auc a JOIN rep_auc b ON a.rep=b.rep WHERE a.model='m1' AND b.model='m2')",
    "e AS (SELECT quantile_cont(diff,0.025) AS lo, quantile_cont(diff,0.975) AS hi, count(diff) AS n FROM d)"],
   """SELECT 'm1' AS model_a, 'm2' AS model_b, round(a.roc_auc,6) AS point_a, round(b.roc_auc,6) AS point_b, round(a.roc_auc-b.roc_auc,6) AS diff, round(lo,6) AS ci_lower, round(hi,6) AS ci_upper,
@@ -407,6 +449,36 @@ def flatten_runs_per_model(spark, sf):
     return _flat(spark, sf, "per_model")
 
 
+def _files(spark, docs_, keys):
+    """Each document as a file of its own, read in splits."""
+    path = f"{shared_dir(spark)}/documents/{uuid.uuid4().hex}"
+    docs_.select(*keys, "doc").repartition(*keys).write.partitionBy(*keys).text(path)
+    return json_leaves.json_leaves(spark, f"{path}/*")
+
+
+def _large(spark, sf, layout):
+    p = preds(spark, sf).withColumn("shard", F.expr("row_id div 200"))
+    leaves = _files(spark, runs.nest_predictions(p, layout, ["shard"]), ["shard"])
+    shard = F.regexp_extract("file", "shard=([0-9]+)", 1).cast("long").alias("shard")
+    return json_leaves.predictions_of(materialize(leaves), layout).select(shard, "seed", "region", "model", "y_true", "y_prob")
+
+
+@query(_FLAT)
+def large_documents_per_region(spark, sf):
+    """Run documents as files that are read in byte ranges, no document as one string."""
+    return _large(spark, sf, "per_region")
+
+
+@query(_FLAT)
+def large_documents_model_first(spark, sf):
+    return _large(spark, sf, "model_first")
+
+
+@query(_FLAT)
+def large_documents_per_model(spark, sf):
+    return _large(spark, sf, "per_model")
+
+
 @query(with_sql(_MET, "SELECT seed, region, model, metric, round(value,6) AS value FROM ml WHERE value IS NOT NULL"))
 def flatten_metric_documents(spark, sf):
     m = metric_rows(spark, sf)

@@ -24,7 +24,7 @@ from occgraph.plans.region_sweep import SweepConfig, fit_fold, run_sweep, score_
 from occgraph.plans.sweeps import compare_conditions, condition_metrics, condition_sweep
 from occgraph.session import materialize, shared_dir
 from occgraph.sources import io
-from occgraph.streaming.attach import score_stream
+from occgraph.streaming.attach import score_stream, scored_rows
 from verify.q_eval import rd
 from verify.q_spatial import _ATTACH, graph_sql, nodes
 from verify.registry import query
@@ -271,8 +271,12 @@ def documentation_probe_matched(spark, sf):
 
 # --- sweeps, control graphs, stream ----------------------------------------
 
+def _one_forest(seed):
+    return [_forest(seed)]
+
+
 def _config(**more):
-    return SweepConfig(factory=lambda s: [_forest(s)], selector=lambda s: _forest(s), n_folds=2, top_features=5, grid=[{"regParam": 0.01}, {"regParam": 0.1}], **more)
+    return SweepConfig(factory=_one_forest, selector=_forest, n_folds=2, top_features=5, grid=[{"regParam": 0.01}, {"regParam": 0.1}], **more)
 
 
 _REGIONS = [(42, r) for r in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")]
@@ -349,7 +353,7 @@ def stream_attach(spark, sf):
     score = lambda batch: G.attach_held_out(batch, tv, sigma, k=10, max_km=200.0)
     run = score_stream(spark, f"{base}/in", test.schema, score, f"{base}/out", f"{base}/state", max_files=2)
     run.awaitTermination()
-    return spark.read.parquet(f"{base}/out").select("src", "dst", F.round("weight", 6).alias("weight"))
+    return scored_rows(spark, f"{base}/out").select("src", "dst", F.round("weight", 6).alias("weight"))
 
 
 @query()
@@ -362,7 +366,7 @@ def stream_score(spark, sf):
     test.repartition(2).write.parquet(f"{base}/in")
     run = score_stream(spark, f"{base}/in", test.schema, lambda b: score_held_out(fold, b), f"{base}/out", f"{base}/state")
     run.awaitTermination()
-    return spark.read.parquet(f"{base}/out").select("row_id", "y_prob", "y_pred")
+    return scored_rows(spark, f"{base}/out").select("row_id", "y_prob", "y_pred")
 
 
 # --- whole pipeline, sinks and sources --------------------------------------
