@@ -48,7 +48,6 @@ import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from occgraph.llm.common import free_name, pieces
 from occgraph.session import clear_materialized, materialize
@@ -415,10 +414,14 @@ def repeated_spans(docs: DataFrame, size: int = MIN_BYTES, owner: str = "suffixe
 def without_repeats(docs: DataFrame, text: str = "text", size: int = MIN_BYTES, into: str = "repeats", owner: str = "suffixes") -> DataFrame:
     """All columns of ``docs`` (but one called ``into``) and ``into``: the spans of bytes that go (start times 2^32 plus end, in order; null for none)."""
     docs = docs.drop(into)
+    return _with_spans(docs, text, repeated_spans(docs.select(F.col(text).alias("text")), size, owner), into)
+
+
+def _with_spans(docs: DataFrame, text: str, spans: DataFrame, into: str) -> DataFrame:
     h1, h2 = free_name(docs, "text_hash_1"), free_name(docs, "text_hash_2")
-    spans = repeated_spans(docs.select(F.col(text).alias("text")), size, owner).select(F.col("t1").alias(h1), F.col("t2").alias(h2), F.col("spans").alias(into))
+    found = spans.select(F.col("t1").alias(h1), F.col("t2").alias(h2), F.col("spans").alias(into))
     keyed = docs.withColumns({h1: F.xxhash64(F.col(text)), h2: F.xxhash64(F.lit(1), F.col(text))})
-    return keyed.join(spans, [h1, h2], "left").select(*docs.columns, into)
+    return keyed.join(found, [h1, h2], "left").select(*docs.columns, into)
 
 
 def kept_bytes(text: bytes, spans: list[int] | None) -> bytes:
@@ -462,33 +465,22 @@ def cut_text(text: str = "text", repeats: str = "repeats") -> Column:
 _CODE = 8
 
 
-def _word_codes(keep: int, with_codes: bool):
-    """Of rows with a text as their last column: the first ``keep`` columns, two hashes of the text's words, and the words' hashes, 8 bytes each."""
+def _word_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts (``t1``, ``t2``, ``text``) as the hashes of their words, 8 bytes each."""
     digest = xxhash.xxh3_64_digest
-
-    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start, run in pieces(batch.column(keep)):
-                codes = [b"".join(map(digest, text.split())) for text in run]
-                hashes = [pa.array([_signed(h(c)) for c in codes], pa.int64()) for h in (xxhash.xxh64_intdigest, xxhash.xxh3_64_intdigest)]
-                kept = [c.slice(start, len(run)) for c in batch.columns[:keep]]
-                yield pa.RecordBatch.from_arrays([*kept, *hashes, *([pa.array(codes, pa.binary())] if with_codes else [])], [str(i) for i in range(keep + 2 + with_codes)])
-
-    return mapped
+    for batch in batches:
+        for start, run in pieces(batch.column(2)):
+            codes = pa.array([b"".join(map(digest, text.split())) for text in run], pa.binary())
+            yield pa.RecordBatch.from_arrays([*[c.slice(start, len(run)) for c in batch.columns[:2]], codes], ["t1", "t2", "text"])
 
 
 def words_without_repeats(docs: DataFrame, text: str = "text", words: int = MIN_WORDS, into: str = "repeats", owner: str = "suffixes") -> DataFrame:
     """Like ``without_repeats``, by windows of words: the spans are numbers of words (start times 2^32 plus end, in order; null for none)."""
-    docs = docs.drop(into)
-    coded = docs.select(text).mapInArrow(_word_codes(0, True), "t1 long, t2 long, text binary")
-    spans = repeated_spans(coded, words * _CODE, owner)
+    coded = _rows_by_text(docs.select(F.col(text).alias("text"))).mapInArrow(_word_codes, "t1 long, t2 long, text binary")
+    whole = lambda s: F.shiftleft(F.ceil(F.shiftright(s, 32) / _CODE).cast("long"), 32).bitwiseOR(F.floor(s.bitwiseAND(F.lit(0xFFFFFFFF)) / _CODE).cast("long"))
     # a part of a word's hash may be shared by chance: only whole words count
-    inner = F.transform("spans", lambda s: F.shiftleft(F.ceil(F.shiftright(s, 32) / _CODE).cast("long"), 32).bitwiseOR(F.floor(s.bitwiseAND(F.lit(0xFFFFFFFF)) / _CODE).cast("long")))
-    h1, h2 = free_name(docs, "text_hash_1"), free_name(docs, "text_hash_2")
-    keys = T.StructType([*docs.schema.fields, T.StructField(h1, T.LongType()), T.StructField(h2, T.LongType())])
-    keyed = docs.select("*", F.col(text).alias(free_name(docs, "words_of"))).mapInArrow(_word_codes(len(docs.columns), False), keys)
-    found = spans.select(F.col("t1").alias(h1), F.col("t2").alias(h2), inner.alias(into))
-    return keyed.join(found, [h1, h2], "left").select(*docs.columns, into)
+    spans = repeated_spans(coded, words * _CODE, owner).withColumn("spans", F.transform("spans", whole))
+    return _with_spans(docs.drop(into), text, spans, into)
 
 
 def kept_words(text: bytes, spans: list[int] | None) -> bytes:
