@@ -23,6 +23,7 @@ COLUMNS = {
     3: "doc_id start length ids_crc32 doc_tokens sequence_id offset", 4: "doc_id held_out n_tokens n_known train_tokens base_score score",
     5: "page_id url text n_chars", 6: "doc_id n_bytes n_removed n_spans kept_sha256", 7: "query_id rank vec_id score",
     8: "doc_id fingerprint component_id", 9: "doc_id expected", 10: "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
+    11: "conv_id depth parent_conv_id n_convs n_children n_leaves saved_tokens ends_sha256", 12: "page_id host path rule verdict", 13: "lang rank phrase a l r n score",
 }
 
 
