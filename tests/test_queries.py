@@ -14,6 +14,7 @@ QUICK = [
     "knn_join_k5", "knn_graph_degree_by_region", "incoming_edge_stats", "loro_splits", "greedy_block_holdout", "rule_cascade",
     "multilabel_flags", "list_scrub", "roc_auc_grouped", "average_precision_grouped", "reliability_bins", "cluster_bootstrap_auc",
     "flatten_runs_per_region", "shard_coverage", "median_impute", "variogram_fit", "entropy_by_region", "majority_vote",
+    "region_logistic_fits", "boosted_stump", "wide_category_places", "row_bootstrap_brier", "large_documents_per_region", "regional_kmeans_blocks",
 ]
 NAMES = list(points.oracle_sql()) if os.environ.get("ORACLE") == "all" else QUICK
 
