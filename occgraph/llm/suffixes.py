@@ -39,7 +39,7 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -88,7 +88,7 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def _unit_rows(size: int):
+def _unit_rows(size: int, code: Callable[[bytes], bytes]):
     digest = xxhash.xxh3_64_intdigest
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,7 +96,7 @@ def _unit_rows(size: int):
             for start, run in pieces(batch.column(2)):
                 own: list[tuple] = []
                 counts = []
-                for text in run:
+                for text in map(code, run):
                     anchors, first, last = units(text, size)
                     counts.append(len(anchors))
                     own += [(_signed(digest(text[a : a + size - WINDOW + 1])), _signed(digest(text[lo : hi + size])), lo, hi - lo + 1, WINDOW - (a - lo))
@@ -133,7 +133,7 @@ def _rows_by_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), F.col("text")).alias("t2"), "text")
 
 
-def _texts_of(docs: DataFrame, classes: DataFrame, size: int, owner: str) -> DataFrame:
+def _texts_of(docs: DataFrame, classes: DataFrame, size: int, owner: str, code: Callable[[bytes], bytes]) -> DataFrame:
     """``entry``, ``mult``, ``n``, ``dense`` and the bytes of each class: all of its unit, or its first window if not dense."""
     wanted = classes.groupBy("t1", "t2").agg(F.collect_list(F.struct("entry", "mult", "lo", "n", "shift", "dense")).alias("units"))
     found = docs.join(wanted, ["t1", "t2"]).dropDuplicates(["t1", "t2"]).select("text", "units")
@@ -142,7 +142,7 @@ def _texts_of(docs: DataFrame, classes: DataFrame, size: int, owner: str) -> Dat
         for batch in batches:
             for start, run in pieces(batch.column(0)):
                 rows = [(u["entry"], u["mult"], u["n"], u["shift"], u["dense"], text[u["lo"] : u["lo"] + size - 1 + (u["n"] if u["dense"] else 1)])
-                        for text, own in zip(run, batch.column(1).slice(start, len(run)).to_pylist(), strict=True) for u in own]
+                        for text, own in zip(map(code, run), batch.column(1).slice(start, len(run)).to_pylist(), strict=True) for u in own]
                 yield _batch(rows, [("entry", pa.int64()), ("mult", pa.int64()), ("n", pa.int32()), ("shift", pa.int16()), ("dense", pa.bool_()), ("bytes", pa.binary())])
 
     return materialize(found.mapInArrow(mapped, "entry long, mult long, n int, shift short, dense boolean, bytes binary"), owner)
@@ -374,17 +374,17 @@ def _end() -> Column:
     return F.col("code").bitwiseAND(F.lit(0xFFFFFFFF))
 
 
-def repeated_spans(docs: DataFrame, size: int = MIN_BYTES, owner: str = "suffixes") -> DataFrame:
+def repeated_spans(docs: DataFrame, size: int = MIN_BYTES, owner: str = "suffixes", code: Callable[[bytes], bytes] = bytes) -> DataFrame:
     """``t1``, ``t2`` (hashes of a text) and ``spans`` of the bytes that repeat, for every text that has any.
 
-    ``docs`` has a column ``text``, and ``t1`` and ``t2`` if they are known.
+    ``docs`` has one column, ``text``. With ``code`` the bytes are those that it makes of a text.
     """
-    texts = docs.select("t1", "t2", "text") if "t1" in docs.columns else _rows_by_text(docs)
-    all_units = materialize(texts.mapInArrow(_unit_rows(size), "t1 long, t2 long, core long, content long, lo int, n int, shift short").withColumn(
+    texts = _rows_by_text(docs)
+    all_units = materialize(texts.mapInArrow(_unit_rows(size, code), "t1 long, t2 long, core long, content long, lo int, n int, shift short").withColumn(
         "mult", F.lit(1).cast("long")), f"{owner}_units")
     members, classes = _classes(all_units, ["t1", "t2", "lo", "n", "shift"], owner)
     clear_materialized(docs.sparkSession, f"{owner}_units")  # most of them are nowhere else; the others are in members
-    found = _texts_of(texts, classes, size, owner)
+    found = _texts_of(texts, classes, size, owner, code)
     dense = found.filter("dense").select("entry", "n", "shift", "bytes", "mult")
     fine_rows = materialize(dense.mapInArrow(_fine_rows(size), "unit long, at int, n int, mult long, core long, content long"), owner)
     fine_members, fine = _classes(fine_rows, ["unit", "at", "n"], owner)
@@ -465,21 +465,16 @@ def cut_text(text: str = "text", repeats: str = "repeats") -> Column:
 _CODE = 8
 
 
-def _word_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts (``t1``, ``t2``, ``text``) as the hashes of their words, 8 bytes each."""
-    digest = xxhash.xxh3_64_digest
-    for batch in batches:
-        for start, run in pieces(batch.column(2)):
-            codes = pa.array([b"".join(map(digest, text.split())) for text in run], pa.binary())
-            yield pa.RecordBatch.from_arrays([*[c.slice(start, len(run)) for c in batch.columns[:2]], codes], ["t1", "t2", "text"])
+def word_codes(text: bytes) -> bytes:
+    """The hashes of a text's words, 8 bytes each."""
+    return b"".join(map(xxhash.xxh3_64_digest, text.split()))
 
 
 def words_without_repeats(docs: DataFrame, text: str = "text", words: int = MIN_WORDS, into: str = "repeats", owner: str = "suffixes") -> DataFrame:
     """Like ``without_repeats``, by windows of words: the spans are numbers of words (start times 2^32 plus end, in order; null for none)."""
-    coded = _rows_by_text(docs.select(F.col(text).alias("text"))).mapInArrow(_word_codes, "t1 long, t2 long, text binary")
     whole = lambda s: F.shiftleft(F.ceil(F.shiftright(s, 32) / _CODE).cast("long"), 32).bitwiseOR(F.floor(s.bitwiseAND(F.lit(0xFFFFFFFF)) / _CODE).cast("long"))
     # a part of a word's hash may be shared by chance: only whole words count
-    spans = repeated_spans(coded, words * _CODE, owner).withColumn("spans", F.transform("spans", whole))
+    spans = repeated_spans(docs.select(F.col(text).alias("text")), words * _CODE, owner, word_codes).withColumn("spans", F.transform("spans", whole))
     return _with_spans(docs.drop(into), text, spans, into)
 
 
