@@ -10,38 +10,60 @@ times the negatives of the ranges below. Average precision takes a second one,
 since the precision at a score depends on all that is above: the ranges' sums are
 added from the top, and each range starts from what is above it.
 
-Scores that a third of all rows share are added up as a stream; a task holds a
-few arrays, never a range's rows. Sums of a key meet in ``SALTS`` parts first.
+Rows are dealt anew before their draws are made, ``RANGE_ROWS`` to a task as far
+as ``RANGES`` tasks go, since the draws cost far more than reading does. Runs of
+at least ``TIES`` rows with one score and truth are added up first, in ``SALTS``
+parts: however many rows share a score, they are drawn once, by several tasks. A
+task holds a few arrays, never a range's rows.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from occgraph.functions.hashing import POISSON_STEPS
+from occgraph.functions.hashing import md5_words, poisson_weights
 from occgraph.operators.ranking import RANGES, with_range
 from occgraph.session import materialize
 
 SALTS = 32
 RANGE_ROWS = 5000
+TIES = 256  # rows whose ids and keys are about as long as an array of weights
 CELLS = 8_000_000  # weights of all clusters that travel with a task
+HASHES = 16384  # made together: their words stay in a core's cache
 #: ids -> one row of weights an id
 Weights = Callable[[list], np.ndarray]
 
 
 def row_draws(ids: list[str], seed: int, replicates: int) -> np.ndarray:
-    """Poisson(1) weights, a row an id: four draws from each MD5 of ``boot|seed|block|id``, by inversion."""
-    blocks = -(-replicates // 4)
-    digests = b"".join([hashlib.md5(f"boot|{seed}|{k}|{i}".encode()).digest() for i in ids for k in range(blocks)])
-    u = np.frombuffer(digests, ">u4").reshape(len(ids), 4 * blocks)[:, :replicates] / 4294967296.0
-    return np.searchsorted(POISSON_STEPS, u, side="right")
+    """Poisson(1) weights, a row an id: four draws from each MD5 of ``boot|seed|block|id``, by inversion.
+
+    Hashes of equally long texts are made together, about ``HASHES`` at a time.
+    """
+    prefixes = [f"boot|{seed}|{k}|".encode() for k in range(-(-replicates // 4))]
+    texts: dict[int, list[tuple[int, bytes]]] = {}
+    for i, name in enumerate(ids):
+        text = name.encode()
+        texts.setdefault(len(text), []).append((i, text))
+    weights = np.empty((len(ids), len(prefixes), 4), np.uint8)
+    for same in texts.values():
+        for at in range(0, len(same), HASHES):
+            rows, names = zip(*same[at : at + HASHES])
+            step = max(1, HASHES // len(rows))
+            for _, heads in groupby(range(len(prefixes)), lambda k: len(prefixes[k])):
+                heads = list(heads)
+                for first in range(0, len(heads), step):
+                    part = heads[first : first + step]
+                    drawn = poisson_weights(md5_words([prefixes[k] for k in part], list(names)))
+                    weights[np.array(rows), part[0] : part[-1] + 1] = drawn.transpose(1, 0, 2)
+    return weights.reshape(len(ids), -1)[:, :replicates]
 
 
 def cluster_blocks(draws: DataFrame, cluster: str, replicates: int) -> Iterator[tuple[int, int, Weights]]:
@@ -68,6 +90,10 @@ def _keyed(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
     return (rows, keys) if keys else (rows.withColumn("all_rows", F.lit(0)), ["all_rows"])
 
 
+def _tasks(n_rows: int) -> int:
+    return max(1, min(RANGES, n_rows // RANGE_ROWS))
+
+
 def _added(by: list[str], sums: list[str], first: list[str]):
     """Arrays of a group added up."""
     def add(rows: pd.DataFrame) -> pd.DataFrame:
@@ -108,7 +134,7 @@ def _plain_sums(rows: DataFrame, by: list[str], metric: str, n: int, weights: We
                 for i, key in enumerate(keys):
                     mine = numbers == i
                     key = key if isinstance(key, tuple) else (key,)
-                    held[key] = held.get(key, 0) + t[:, mine] @ w[mine]
+                    held[key] = held.get(key, 0) + np.einsum("tr,rn->tn", t[:, mine], w[mine].astype(float))  # no threads beside the other tasks'
             if len(held) * 3 * n > CELLS:
                 yield written()
         if held:
@@ -116,7 +142,8 @@ def _plain_sums(rows: DataFrame, by: list[str], metric: str, n: int, weights: We
 
     kinds = _kinds(rows, by)
     arrays = [f"{c} array<double>" for c in sums]
-    parts = rows.mapInPandas(summed, ", ".join([*kinds, "salt int", *arrays]))
+    dealt = rows.repartition(_tasks(rows.count()), *by, "id", "score", "truth", "called")
+    parts = dealt.mapInPandas(summed, ", ".join([*kinds, "salt int", *arrays]))
     salted = parts.groupBy(*by, "salt").applyInPandas(_added(by, sums, ["salt"]), ", ".join([*kinds, "salt int", *arrays]))
     whole = salted.groupBy(*by).applyInPandas(_added(by, sums, []), ", ".join([*kinds, *arrays]))
     at = lambda c, i: F.element_at(c, i + 1)
@@ -127,6 +154,38 @@ def _plain_sums(rows: DataFrame, by: list[str], metric: str, n: int, weights: We
     return whole.select(*by, value.alias("value"))
 
 
+def _ties_added(ranged: DataFrame, by: list[str], n: int, weights: Weights, tasks: int) -> DataFrame:
+    """``ranged`` with ``added``: runs of rows that share a score and a truth become one row without an id, holding their weights' sums."""
+    schema = ranged.withColumn("added", F.lit(None).cast("array<double>")).schema
+    salted = ranged.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    order = [*by, "value_range", "salt"]
+    sorted_rows = salted.repartition(tasks, *order).sortWithinPartitions(*order, "score", "truth").drop("salt")
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same = batch.select([*by, "value_range", "score", "truth"]).to_pandas()
+            starts = np.flatnonzero((same != same.shift()).any(axis=1).to_numpy())
+            sizes = np.diff([*starts, len(same)])
+            long = sizes >= TIES
+            ids, times = batch.column("id"), batch.column("n").to_numpy(zero_copy_only=False).astype(float)
+            sums = np.zeros((int(long.sum()), n))
+            for total, start, size in zip(sums, starts[long], sizes[long]):
+                for at in range(start, start + size, TIES):
+                    part = slice(at, min(at + TIES, start + size))
+                    total += (times[part][:, None] * weights(ids[part].to_pylist())).sum(axis=0)
+            kept = batch.filter(pa.array(np.repeat(~long, sizes)))
+            yield kept.append_column("added", pa.nulls(len(kept), pa.list_(pa.float64())))
+            if len(sums):
+                one = batch.take(pa.array(starts[long]))
+                one = one.set_column(one.schema.get_field_index("id"), one.schema.field("id").with_nullable(True), pa.nulls(len(one), ids.type))
+                values = pa.ListArray.from_arrays(np.arange(0, sums.size + 1, n, dtype=np.int32), pa.array(sums.ravel()))
+                yield one.append_column("added", values)
+
+    for field in schema:
+        field.nullable = True
+    return sorted_rows.mapInArrow(add, schema)
+
+
 def _steps(batches: Iterator[pd.DataFrame], by: list[str], n: int, weights: Weights) -> Iterator[tuple]:
     """(key, score, weights of its positives, of its negatives) for each distinct score in order; before a key's first, its ``above`` if there is one."""
     now = p = q = None
@@ -135,10 +194,13 @@ def _steps(batches: Iterator[pd.DataFrame], by: list[str], n: int, weights: Weig
             part = batch.iloc[at : at + 256]
             rows = part["id"].notna().to_numpy()
             w = np.zeros((len(part), n))
+            tied = part["added"].notna().to_numpy()
+            if tied.any():
+                w[tied] = np.stack(part["added"][tied].to_list())
             if rows.any():
                 w[rows] = weights(part["id"][rows].tolist()) * part["n"].to_numpy()[rows][:, None]
             above = part["above"].tolist() if "above" in part else [None] * len(part)
-            for own, score, truth, is_row, start, x in zip(part[[*by, "value_range"]].itertuples(index=False, name=None), part["score"], part["truth"], rows, above, w):
+            for own, score, truth, is_row, start, x in zip(part[[*by, "value_range"]].itertuples(index=False, name=None), part["score"], part["truth"], rows | tied, above, w):
                 if not is_row:
                     if now is not None:
                         yield *now, p, q
@@ -161,10 +223,14 @@ def _ranks(rows: DataFrame, by: list[str], metric: str, n: int, weights: Weights
     """``(*by, value)`` for ROC AUC and average precision."""
     # a range is a task's stretch of work: as many as the rows need, at most those of ``ranking``
     rows = materialize(rows)
-    wide = max(1, RANGES // max(8, rows.count() // RANGE_ROWS))
+    n_rows = rows.count()
+    wide, tasks = max(1, RANGES // max(8, n_rows // RANGE_ROWS)), _tasks(n_rows)
     ranged = with_range(rows, "score").withColumn("value_range", F.expr(f"value_range div {wide}").cast("int"))
+    ranged = _ties_added(ranged, by, n, weights, tasks)
+    if metric != "roc_auc":  # read twice
+        ranged = materialize(ranged)
     kinds = _kinds(ranged, by)
-    ordered = ranged.repartition(*by, "value_range").sortWithinPartitions(*by, "value_range", "score")
+    ordered = ranged.repartition(tasks, *by, "value_range").sortWithinPartitions(*by, "value_range", "score")
     sums = ["tp", "tn", "wins"]
 
     def inside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -202,7 +268,7 @@ def _ranks(rows: DataFrame, by: list[str], metric: str, n: int, weights: Weights
 
     above = ranges.groupBy(*by).applyInPandas(from_top, ", ".join([*kinds, "value_range int", "above array<double>"]))
     both = ranged.withColumn("above", F.lit(None).cast("array<double>")).unionByName(above, allowMissingColumns=True)
-    falling = both.repartition(*by, "value_range").sortWithinPartitions(*by, "value_range", F.col("above").isNull(), F.desc("score"))
+    falling = both.repartition(tasks, *by, "value_range").sortWithinPartitions(*by, "value_range", F.col("above").isNull(), F.desc("score"))
 
     def precise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key = tp = fp = own = value = None

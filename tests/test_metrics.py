@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 
 import numpy as np
@@ -9,6 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from occgraph.functions import hashing as H
 from occgraph.functions.stats import t_two_sided
 from occgraph.operators import infer as I
 from occgraph.operators import replicates as R
@@ -124,6 +126,40 @@ def test_replicates_equal_loops(spark, monkeypatch, metric):
         assert x[metric] is None if want is None else x[metric] == pytest.approx(want, abs=1e-12)
 
 
+def test_draws_are_those_of_md5():
+    """Texts of unlike lengths, some longer than a block of the hash; numbers beside every step."""
+    ids = [f"m{i % 3}|42|{i * i}" for i in range(300)] + ["", "é|ß", *["x" * n for n in range(40, 70)], "y" * 200]
+    words = lambda k, i: np.frombuffer(hashlib.md5(f"boot|7|{k}|{i}".encode()).digest(), ">u4")
+    want = np.array([np.concatenate([words(k, i) for k in range(103)]) for i in ids])[:, :410]
+    assert (R.row_draws(ids, 7, 410) == np.searchsorted(H.POISSON_STEPS, want / 4294967296.0, side="right")).all()
+    beside = np.array([int(x * 2**32) + d for x in H.POISSON_STEPS[:-1] for d in (-1, 0, 1)], np.uint32)
+    assert (H.poisson_weights(beside) == np.searchsorted(H.POISSON_STEPS, beside / 4294967296.0, side="right")).all()
+
+
+@pytest.mark.parametrize("metric", ["roc_auc", "pr_auc"])
+def test_ties_are_drawn_once(spark, monkeypatch, metric):
+    """Runs of equal scores become one row before the ranges are read, and the values stay."""
+    monkeypatch.setattr(R, "TIES", 4)
+    monkeypatch.setattr(R, "SALTS", 2)
+    r = np.random.default_rng(5)
+    score, truth = np.where(r.uniform(size=300) < 0.5, 0.5, np.round(r.uniform(size=300), 2)), r.integers(0, 2, 300)
+    rows = spark.createDataFrame([(0, str(i), float(s), int(t), None, 1, 0) for i, (s, t) in enumerate(zip(score, truth))], "k int, id string, score double, truth int, called int, n int, value_range int")
+    draws = lambda ids: R.row_draws(ids, 42, 9)
+    added = R._ties_added(rows, ["k"], 9, draws, 3).toPandas()
+    assert added["added"].notna().sum() >= 2 and len(added) < 200 and (added["id"].notna() == added["added"].isna()).all()
+    weights = R.row_draws([str(i) for i in range(300)], 42, 9).astype(float)
+    for x in R.replicate_values(rows.drop("value_range"), ["k"], metric, 9, draws).collect():
+        assert x[metric] == pytest.approx(plain_metric(metric, score, truth, None, weights[:, x["rep"]]), abs=1e-12)
+
+
+def test_few_files_are_many_tasks(spark, monkeypatch):
+    """A table of one file is dealt to several tasks before its rows are drawn."""
+    monkeypatch.setattr(R, "RANGE_ROWS", 50)
+    rows = spark.range(400).coalesce(1).selectExpr("0 AS k", "cast(id AS string) AS id", "id / 400 AS score", "cast(id % 2 AS int) AS truth", "1 AS called", "1 AS n")
+    plan = R.replicate_values(rows, ["k"], "brier", 4, lambda ids: R.row_draws(ids, 42, 4))._jdf.queryExecution().toString()
+    assert "REPARTITION_BY_NUM" in plan and ", 8)" in plan
+
+
 def test_interval_holds_the_point(scored):
     _, df = scored
     r = I.row_bootstrap(df, ["k"], "brier", 60, ["row_id"])
