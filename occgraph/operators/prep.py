@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import json
 from dataclasses import asdict, dataclass, field
+from itertools import accumulate
 
 from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -176,19 +178,37 @@ class SparsePrep:
         self.medians = medians(fit_rows, self.numbers) if self.numbers else {}
         self.index = materialize(category_index(fit_rows, self.categories), owner)
         sizes = {r["column"]: r["n"] for r in self.index.groupBy("column").agg(F.max("n_values").alias("n")).collect()}
-        places = [f"{c}_place" for c in self.categories]
-        last = fit_rows.sparkSession.createDataFrame([tuple(float(sizes[c] - 1) for c in self.categories)], ", ".join(f"`{p}` double" for p in places))
-        self.encoder = OneHotEncoder(inputCols=places, outputCols=[f"{c}_hot" for c in self.categories], dropLast=False).fit(last)
-        self.width = len(self.numbers) + sum(sizes.values())
+        ends = list(accumulate([sizes[c] for c in self.categories], initial=len(self.numbers)))
+        self.offsets, self.width = dict(zip(self.categories, ends)), ends[-1]
         return self
 
     def transform(self, df: DataFrame, keep: list[str], output: str = "features") -> DataFrame:
-        """``keep`` and the vector: the numbers in order, then each category column by its places."""
+        """``keep`` and the vector: the numbers in order, then each category column by its places.
+
+        The vectors are made row by row: Spark's encoder and assembler describe
+        every place of the vector on the driver.
+        """
+        width, n_numbers = self.width, len(self.numbers)
+
+        @F.udf(VectorUDT())
+        def sparse(numbers, places):
+            if any(x != x for x in numbers):
+                raise ValueError("NaN among the numbers")
+            return Vectors.sparse(width, [*range(n_numbers), *places], [*numbers, *[1.0] * len(places)])
+
         numbers = [F.coalesce(F.col(c).cast("double"), F.lit(float(self.medians[c] or 0.0))).alias(f"{c}_number") for c in self.numbers]
         placed = with_places(df.select(*keep, *self.categories, *numbers), self.index, self.categories)
-        hot = self.encoder.transform(placed.withColumns({f"{c}_place": F.col(f"{c}_place").cast("double") for c in self.categories}))
-        parts = [f"{c}_number" for c in self.numbers] + [f"{c}_hot" for c in self.categories]
-        return VectorAssembler(inputCols=parts, outputCol=output).transform(hot).select(*keep, output)
+        values = F.array(*[F.col(f"{c}_number") for c in self.numbers]).cast("array<double>")
+        places = F.array(*[F.col(f"{c}_place") + F.lit(self.offsets[c]) for c in self.categories]).cast("array<bigint>")
+        return placed.select(*keep, sparse(values, places).alias(output))
+
+
+def vector_sums(df: DataFrame, column: str) -> DataFrame:
+    """``place``, ``total``: vectors of any width added up, a row a place that is set in any of them."""
+    v = F.unwrap_udt(column)
+    dense = F.transform(v["values"], lambda x, i: F.struct(i.alias("indices"), x.alias("values")))
+    entries = F.when(v["indices"].isNull(), dense).otherwise(F.arrays_zip(v["indices"].alias("indices"), v["values"].alias("values")))
+    return df.select(F.explode(entries).alias("x")).groupBy(F.col("x.indices").cast("long").alias("place")).agg(F.sum("x.values").alias("total"))
 
 
 def candidate_columns(columns: list[str], *, coordinates: bool = True, minerals: bool = True, lithology: bool = True, places: bool = True) -> list[str]:

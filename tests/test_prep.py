@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from occgraph.operators import prep as P
@@ -51,6 +52,19 @@ def plain_roles(rows, folds, seeds, ratio):
     return out
 
 
+def test_wide_vectors_are_added_up_where_they_are(spark):
+    """A million places: no description of them on the driver, and the sums of places that are set."""
+    frame = spark.range(40).selectExpr("id AS row_id", "cast(id AS string) AS color", "cast(id AS double) AS number")
+    prep = P.SparsePrep(["number"], ["color"]).fit(frame)
+    prep.width = 1_000_000
+    made = prep.transform(frame, ["row_id"])
+    assert not made.schema["features"].metadata
+    sums = {r["place"]: r["total"] for r in P.vector_sums(made, "features").collect()}
+    assert sums[0] == sum(range(40)) and sum(sums.values()) == sum(range(40)) + 40 and len(sums) == 41
+    dense = spark.createDataFrame([(Vectors.dense([1.0, 0.0, 2.0]),), (Vectors.sparse(3, [1], [5.0]),)], ["v"])
+    assert {r["place"]: r["total"] for r in P.vector_sums(dense, "v").collect()} == {0: 1.0, 1: 5.0, 2: 2.0}
+
+
 def test_cut_offs_equal_ranking_every_fold(spark):
     rows = [(i, ["a", "b", "c", None][min(i % 7, 3)]) for i in range(300)]
     df = spark.createDataFrame(rows, "row_id long, region string")

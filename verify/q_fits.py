@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from occgraph.functions.hashing import hash_uniform
@@ -179,8 +178,8 @@ def wide_category_vectors(spark, sf):
     """Sparse vectors added up: how often each place of the vector is set."""
     lines = _lines(spark, sf)
     prep = P.SparsePrep(["quantity"], ["line", "flag"]).fit(lines.filter("l_orderkey % 5 <> 0"))
-    sums = prep.transform(lines, ["l_orderkey"]).agg(Summarizer.sum(F.col("features")).alias("s"))
-    return sums.select(F.posexplode(vector_to_array("s")).alias("place", "total")).filter("total <> 0").select(F.col("place").cast("long").alias("place"), F.round("total", 6).alias("total"))
+    sums = P.vector_sums(prep.transform(lines, ["l_orderkey"]), "features")
+    return sums.filter("total <> 0").select("place", F.round("total", 6).alias("total"))
 
 
 # --- K-means of all regions and starts together --------------------------------------
