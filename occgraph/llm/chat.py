@@ -87,23 +87,38 @@ def formatted_turns(turns: DataFrame, conv_id: str = "conv_id", turn: str = "tur
         F.when(example < F.col("replies"), example).alias("example"))
 
 
+def _span() -> Column:
+    """A reply's example in the formatted conversation; null for other turns."""
+    return F.when(F.col("loss_start").isNotNull(), F.struct(
+        "example", F.col("start").alias("context_chars"), (F.col("start") + F.length("piece")).alias("example_chars"), "loss_start", "loss_chars"))
+
+
 def examples(formatted: DataFrame) -> DataFrame:
     """One row a reply: its example's span (``context_chars``, ``example_chars``) and loss span in the formatted conversation."""
-    return formatted.filter("loss_start IS NOT NULL").select(
-        "conv_id", "example", F.col("start").alias("context_chars"), (F.col("start") + F.length("piece")).alias("example_chars"), "loss_start", "loss_chars")
+    return formatted.filter("loss_start IS NOT NULL").select("conv_id", _span().alias("span")).select("conv_id", "span.*")
 
 
 def whole_conversations(formatted: DataFrame) -> DataFrame:
-    """``conv_id``, ``formatted``: the pieces of each conversation put together."""
+    """``conv_id``, ``formatted``: the pieces of each conversation put together; ``examples``: the spans of its replies' examples in order."""
     pieces = F.array_sort(F.collect_list(F.struct("place", "piece")))
-    return formatted.groupBy("conv_id").agg(F.concat_ws("", F.transform(pieces, lambda x: x["piece"])).alias("formatted"))
+    return formatted.groupBy("conv_id").agg(
+        F.concat_ws("", F.transform(pieces, lambda x: x["piece"])).alias("formatted"), F.array_sort(F.collect_list(_span())).alias("examples"))
+
+
+def example_text(formatted: Column, example: Column) -> Column:
+    """An example written out: its context and its reply, up to the reply's end."""
+    return F.substr(formatted, F.lit(1), example["example_chars"].cast("int"))
+
+
+def example_target(text: Column, example: Column) -> Column:
+    """The trainable part of a written-out example, unescaped."""
+    return unescape(F.substr(text, (example["loss_start"] + 1).cast("int"), example["loss_chars"].cast("int")))
 
 
 def whole_examples(formatted: DataFrame) -> DataFrame:
     """Every example written out: ``conv_id``, ``example``, ``text``, ``loss_start``, ``loss_chars``. Long as the square of a conversation's turns."""
-    spans = examples(formatted).withColumnsRenamed({"conv_id": "c"})
-    return whole_conversations(formatted).join(spans, F.col("conv_id").eqNullSafe(F.col("c"))).select(
-        "conv_id", "example", F.expr("substring(formatted, 1, example_chars)").alias("text"), "loss_start", "loss_chars")
+    spans = whole_conversations(formatted).select("conv_id", "formatted", F.explode("examples").alias("x"))
+    return spans.select("conv_id", "x.example", example_text(F.col("formatted"), F.col("x")).alias("text"), "x.loss_start", "x.loss_chars")
 
 
 def read_turns(formatted: Column) -> Column:

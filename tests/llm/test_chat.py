@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 
 from pyspark.sql import functions as F
@@ -45,6 +46,18 @@ def test_each_reply_is_an_example_with_all_before_it(spark):
     assert chat.examples(formatted).count() == sum(map(len, found.values()))
 
 
+def test_targets_are_read_from_written_out_examples(spark, monkeypatch):
+    """The query reads each reply from its own example: another text there shows in the rows."""
+    from occgraph.llm import queries
+
+    rows = spark.createDataFrame([(1, 0, "user", "u"), (1, 1, "assistant", "<s>é"), (1, 2, "user", None), (1, 3, "assistant", "b"), (2, 0, "user", "x")], SCHEMA)
+    monkeypatch.setattr(queries, "table", lambda *_: rows)
+    want = {r["conv_id"]: (r["loss_sha256"], r["n_examples"]) for r in queries.op1_prefix_targets(spark, "").collect()}
+    assert want[1] == (hashlib.sha256("<s>éb".encode()).hexdigest(), 2) and want[2] == (hashlib.sha256(b"").hexdigest(), 0)
+    monkeypatch.setattr(chat, "example_text", lambda formatted, example: F.lit("other"))
+    assert {r["conv_id"]: r["loss_sha256"] for r in queries.op1_prefix_targets(spark, "").collect()}[1] != want[1][0]
+
+
 def test_no_turns(spark):
     formatted = chat.formatted_turns(spark.createDataFrame([], SCHEMA))
     assert formatted.count() == 0 and chat.whole_examples(formatted).count() == 0
