@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from occgraph.functions.geo import EARTH_RADIUS_KM, chord_of_km, morton_code, unit_xyz
 from occgraph.session import materialize
 
-LEAF = 128       # places in a block at most, or more if more neighbours are wanted
+LEAF = 128       # ids in a block, about, or more if more neighbours are wanted
 HEAVY = 4096     # a query block that meets more pool ids is taken apart into its places
 STEP = 2         # octree depths between two rounds of pruning
 DEPTH = 20       # bits of an axis in the curve's code
@@ -50,6 +50,16 @@ def _spots(df: DataFrame, id_col: str, keep: int, group: list[str]) -> DataFrame
     return ranked.filter(F.col("nth") <= keep).groupBy(*place).agg(F.array_sort(F.collect_list("id")).alias("ids"))
 
 
+def _leaf(df: DataFrame, keep: int, group: list[str]) -> int:
+    """Places in a block: as many as hold about ``LEAF`` ids together, or ``keep`` if that is more.
+
+    Where many records share their places a block of ``LEAF`` places would hold
+    ``keep`` times as many ids, all of which travel to every block around it.
+    """
+    ids = df.groupBy(*group, "lat", "lon").agg(F.least(F.count("*"), F.lit(keep)).alias("n")).agg(F.avg("n")).first()[0]
+    return max(2, int(max(LEAF, keep) / (ids or 1)))
+
+
 def _shared_depth(a: int, b: int) -> int:
     """Depth down to which two codes are in the same cells."""
     return DEPTH - -(-(a ^ b).bit_length() // 3)
@@ -317,9 +327,10 @@ def _sides(queries: DataFrame, pool: DataFrame, k: int, query_id: str, pool_id:
         return rows.dropna(subset=group)  # a null group has no neighbours
 
     need = k + (1 if exclude_self else 0)
-    leaf = max(LEAF, need)
     q_rows = side(queries, query_id)
-    p_blocks = _blocks(q_rows if queries is pool else side(pool, pool_id), "id", need, leaf, group)
+    p_rows = q_rows if queries is pool else side(pool, pool_id)
+    leaf = _leaf(p_rows, need, group)
+    p_blocks = _blocks(p_rows, "id", need, leaf, group)
     q_blocks = p_blocks if queries is pool else _blocks(q_rows, "id", 0, leaf, group)
     return q_rows, q_blocks, p_blocks, group, need
 

@@ -129,3 +129,13 @@ def test_cut_blocks_stay_in_their_cells():
     assert ends[-1] == len(codes) and sorted(set(ends)) == ends
     for a, b, d in zip([0, *ends[:-1]], ends, depths):
         assert b - a <= 64 and len(set((codes[a:b] >> (3 * (knn.DEPTH - d))).tolist())) == 1
+
+
+def test_blocks_of_shared_places_hold_few_ids(spark):
+    """Thirty records a place: a block holds about as many ids as where each has its own, and the answer stays."""
+    at = np.repeat(np.arange(60), 30)
+    pdf = pd.DataFrame({"row_id": np.arange(len(at)), "lat": (at % 8) * 5.0, "lon": (at // 8) * 7.0})
+    df = spark.createDataFrame(pdf)
+    blocks = knn._sides(df, df, 15, "row_id", "row_id", "lat", "lon", (), True)[2]
+    assert blocks.agg({"n_ids": "max"}).first()[0] <= knn.LEAF
+    assert rows(knn_graph_pairs(df, 15)) == brute(pdf, pdf, 15, True)
