@@ -7,7 +7,7 @@ A cell that loses all its points takes the point that is farthest from its own
 centre, one cell a round, so every start ends with as many cells as it was given.
 
 The centres of all groups and starts travel with the tasks: ``k`` points each.
-The rows stay where they are, whatever a group's size.
+The rows are dealt to all cores once and stay where they are, whatever a group's size.
 
 Defined cases: rows with null coordinates or a null group take no part; a group
 with fewer than ``k`` distinct points has a cell for each; ties go to the lesser
@@ -50,7 +50,9 @@ def first_centres(points: DataFrame, k: int, seed: int, starts: int) -> Centres:
 
 def nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The nearest centre of each point and its squared distance."""
-    square = ((x[:, None, :] - centres) ** 2).sum(axis=2)
+    square = np.zeros((len(x), len(centres)))
+    for axis in range(x.shape[1]):  # no array of rows by centres by coordinates
+        square += (x[:, axis, None] - centres[:, axis]) ** 2
     cell = square.argmin(axis=1)
     return cell, square[np.arange(len(x)), cell]
 
@@ -119,7 +121,9 @@ def grouped_kmeans(
 
     ``points`` has ``row_id``, ``grp`` (string) and ``x`` (coordinates). ``begin`` gives other first centres.
     """
-    rows = materialize(points.filter(F.col("grp").isNotNull() & F.col("x").isNotNull() & ~F.exists("x", lambda v: v.isNull())), owner)
+    usable = points.filter(F.col("grp").isNotNull() & F.col("x").isNotNull() & ~F.exists("x", lambda v: v.isNull()))
+    # a row is a few dozen bytes but meets every start's centres each round: by size all would land in a task or two
+    rows = materialize(usable.repartition(points.sparkSession.sparkContext.defaultParallelism, "row_id").sortWithinPartitions("grp"), owner)
     centres = first_centres(rows, k, seed, starts) if begin is None else begin
     cost: dict[tuple[str, int], float] = {}
     active = dict(centres)

@@ -71,3 +71,12 @@ def test_awkward_rows(spark):
     assert best["a"] == (0, 0.0) and best["b"] == (0, 0.0)
     labels, best = C.grouped_kmeans(spark.createDataFrame([], SCHEMA), 5)
     assert labels.count() == 0 and best == {}
+
+
+def test_rows_of_one_partition_are_dealt_to_many_tasks(spark):
+    given = made()
+    one = frame(spark, given).coalesce(1)
+    found, _ = C.grouped_kmeans(one, 4, 7, 2)
+    rows = found.withColumn("task", F.spark_partition_id()).collect()
+    assert len({r["task"] for r in rows}) > 1
+    assert len(rows) == sum(map(len, given.values()))
