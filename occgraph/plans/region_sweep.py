@@ -8,6 +8,7 @@ once, each as if it were alone.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -23,6 +24,8 @@ from occgraph.operators.knn import knn_graph_pairs
 from occgraph.operators.prep import GROUP_FLAGS, FeaturePrep, similarity_columns
 from occgraph.session import materialize, owned_copies
 
+AT_ONCE = 5  # cases of a sweep that run side by side; their copies stand beside each other
+
 
 @dataclass
 class SweepConfig:
@@ -226,15 +229,24 @@ def run_sweep(records: DataFrame, splits: DataFrame, cases: list[tuple[int, str]
 def sweep_conditions(records: DataFrame, splits: DataFrame, cases: list[tuple[int, str]], conditions: dict[str, SweepConfig], model: str = "graph", exp: str = "loro") -> DataFrame:
     """The same cases under several configurations, with a ``condition`` column.
 
-    The list of cases is small; the work of each case is distributed. A case's
-    copies are deleted when its predictions are written.
+    The list of cases is small; the work of each case is distributed. Cases know
+    nothing of each other: ``AT_ONCE`` of them hand in their jobs side by side, as
+    one case's are many and short. A case's copies are deleted when its
+    predictions are written.
     """
-    spark, parts = records.sparkSession, []
-    for seed, fold in cases:
+    spark = records.sparkSession
+
+    def run(case: tuple[int, str]) -> list[DataFrame]:
+        seed, fold = case
         roles = splits.filter((F.col("seed") == seed) & (F.col("fold") == fold)).select("row_id", "role")
+        parts = []
         with owned_copies(spark, "fold"):
             for name, predicted in run_conditions(materialize(records.join(roles, "row_id")), conditions):
                 parts.append(materialize(predicted, "predictions").select(
                     F.lit(exp).alias("exp"), F.lit(model).alias("model"), F.lit(seed).alias("seed"), F.lit(fold).alias("region"), "row_id", "y_true", "y_prob", "y_pred",
                     F.lit(name).alias("condition")))
+        return parts
+
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        parts = [part for case in pool.map(run, cases) for part in case]
     return reduce(lambda a, b: a.unionByName(b), parts)
