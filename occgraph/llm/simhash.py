@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from occgraph.llm.common import free_name, one_of_each, pieces
+from occgraph.llm.common import free_name, marked, one_of_each, pieces
 from occgraph.session import materialize
 
 SHINGLE = 3
@@ -269,10 +269,12 @@ def first_of_each(docs: DataFrame, keyed: DataFrame, key: list[str], rooted: Dat
     wins = (F.col("k1") == F.col("first.k1")) & (F.col("k2") == F.col("first.k2"))
     grouped = materialize(rooted.join(first, "root").groupBy("k1", "k2").agg(F.max(wins).alias("wins"), F.count("*").alias("times")), owner)
     own = lambda d: d.select(F.col("k1").alias(key[0]), F.col("k2").alias(key[1]))
-    kept = keyed.join(own(grouped.filter("NOT wins")), key, "left_anti")
+    met = free_name(keyed, "in_group")
+    split = marked(keyed, key, own(grouped), met)  # rows that are alone with their root need no join
+    kept = split.filter(met).join(own(grouped.filter("NOT wins")), key, "left_anti")
     again = materialize(own(grouped.filter("wins AND times > 1")), owner)
     if not again.isEmpty():  # a kept row that is repeated stays once
         mark = free_name(kept, "is_repeated")
-        marked = kept.join(again.withColumn(mark, F.lit(True)), key, "left").withColumn(mark, F.coalesce(mark, F.lit(False)))
-        kept = one_of_each(marked, key, F.col(mark))
-    return kept.select(*docs.columns)
+        doubled = kept.join(again.withColumn(mark, F.lit(True)), key, "left").withColumn(mark, F.coalesce(mark, F.lit(False)))
+        kept = one_of_each(doubled, key, F.col(mark))
+    return kept.select(*docs.columns).unionByName(split.filter(~F.col(met)).select(*docs.columns))
