@@ -22,7 +22,7 @@ from occgraph.operators import graph as G
 from occgraph.operators import models as M
 from occgraph.operators.knn import knn_graph_pairs
 from occgraph.operators.prep import GROUP_FLAGS, FeaturePrep, similarity_columns
-from occgraph.session import materialize, owned_copies
+from occgraph.session import materialize, owned_copies, row_sized
 
 AT_ONCE = 5  # cases of a sweep that run side by side; their copies stand beside each other
 
@@ -119,16 +119,16 @@ def prepare_fold(data: DataFrame, cfg: SweepConfig) -> PreparedFold:
     scores, scorers = M.leakage_free_scores(vectors, factory=cfg.factory, n_folds=cfg.n_folds, seed=cfg.seed) if cfg.use_score else (None, [])
     nodes = _selected(prep, data, selected, names, ["role", "label", "lat", "lon"])
     if scores is not None:
-        nodes = nodes.join(scores.select("row_id", "score"), "row_id")
-    nodes = materialize(nodes)
+        nodes = row_sized(nodes).join(scores.select("row_id", "score"), "row_id")
+    nodes = row_sized(materialize(nodes))
     return PreparedFold(prep, selected, scorers, nodes, materialize(knn_graph_pairs(nodes, cfg.k)))
 
 
 def fold_graph(prepared: PreparedFold, cfg: SweepConfig) -> FoldGraph:
     graph = G.build_weighted_graph(
         prepared.nodes, cfg.k, strategy=cfg.strategy, alpha=cfg.alpha, max_km=cfg.max_km, fit_role="train", unify_edge_rule=cfg.unify_edge_rule, pairs=prepared.pairs)
-    graph = G.Graph(prepared.nodes, materialize(graph.edges), graph.sigma)
-    return FoldGraph(prepared, graph, materialize(G.edge_stats(prepared.nodes, graph.edges)))
+    graph = G.Graph(prepared.nodes, row_sized(materialize(graph.edges)), graph.sigma)
+    return FoldGraph(prepared, graph, row_sized(materialize(G.edge_stats(prepared.nodes, graph.edges))))
 
 
 def fit_fold(data: DataFrame, cfg: SweepConfig) -> FittedFold:
@@ -143,7 +143,7 @@ def fit_graph(linked: FoldGraph, cfg: SweepConfig) -> FittedFold:
     inputs = list(own)
     table = stored
     if cfg.propagation != "none":
-        one = materialize(G.propagate(stored, graph.edges, own, cfg.propagation, "h1_"))
+        one = row_sized(materialize(G.propagate(stored, graph.edges, own, cfg.propagation, "h1_")))
         two = G.propagate(one, graph.edges, [f"h1_{c}" for c in own], cfg.propagation, "h2_").toDF("row_id", *[f"h2_{c}" for c in own])
         table = stored.join(one, "row_id").join(two, "row_id")
         inputs += [f"h1_{c}" for c in own] + [f"h2_{c}" for c in own]
@@ -174,10 +174,10 @@ def attach_arrivals(linked: FoldGraph, records: DataFrame, cfg: SweepConfig) ->
     arrivals = _selected(prepared.prep, records, prepared.selected, prepared.prep.names(), ["lat", "lon"])
     if cfg.use_score:
         scored = M.ensemble_score(prepared.scorers, prepared.prep.transform(records))
-        arrivals = arrivals.join(scored.select("row_id", "score"), "row_id")
-    arrivals = materialize(arrivals)
+        arrivals = row_sized(arrivals).join(scored.select("row_id", "score"), "row_id")
+    arrivals = row_sized(materialize(arrivals))
     attached = materialize(G.attach_held_out(arrivals, linked.stored, linked.graph.sigma, k=cfg.k_predict, max_km=cfg.max_km, strategy=cfg.strategy, alpha=cfg.alpha))
-    return Arrivals(attached, materialize(G.attached_stats(arrivals, attached)))
+    return Arrivals(row_sized(attached), row_sized(materialize(G.attached_stats(arrivals, attached))))
 
 
 def score_arrivals(fold: FittedFold, arrivals: Arrivals) -> DataFrame:
@@ -203,7 +203,7 @@ def run_conditions(data: DataFrame, conditions: dict[str, SweepConfig]) -> Itera
     scores and neighbours, the graph, and what is attached to it.
     """
     test = data.filter("role = 'test'")
-    truth = test.select("row_id", F.col("label").cast("int").alias("y_true"))
+    truth = row_sized(test.select("row_id", F.col("label").cast("int").alias("y_true")))
     prepared: dict[tuple, PreparedFold] = {}
     linked: dict[tuple, tuple[FoldGraph, Arrivals]] = {}
     for name, cfg in conditions.items():

@@ -1,4 +1,4 @@
-"""Cases of a sweep side by side."""
+"""Cases of a sweep side by side, and folds of many rows."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
+from occgraph import session as S
+from occgraph.operators.knn import knn_graph_pairs
 from occgraph.plans import region_sweep as RS
 from occgraph.session import materialize
 
@@ -46,3 +48,38 @@ def test_a_case_that_fails_fails_the_sweep(spark, given, monkeypatch):
     monkeypatch.setattr(RS, "run_conditions", broken)
     with pytest.raises(ValueError, match="no train rows"):
         RS.sweep_conditions(*given, CASES, {"x": None})
+
+
+def test_tables_of_many_rows_are_not_broadcast(spark):
+    """Copies whose files are small but whose rows are many: the joins of a fold deal them out by key."""
+    few = materialize(spark.range(50).select(F.col("id").alias("row_id")))
+    many = materialize(spark.range(S.FEW_ROWS + 1).select(F.col("id").alias("row_id")))
+    for side, broadcast in ((few, True), (many, False)):
+        plan = S.row_sized(side).join(spark.range(60).select(F.col("id").alias("row_id")), "row_id")._jdf.queryExecution().executedPlan().toString()
+        assert ("BroadcastHashJoin" in plan) == broadcast and ("SortMergeJoin" in plan) != broadcast
+
+
+def test_a_fold_of_many_rows_is_dealt_out_and_the_same(spark, monkeypatch):
+    rows = [(i, ("train", "train", "val")[i % 3], i % 2, (i * 37 % 100) / 10, (i * 53 % 100) / 10, float(i % 7), [float(i % 5), 1.0]) for i in range(90)]
+    nodes = materialize(spark.createDataFrame(rows, "row_id long, role string, label int, lat double, lon double, x0 double, geo array<double>"))
+    pairs = materialize(knn_graph_pairs(nodes, 3))
+    cfg = RS.SweepConfig(k=3, use_score=False, propagation="weighted_mean", grid=[{"regParam": 0.1, "elasticNetParam": 0.0}])
+
+    def fold(limit):
+        plans = []
+
+        def copied(df, *owner):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            return materialize(df, *owner)
+
+        monkeypatch.setattr(S, "FEW_ROWS", limit)
+        monkeypatch.setattr(RS, "materialize", copied)
+        linked = RS.fold_graph(RS.PreparedFold(None, ["x0"], [], RS.row_sized(nodes), pairs), cfg)
+        fitted = RS.fit_graph(linked, cfg)
+        stored = {r["row_id"]: [r["degree"], r["mean_weight"], r["max_weight"]] for r in linked.stored.collect()}
+        return "".join(plans), stored, fitted.classifier.coefficients.toArray()
+
+    (small, stored, weights), (large, stored_dealt, weights_dealt) = fold(10**6), fold(10)
+    assert "BroadcastExchange" in small and "BroadcastExchange" not in large and "SortMergeJoin" in large
+    assert len(stored) == 90 and stored_dealt == {k: pytest.approx(v, abs=1e-9) for k, v in stored.items()}
+    assert weights == pytest.approx(weights_dealt, abs=1e-6)
